@@ -126,7 +126,7 @@ def _factors():
     return factors
 
 
-def duplicate_factors(docs: DataFrame, window: int = 13, most_bytes: int = 16_000_000) -> DataFrame:
+def duplicate_factors(docs: DataFrame, window: int = 13, most_bytes: int = 8_000_000) -> DataFrame:
     """Runs of ``n`` windows, from word ``start`` on, that also start in a document of smaller doc_id.
 
     ``docs`` needs doc_id and text. ``tag`` is the text's CRC-32, so that rows which share a doc_id but
@@ -164,7 +164,7 @@ def _cut(window: int):
     return cut
 
 
-def remove_duplicate_spans(docs: DataFrame, window: int = 13, most_bytes: int = 16_000_000) -> DataFrame:
+def remove_duplicate_spans(docs: DataFrame, window: int = 13, most_bytes: int = 8_000_000) -> DataFrame:
     """Every row of ``docs`` with the words that no duplicate window covers, joined by one space, as text.
 
     A window is ``window`` consecutive words; it is a duplicate if its words also start in a document

@@ -92,15 +92,22 @@ def words(column: pa.Array) -> Words:
     return Words(data, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, off))
 
 
-def word_hashes(w: Words, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; with ``lower`` A-Z count as a-z."""
-    if not len(w.starts):
-        return np.empty(0, np.uint64)
-    n = len(w.data)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[w.data] * _power(_BASE, n), out=sums[1:])
-    return mixed((sums[w.ends] - sums[w.starts]) * _power(_INVERSE, n)[w.starts] + (w.ends - w.starts).astype(np.uint64))
+def word_hashes(w: Words, lower: bool = False, block: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each word; with ``lower`` A-Z count as a-z. Works in blocks of bytes."""
+    table = _BYTE_LOWER if lower else _BYTE
+    out = np.empty(len(w.starts), np.uint64)
+    i = 0
+    while i < len(out):
+        base = w.starts[i]
+        j = max(i + 1, int(np.searchsorted(w.ends, base + block, "right")))
+        n = int(w.ends[j - 1] - base)
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(table[w.data[base : base + n]] * _power(_BASE, n), out=sums[1:])
+        start, end = w.starts[i:j] - base, w.ends[i:j] - base
+        out[i:j] = mixed((sums[end] - sums[start]) * _power(_INVERSE, n)[start] + (end - start).astype(np.uint64))
+        i = j
+    return out
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -114,9 +121,10 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(total)
 
 
-def sequence_hash(hashes: np.ndarray) -> np.uint64:
-    """Hash of a sequence shorter than any k in use; its length sets it apart from every k-gram."""
-    return mixed(np.array([(hashes * _STEP[: len(hashes)]).sum(dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03) * np.uint64(len(hashes))], np.uint64))[0]
+def sequence_hash(hashes: np.ndarray) -> np.ndarray:
+    """Hash (an array of one) of a sequence shorter than any k in use; its length sets it apart from k-grams."""
+    total = (hashes * _STEP[: len(hashes)]).sum(dtype=np.uint64, keepdims=True)
+    return mixed(total + np.full(1, len(hashes), np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def gram_sets(column: pa.Array, k: int, lower: bool = False) -> list[np.ndarray]:
@@ -133,7 +141,7 @@ def gram_sets(column: pa.Array, k: int, lower: bool = False) -> list[np.ndarray]
             x = np.sort(g[a : b - k + 1])
             out.append(x[np.r_[True, x[1:] != x[:-1]]])
         elif b > a:
-            out.append(np.array([sequence_hash(h[a:b])], np.uint64))
+            out.append(sequence_hash(h[a:b]))
         else:
             out.append(np.empty(0, np.uint64))
     return out
