@@ -7,16 +7,80 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, fingerprint, html, langid, quality, urls
 from .jaccard import jaccard_classes
 from .substring import remove_duplicate_spans
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered text of every conversation that is no snapshot of a longer one."""
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP3_SQL = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, role, text
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+keys AS (
+  SELECT *, string_agg(md5(coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1))), '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix,
+         max(pos) OVER (PARTITION BY conv_id) AS turns
+  FROM t),
+inner_prefixes AS (SELECT DISTINCT prefix FROM keys WHERE pos < turns),
+kept AS (
+  SELECT min(conv_id) AS conv_id, count(*) AS copies
+  FROM keys WHERE pos = turns AND prefix NOT IN (SELECT prefix FROM inner_prefixes) GROUP BY prefix)
+SELECT conv_id, max(turns)::BIGINT AS n_turns, max(copies)::BIGINT AS copies,
+       string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
+FROM keys JOIN kept USING (conv_id) GROUP BY conv_id
+"""
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents that links of at least 0.8 between 5-word shingle sets connect."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_classes(docs, words=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = fingerprint.edited_with_next(docs)
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of every document, and whether the votes of the rules keep it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    judged = quality.judge(docs)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+#: (verdict, host, path) of the rules that op7 judges by.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP7_SQL = r"""
+WITH rules(verdict, rule_host, rule_path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+parts AS (
+  SELECT row_number() OVER () AS r, page_id,
+         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+best AS (
+  SELECT r, max_by({'rule': rule_host || rule_path, 'verdict': verdict}, length(rule_host || rule_path)) AS b
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY r)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict
+FROM parts LEFT JOIN best USING (r)
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that no repeated 13-word window covers, of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -24,6 +88,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs, most_docs=4000)
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 OP8_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 windows AS (
@@ -43,10 +121,18 @@ FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_fingerprint": op5_fingerprint,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_format": OP3_SQL,
+    "op7_url_filter": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
 }
