@@ -5,15 +5,17 @@ Pairs are filtered under several global token orders before any pair is compared
 * ascending hash order, over the whole corpus: a set of n shingles that links with another has an
   overlap of at least t = ceil(0.8 n), so of the first n - t + l shingles at least l are the
   partner's too. Documents with fewer shared prefix shingles than that link with nothing.
-* singletons-first order, over what is left: shingles that no other set has come first. They use up
-  prefix places, and a set with more of them than n - t links with nothing. The other sets offer the
-  rest of their prefix as join keys.
+* rare-first order, over what is left: by the number of sets that have a shingle (counted up to 16,
+  ties in hash order). Shingles that no other set has use up prefix places, and a set with more of
+  them than n - t links with nothing. The other sets offer the rest of their prefix as join keys.
 * ascending and descending hash order, pair by pair: candidates must meet in both of these prefixes
   as well; only then are the whole sets intersected.
 
 Sets that are equal are one node throughout. A key's sets are first compared with its most central
 one, so that a large group of near copies becomes a star; only sets of a key that are still in
-different components, and whose sizes and private shingles allow a link, are then compared pairwise.
+different components, and whose sizes, private shingles and bitmaps allow a link, are then compared
+pairwise. (A set's bitmap has 2048 bits, of which each shingle sets one: where two bitmaps differ, so
+do the sets. The join condition sees it, so pairs that it rules out are never made.)
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ from .words import gram_sets, mixed
 _META = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
 _SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 _MOVED = pa.schema([(c, pa.int32() if c == "part" else pa.binary()) for c in ("part", "node", "size", "n", "token", "own_node", "own_size", "own_count", "own_n", "own_token")])
-_FOUND = pa.schema([(c, pa.int32() if c == "part" else pa.binary()) for c in ("part", "node", "size", "count", "n", "token")])
+_FOUND = pa.schema([(c, pa.int32() if c == "part" else pa.binary()) for c in ("part", "node", "size", "count", "n", "token", "rate")])
 _KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("own", pa.int64())])
 _ONE = np.uint64(1)
+#: Up to where the sets that have a shingle are counted, and the 64-bit words of a set's bitmap.
+MANY, LIMBS = 16, 32
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -80,41 +84,38 @@ def _meta(words: int, most_bytes: int):
     return meta
 
 
-def _entries(nodes: np.ndarray, sizes: np.ndarray, taken: list[np.ndarray], wanted: list[int], parts: int, keep: bool) -> Iterator[pa.RecordBatch]:
+def _entries(nodes: np.ndarray, sizes: np.ndarray, taken: list[np.ndarray], parts: int, many: int, keep: bool) -> Iterator[pa.RecordBatch]:
     """What a batch of different sets tells of the shingles ``taken`` from each.
 
-    Of a shingle that several sets of the batch have, two entries go out; the batch knows by itself that
-    its sets share it, and says so under own_*. So a shingle that very many documents have sends two
-    entries a batch. Bit 0 of an entry: already counted; bit 1: among the first ``wanted`` of its set.
+    A shingle of at least ``many`` of the batch's sets needs no count: one entry with bit 0 set says so
+    to the others, and the batch reports its own sets under own_*. Of other shingles each entry goes out.
+    So a shingle that very many documents have sends fewer than ``many`` entries a batch.
     """
     lengths = np.array([len(x) for x in taken], np.int64)
     if not lengths.sum():
         return
     token = np.concatenate(taken)
     owner = np.repeat(np.arange(len(nodes)), lengths)
-    early = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) < np.repeat(np.array(wanted, np.int64), lengths)
     order = np.argsort(token, kind="stable")
-    head = np.r_[True, token[order][1:] != token[order][:-1]]
-    at = np.flatnonzero(head)
-    many = np.diff(np.r_[at, len(token)])
-    rank = np.empty(len(token), np.int64)
-    rank[order] = np.arange(len(token)) - np.repeat(at, many)
-    shared = np.empty(len(token), bool)
-    shared[order] = np.repeat(many > 1, many)
-    counts = np.bincount(owner[shared], minlength=len(nodes))
+    at = np.flatnonzero(np.r_[True, token[order][1:] != token[order][:-1]])
+    times = np.diff(np.r_[at, len(token)])
+    common = np.empty(len(token), bool)
+    common[order] = np.repeat(times >= many, times)
+    speaks = ~common
+    speaks[order[at]] = True
+    counts = np.bincount(owner[common], minlength=len(nodes))
     have = np.flatnonzero(counts)
-    part = (nodes % np.uint64(parts)).astype(np.int64)
     if len(have):
-        mine = shared & early if keep else np.zeros(len(token), bool)
-        n = np.bincount(owner[mine], minlength=len(nodes))[have]
-        yield record(packed(part[have], {"own_node": nodes[have], "own_size": sizes[have].astype(np.uint32), "own_count": counts[have].astype(np.uint32), "own_n": n.astype(np.uint32)}, n, {"own_token": token[mine]}), _MOVED)
-    sent = np.flatnonzero(rank < 2)
+        n = counts[have] if keep else np.zeros(len(have), np.int64)
+        part = (nodes[have] % np.uint64(parts)).astype(np.int64)
+        yield record(packed(part, {"own_node": nodes[have], "own_size": sizes[have].astype(np.uint32), "own_count": counts[have].astype(np.uint32), "own_n": n.astype(np.uint32)}, n, {"own_token": token[common] if keep else token[:0]}), _MOVED)
+    sent = np.flatnonzero(speaks)
     to = ((token[sent] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(owner[sent] * parts + to, kind="stable")
     sent, to = sent[order], to[order]
     run = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (owner[sent][1:] != owner[sent][:-1])])
     n = np.diff(np.r_[run, len(sent)])
-    entry = (token[sent] & ~np.uint64(3)) | shared[sent].astype(np.uint64) | (early[sent].astype(np.uint64) << _ONE)
+    entry = token[sent] | common[sent].astype(np.uint64)
     yield record(packed(to[run], {"node": nodes[owner[sent[run]]], "size": sizes[owner[sent[run]]].astype(np.uint32), "n": n.astype(np.uint32)}, n, {"token": entry}), _MOVED)
 
 
@@ -127,12 +128,12 @@ def _prefixes(words: int, share: Share, parts: int, most_bytes: int):
             nodes, first = np.unique(digests(sets), return_index=True)
             sets = [sets[i] for i in first]
             sizes = np.array([len(x) for x in sets], np.int64)
-            yield from _entries(nodes, sizes, [x[: n - share.needed(n) + max(1, n // 10)] for x, n in zip(sets, sizes.tolist(), strict=True)], [0] * len(sets), parts, False)
+            yield from _entries(nodes, sizes, [x[: n - share.needed(n) + max(1, n // 10)] for x, n in zip(sets, sizes.tolist(), strict=True)], parts, 2, False)
 
     return prefixes
 
 
-def _whole(share: Share, parts: int):
+def _whole(parts: int):
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0).to_numpy().view(np.uint64)
@@ -141,35 +142,38 @@ def _whole(share: Share, parts: int):
                 pick = first[lo : lo + 2000]
                 sets = [np.frombuffer(batch.column(2)[int(i)].as_buffer(), np.uint64) for i in pick]
                 sizes = np.array([len(x) for x in sets], np.int64)
-                yield from _entries(nodes[lo : lo + 2000], sizes, sets, [n - share.needed(n) + 1 for n in sizes.tolist()], parts, True)
+                yield from _entries(nodes[lo : lo + 2000], sizes, sets, parts, MANY, True)
 
     return whole
 
 
-def _shared(parts: int):
-    """From a part's entries: how many shingles each set shares there, and the shared ones among its first."""
+def _shared(parts: int, many: int, keep: bool):
+    """From a part's entries: how many shingles each set shares there and, with ``keep``, which and with how many."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u4 = np.uint32
         c = unpacked(batches, {"node": np.uint64, "size": u4, "n": u4, "token": np.uint64, "own_node": np.uint64, "own_size": u4, "own_count": u4, "own_n": u4, "own_token": np.uint64})
         if len(c["own_node"]):
-            yield record(packed((c["own_node"] % np.uint64(parts)).astype(np.int64), {"node": c["own_node"], "size": c["own_size"], "count": c["own_count"], "n": c["own_n"]}, c["own_n"].astype(np.int64), {"token": c["own_token"]}), _FOUND)
+            rate = np.full(len(c["own_token"]), many, np.uint8)
+            yield record(packed((c["own_node"] % np.uint64(parts)).astype(np.int64), {"node": c["own_node"], "size": c["own_size"], "count": c["own_count"], "n": c["own_n"]}, c["own_n"].astype(np.int64), {"token": c["own_token"], "rate": rate}), _FOUND)
         if not len(c["node"]):
             return
         run = np.repeat(np.arange(len(c["n"])), c["n"])
-        token, node = c["token"] >> np.uint64(2), c["node"][run]
-        order = np.argsort(token)
-        head = np.r_[True, token[order][1:] != token[order][:-1]]
-        at, group = np.flatnonzero(head), np.cumsum(head) - 1
-        ours = node[order]
-        several = np.empty(len(token), bool)
-        several[order] = (np.minimum.reduceat(ours, at) != np.maximum.reduceat(ours, at))[group]
-        fresh = several & ((c["token"] & _ONE) == 0)
-        early = fresh & ((c["token"] >> _ONE & _ONE) == 1)
-        count = np.bincount(run[fresh], minlength=len(c["n"]))
-        n = np.bincount(run[early], minlength=len(c["n"]))
+        flagged = (c["token"] & _ONE) == 1
+        token, node = c["token"] & ~np.uint64(3), c["node"][run]
+        order = np.lexsort((flagged, node, token))
+        new = np.r_[True, token[order][1:] != token[order][:-1]]
+        other = new | np.r_[True, node[order][1:] != node[order][:-1]]  # first entry of each set for a shingle
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        rate = np.where(np.maximum.reduceat(flagged[order], at), many, np.minimum(np.add.reduceat(other.astype(np.int64), at), many))[group]
+        answer = np.zeros(len(token), bool)
+        answer[order] = other & ~flagged[order] & (rate > 1)
+        of = np.empty(len(token), np.uint8)
+        of[order] = rate
+        count = np.bincount(run[answer], minlength=len(c["n"]))
         have = np.flatnonzero(count)
-        yield record(packed((c["node"][have] % np.uint64(parts)).astype(np.int64), {"node": c["node"][have], "size": c["size"][have], "count": count[have].astype(u4), "n": n[have].astype(u4)}, n[have], {"token": c["token"][early] & ~np.uint64(3)}), _FOUND)
+        n, which = (count[have], answer) if keep else (np.zeros(len(have), np.int64), np.zeros(len(token), bool))
+        yield record(packed((c["node"][have] % np.uint64(parts)).astype(np.int64), {"node": c["node"][have], "size": c["size"][have], "count": count[have].astype(u4), "n": n.astype(u4)}, n, {"token": token[which], "rate": of[which]}), _FOUND)
 
     return shared
 
@@ -179,7 +183,7 @@ def _keys(share: Share, keys: bool):
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u4 = np.uint32
-        c = unpacked(batches, {"node": np.uint64, "size": u4, "count": u4, "n": u4, "token": np.uint64})
+        c = unpacked(batches, {"node": np.uint64, "size": u4, "count": u4, "n": u4, "token": np.uint64, "rate": np.uint8})
         if not len(c["node"]):
             return
         nodes, inverse = np.unique(c["node"], return_inverse=True)
@@ -193,7 +197,7 @@ def _keys(share: Share, keys: bool):
         own = size - count
         places = size - share.needed(size) + 1 - own
         owner = np.repeat(inverse, c["n"])
-        order = np.lexsort((c["token"], owner))
+        order = np.lexsort((c["token"], c["rate"], owner))
         owner, token = owner[order], c["token"][order]
         rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
         pick = rank < places[owner]
@@ -216,6 +220,15 @@ def _whole_sets(words: int):
     return whole_sets
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = np.zeros((batch.num_rows, LIMBS * 64), np.uint8)
+        for i, x in enumerate(batch.column(1)):
+            bits[i, (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(8)) % np.uint64(LIMBS * 64)] = 1
+        limbs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(limbs[:, k])) for k in range(LIMBS)]], ["node", *[f"m{k}" for k in range(LIMBS)]])
+
+
 def _checked(share: Share):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -263,7 +276,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, most_byt
     classes = meta.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
 
     def shared(entries: DataFrame, keys: bool) -> DataFrame:
-        found = entries.repartitionById(parts, F.col("part")).mapInArrow(_shared(parts), _ddl(_FOUND))
+        found = entries.repartitionById(parts, F.col("part")).mapInArrow(_shared(parts, MANY if keys else 2, keys), _ddl(_FOUND))
         return found.repartitionById(parts, F.col("part")).mapInArrow(_keys(share, keys), _ddl(_KEYS))
 
     alive = shared(docs.select("text").mapInArrow(_prefixes(words, share, parts, most_bytes), _ddl(_MOVED)), False)
@@ -271,7 +284,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, most_byt
     sets = written(docs.join(chosen, "doc_id").select("node", "text").mapInArrow(_whole_sets(words), _ddl(_SETS)), "sets")
     if not meta.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = written(sets.dropDuplicates(["node"]), "sets")
-    keys = written(shared(sets.mapInArrow(_whole(share, parts), _ddl(_MOVED)), True), "keys")
+    keys = written(shared(sets.mapInArrow(_whole(parts), _ddl(_MOVED)), True), "keys")
 
     def possible(a: str, b: str) -> Column:
         """The least overlap that links sets of these sizes leaves room for the shingles that only one has."""
@@ -286,8 +299,13 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, most_byt
     placed = keys.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     placed = placed.join(split, "key", "left_semi")
-    second = placed.alias("x").join(placed.alias("y"), "key").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y"))
-    rest = second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    open_nodes = placed.select("node").distinct()
+    bitmaps = sets.select("node", "tokens").join(open_nodes, "node", "left_semi").mapInArrow(_bitmaps, "node long, " + ", ".join(f"m{k} long" for k in range(LIMBS)))
+    placed = placed.join(bitmaps, "node")
+    differ = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(1, LIMBS)), F.bit_count(F.col("x.m0").bitwiseXOR(F.col("y.m0"))))
+    fits = (100 + percent) * (F.col("x.n") + F.col("y.n") - differ) >= 2 * percent * (F.col("x.n") + F.col("y.n"))
+    second = placed.alias("x").join(placed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y") & fits)
+    rest = written(second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs").join(tried, ["a", "b"], "left_anti")
     more = written(_linked(rest, sets, share), "links")
     roots = components(links.union(more))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
