@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, html, langid, quality, urls
+from . import bpe, chat, fingerprint, html, langid, packing, quality, urls
 from .jaccard import jaccard_classes
 from .substring import remove_duplicate_spans
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces, packed into sequences of at most 1024 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary, added = bpe.Vocabulary.of_json(path)
+    pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, added, path, most=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and what they decode to, as digests."""
+    vocabulary = bpe.Vocabulary.of_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary).select("doc_id", "ids")
+    return bpe.digests(bpe.decode(encoded, vocabulary))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered text of every conversation that is no snapshot of a longer one."""
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -121,6 +137,8 @@ FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_chat_format": op3_chat_format,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_fingerprint": op5_fingerprint,
