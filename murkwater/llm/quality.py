@@ -1,9 +1,11 @@
 """Quality rules under weak supervision.
 
-Rules look at a document's measurements and vote good or bad, or abstain. A two-class latent model with
-independent rules is fitted by expectation-maximisation to the counts of vote patterns over the whole
-corpus: it estimates how often each rule says bad of good and of bad documents, and how common bad ones
-are. A document is kept by its posterior probability of being good, not by passing every rule.
+Rules look at a document's measurements and vote good or bad, or abstain. A latent-class model is fitted
+by expectation-maximisation to the counts of vote patterns over the whole corpus: it estimates how often
+each rule says bad of good documents and of each kind of bad ones, and how common those are. A document
+is kept by its posterior probability of being good, not by passing every rule. (Bad documents have
+kinds, one to start with for each rule: with a single bad class, rules that fire together would be
+taken for its mark, and junk of which a single rule speaks for an error of that rule.)
 
 Only the pattern counts come to the driver; there are at most 3^rules (6561) patterns at any size.
 """
@@ -23,7 +25,7 @@ from .words import SPACE, Words, grams, mixed, raw, word_hashes, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_exclaims", "n_echoes", "n_distinct")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_exclaims", "n_echoes", "n_distinct")
 
 
 def _per_row(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -83,20 +85,21 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in gathered(batches, 4_000_000):
         m = measure(table["text"])
-        rest = [table[c].combine_chunks() for c in table.column_names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, *[pa.array(m[k].astype(np.int64)) for k in _MEASURES]], [*[c for c in table.column_names if c != "text"], *_MEASURES])
+        rest = [c.combine_chunks() for c in table.columns]
+        yield pa.RecordBatch.from_arrays([*rest, *[pa.array(m[k].astype(np.int64)) for k in MEASURES]], [*table.column_names, *MEASURES])
 
 
 def measurements(docs: DataFrame) -> DataFrame:
-    """doc_id and measurements of each text of ``docs``; a null text counts as empty.
+    """``docs`` with measurements of each text; a null text counts as empty.
 
     n_words, word_chars (code points in words), n_symbols (of ``#*$%&|<>``), n_lines (with a word),
     n_dup_lines (those equal to an earlier one), n_repeat_words (words inside 8-word windows that are
     found twice or more), n_upper and n_lower (A-Z, a-z), n_exclaims, n_echoes (words equal to the word
-    before), n_distinct (words).
+    before), n_distinct (words). Columns of ``docs`` with such names give way.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_measured, f"doc_id {kind}, " + ", ".join(f"{k} long" for k in _MEASURES))
+    rows = docs.drop(*MEASURES)
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{k} long" for k in MEASURES])
+    return rows.mapInArrow(_measured, ddl)
 
 
 @dataclass(frozen=True)
@@ -133,40 +136,82 @@ def rules() -> list[Rule]:
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Prior of a good document, and each rule's chance to say bad of a good and of a bad document."""
+    """Share of each class (good first, then kinds of bad), and each rule's chance to say bad of each class."""
 
-    prior: float
-    bad_of_good: tuple[float, ...]
-    bad_of_bad: tuple[float, ...]
+    share: np.ndarray
+    says_bad: np.ndarray  # class x rule
+
+    @property
+    def prior(self) -> float:
+        return float(self.share[0])
+
+    def log_joint(self, votes: np.ndarray) -> np.ndarray:
+        """Pattern x class; abstentions say nothing."""
+        bad, good = (votes == 0).astype(float), (votes == 1).astype(float)
+        return bad @ np.log(self.says_bad).T + good @ np.log1p(-self.says_bad).T + np.log(self.share)
+
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        x = self.log_joint(votes)
+        x = np.exp(x - x.max(1, keepdims=True)) if len(x) else x
+        return x / x.sum(1, keepdims=True) if len(x) else x
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        g, b = np.array(self.bad_of_good), np.array(self.bad_of_bad)
-        lg = np.where(votes == 0, np.log(g), np.where(votes == 1, np.log1p(-g), 0)).sum(1) + np.log(self.prior)
-        lb = np.where(votes == 0, np.log(b), np.where(votes == 1, np.log1p(-b), 0)).sum(1) + np.log1p(-self.prior)
-        return 1 / (1 + np.exp(np.clip(lb - lg, -700, 700)))
+        """Probability of being good."""
+        return self.classes(votes)[:, 0]
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, steps: int = 200) -> VoteModel:
+def fit(votes: np.ndarray, counts: np.ndarray, steps: int = 300) -> VoteModel:
     """Expectation-maximisation on vote patterns (rows of 1, 0, -1) with their counts.
 
-    Starts from the belief that a document of which any rule says bad is bad; every estimate has weak
-    pseudo-counts, so rules that never vote and empty corpora do no harm.
+    Starts from the belief that a document of which some rule says bad is of those rules' kinds. Small
+    pseudo-counts (good documents are rarely called bad, a kind is called bad by its own rule) keep every
+    estimate inside (0, 1), so rules that never vote and an empty corpus do no harm.
     """
-    good = np.where((votes == 0).any(1), 0.1, 0.95)
-    weight = counts.astype(float)
+    rules = votes.shape[1]
+    bad = (votes == 0).astype(float)
+    some = bad.sum(1) > 0
+    member = np.zeros((len(votes), rules + 1))
+    member[:, 0] = np.where(some, 0.05, 0.99)
+    member[:, 1:] = np.where(some[:, None], 0.95 * bad / np.maximum(bad.sum(1, keepdims=True), 1), 0.01 / rules)
+    weight = counts.astype(float)[:, None]
+    own = np.vstack([np.full((1, rules), 0.01), np.eye(rules) * 0.8 + 0.05])  # of one pseudo-document each
     model = None
     for _ in range(steps):
-        g, b = weight * good, weight * (1 - good)
-        says_bad, says = votes == 0, votes >= 0
-        of_good = (g @ says_bad + 0.01) / (g @ says + 1)
-        of_bad = (b @ says_bad + 0.5) / (b @ says + 1)
-        of_bad = np.maximum(of_bad, of_good)  # a rule that says bad more often of good documents says nothing
-        new = VoteModel(float((g.sum() + 0.95) / (weight.sum() + 1)), tuple(np.clip(of_good, 1e-6, 0.999)), tuple(np.clip(of_bad, 1e-6, 0.999)))
-        good = new.posterior(votes)
-        if model is not None and max(abs(np.array([new.prior, *new.bad_of_good, *new.bad_of_bad]) - np.array([model.prior, *model.bad_of_good, *model.bad_of_bad]))) < 1e-7:
+        mass = weight * member
+        theta = (mass.T @ bad + own) / (mass.T @ (votes >= 0) + 1)
+        share = mass.sum(0) + np.r_[0.95, np.full(rules, 0.05 / rules)]
+        new = VoteModel(share / share.sum(), np.clip(theta, 1e-6, 1 - 1e-6))
+        member = new.classes(votes)
+        if model is not None and max(np.abs(new.share - model.share).max(), np.abs(new.says_bad - model.says_bad).max()) < 1e-7:
             break
         model = new
-    return model or VoteModel(0.95, (0.01,) * votes.shape[1], (0.5,) * votes.shape[1])
+    return new
+
+
+def with_votes(measured: DataFrame) -> DataFrame:
+    """``measured`` with each rule's vote in vote_<rule>."""
+    return measured.withColumns({f"vote_{r.name}": r.vote().cast("int") for r in rules()})
+
+
+def learn(voted: DataFrame) -> VoteModel:
+    """The model of the vote patterns of all rows."""
+    names = [f"vote_{r.name}" for r in rules()]
+    patterns = voted.groupBy(*names).count().collect()
+    votes = np.array([[r[n] for n in names] for r in patterns], int).reshape(-1, len(names))
+    return fit(votes, np.array([r["count"] for r in patterns], float))
+
+
+def verdicts(voted: DataFrame, model: VoteModel, least: float = 0.5) -> DataFrame:
+    """``voted`` with p_good, base_failed and kept, as ``judge`` has them."""
+    names = [f"vote_{r.name}" for r in rules()]
+    log_joint = []
+    for share, says_bad in zip(model.share, model.says_bad, strict=True):
+        terms = [F.when(F.col(n) == 0, float(np.log(t))).when(F.col(n) == 1, float(np.log1p(-t))).otherwise(0.0) for n, t in zip(names, says_bad, strict=True)]
+        log_joint.append(sum(terms, F.lit(float(np.log(share)))))
+    odds = sum((F.exp(x - log_joint[0]) for x in log_joint[2:]), F.exp(log_joint[1] - log_joint[0]))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    out = voted.withColumn("p_good", 1 / (1 + odds)).withColumn("base_failed", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
 
 
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -174,17 +219,17 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     base_failed: fewer than 20 words, or more than 30 % of them in repeated 8-word windows. kept: not
     base_failed and p_good of at least ``least``. Every row is judged by itself, so repeated rows agree;
-    an empty or null text fails. An empty table gives no row.
+    an empty or null text fails. An empty table gives no row. Measurements are written once to the shared
+    folder, for the fit and for the verdicts.
     """
-    use = rules()
-    names = [f"vote_{r.name}" for r in use]
-    measured = written(measurements(docs).select("*", *[r.vote().cast("int").alias(n) for r, n in zip(use, names, strict=True)]), "measured")
-    patterns = measured.groupBy(*names).count().collect()
-    votes = np.array([[r[n] for n in names] for r in patterns] or np.empty((0, len(names))), int).reshape(-1, len(names))
-    model = fit(votes, np.array([r["count"] for r in patterns], float))
-    log_odds = F.lit(float(np.log(model.prior) - np.log1p(-model.prior)))
-    for n, g, b in zip(names, model.bad_of_good, model.bad_of_bad, strict=True):
-        log_odds = log_odds + F.when(F.col(n) == 0, float(np.log(g) - np.log(b))).when(F.col(n) == 1, float(np.log1p(-g) - np.log1p(-b))).otherwise(0.0)
-    p = 1 / (1 + F.exp(-log_odds))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return measured.withColumn("p_good", p).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
+    voted = written(with_votes(measurements(docs.select("doc_id", "text")).drop("text")), "measured")
+    return verdicts(voted, learn(voted), least)
+
+
+def kept(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns; texts are read twice and never shuffled."""
+    model = learn(with_votes(measurements(docs.select("text"))))
+    columns = docs.columns
+    renamed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("rest"))
+    judged = verdicts(with_votes(measurements(renamed)), model, least).where("kept")
+    return judged.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in columns])

@@ -30,17 +30,36 @@ def test_agrees_with_labels(spark, sf):
     assert good.get((False, True), 0) <= 0.05 * (good.get((False, True), 0) + good[False, False])
 
 
-def test_model_finds_accuracies():
+def test_model_finds_kinds_and_accuracies():
     rng = np.random.default_rng(3)
     n = 20_000
-    good = rng.random(n) < 0.8
-    says_bad = np.where(good[:, None], rng.random((n, 4)) < 0.02, rng.random((n, 4)) < np.array([0.7, 0.6, 0.8, 0.5]))
-    votes = np.where(rng.random((n, 4)) < 0.2, -1, np.where(says_bad, 0, 1))
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    kind = rng.choice(4, n, p=[0.85, 0.07, 0.05, 0.03])
+    chance = np.array([[0.004, 0.004, 0.004, 0.004], [0.95, 0.02, 0.02, 0.02], [0.02, 0.9, 0.85, 0.02], [0.02, 0.02, 0.3, 0.9]])
+    votes = np.where(rng.random((n, 4)) < 0.1, -1, np.where(rng.random((n, 4)) < chance[kind], 0, 1))
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     model = quality.fit(patterns, counts)
-    assert abs(model.prior - 0.8) < 0.03
-    assert np.allclose(model.bad_of_bad, [0.7, 0.6, 0.8, 0.5], atol=0.06)
+    good = model.posterior(patterns)[inverse] >= 0.5
+    assert (good == (kind == 0)).mean() > 0.97
+    assert abs(model.prior - 0.85) < 0.03 and model.says_bad[0].max() < 0.01
+
+
+def test_expression_equals_model(docs):
+    voted = quality.with_votes(quality.measurements(docs.select("doc_id", "text")))
+    model = quality.learn(voted)
+    names = [f"vote_{r.name}" for r in quality.rules()]
+    rows = quality.verdicts(voted, model).collect()
+    want = model.posterior(np.array([[r[n] for n in names] for r in rows]))
+    assert np.allclose([r.p_good for r in rows], want)
 
 
 def test_empty(empty):
     assert quality.judge(empty).collect() == []
+
+
+def test_kept_rows_are_whole(docs):
+    judged = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+    rows = quality.kept(docs)
+    assert rows.columns == docs.columns
+    assert {r.doc_id for r in rows.collect()} == judged
+    one = docs.where("doc_id = 0")
+    assert rows.where("doc_id = 0").collect() in ([], one.collect())
