@@ -11,6 +11,7 @@ from ..functions import values
 from ..functions.folder import place
 from ..operators import allocate, dependencies, estimators, inject, pairs, profile, ranks, repair, scale, schema, validate
 from ..sources import tables
+from ..streaming import profiles
 from . import derived, pipeline
 from .derived import CUSTOMER, CUSTOMER_KINDS, LINEITEM, LINEITEM_KINDS, ORDERS, ORDERS_KINDS, cte, table
 
@@ -658,3 +659,21 @@ def sample_customer(spark, sf_dir):
     """A reproducible sample of 100 rows without replacement: the operator's size is the point here."""
     rows = ranks.ranked(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ranks.hashed(SEED, F.col("c_custkey")))
     return rows.where("rank < 100")
+
+
+# --- streaming (an extension) -----------------------------------------------------------------------
+
+
+@query('SELECT event_type AS "group", count(*) AS n, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, round(sum(value), 4) AS total, round(min(value), 6) AS least, round(max(value), 6) AS most FROM events GROUP BY event_type')
+def stream_profile_events(spark, sf_dir):
+    """Events as a stream, profiled batch by batch; the merged profile."""
+    path = place(spark, "stream")
+    # the table may be one file or a folder: a file source stream reads folders, so the file is a pattern's match
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/event[s].parquet")
+    profiles.incremental(source, "event_type", "value", f"{path}/parts", f"{path}/state").awaitTermination()
+    return rounded(rounded(profiles.merged(spark, f"{path}/parts"), "total", digits=4), "least", "most")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type AS \"group\", count(*) AS n, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def window_profile_events(spark, sf_dir):
+    return rounded(profiles.windowed(table(spark, sf_dir, "events"), "ts", "event_type", "value"), "total", digits=4)
