@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import gathered
+from .words import BASE, INVERSE, mixed, power
 
 # Classes of code points in their context, and states of the automaton.
 LETTER, NUMBER, OTHER, CLOSE, SHORT, BLANK, SPACE, INNER, BREAK = range(9)
@@ -104,8 +105,8 @@ def states_before(kinds: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows[before, entry].T).ravel()[: len(kinds)]
 
 
-def pre_tokens(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """(joined texts, starts, ends, number of pre-tokens of each text); starts and ends are code points of the joined text."""
+def pre_tokens(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined texts, their code points, starts, ends, number of pre-tokens of each text); starts and ends count code points of the joined text."""
     joined = "\n".join([*texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     breaks = np.cumsum(np.array([len(x) + 1 for x in texts], np.int64)) - 1
@@ -128,7 +129,7 @@ def pre_tokens(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarra
     real = kinds[starts] != BREAK
     starts, ends = starts[real], ends[real]
     count = np.diff(np.r_[0, np.searchsorted(starts, breaks)])
-    return joined, starts, ends, count
+    return joined, points, starts, ends, count
 
 
 class Vocabulary:
@@ -221,34 +222,176 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Encoder(dict):
-    """Encodes texts; as a mapping it is the cache from pre-tokens to the bytes of their ids (int32).
+class Table:
+    """A hash table from positive 64-bit keys to numbers in arrays, for many keys at once; -1 stands for none."""
+
+    def __init__(self, most: int) -> None:
+        bits = max(4, (4 * max(1, most)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Put in different keys that are not there yet; of those that meet in a free slot one gets it, the others go on."""
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at[left]] == 0
+            self.keys[at[left[free]]] = keys[left[free]]
+            won = self.keys[at[left]] == keys[left]
+            self.values[at[left[won]]] = values[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.values[at], -1)
+        left = np.flatnonzero((seen != keys) & (seen != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            seen = self.keys[at[left]]
+            hit = seen == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (seen != 0)]
+        return out
+
+
+class Pairs:
+    """Which id the pair of two ids makes."""
 
-    The cache is emptied when it holds ``most`` pre-tokens, and long ones are never kept, so memory is
-    bounded; results do not depend on it.
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        keys, made = [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a = ranks.get(token[:k])
+                if a is not None and (b := ranks.get(token[k:])) is not None:
+                    keys.append((a << 32 | b) + 1)
+                    made.append(rank)
+        self.table = Table(len(keys))
+        self.table.add(np.array(keys, np.uint64), np.array(made, np.int64))
+
+    def rank(self, a: np.ndarray, b: np.ndarray, none: int) -> np.ndarray:
+        found = self.table.find((a << 32 | b).astype(np.uint64) + np.uint64(1))
+        found[found < 0] = none
+        return found
+
+
+def merged_all(pieces: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each piece) of many pre-tokens at once; each round merges the best pair of every piece."""
+    lengths = np.array([len(x) for x in pieces], np.int64)
+    first = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    ids = first[np.frombuffer(b"".join(pieces), np.uint8)]
+    own = np.repeat(np.arange(len(pieces)), lengths)
+    place = np.arange(len(ids))
+    spot, never = max(1, int(len(ids)).bit_length()), 1 << 40
+    done_ids, done_own = [], []
+
+    def keyed(i: np.ndarray) -> np.ndarray:
+        """Rank of the pair that starts at each of ``i``, above its place, so that the least is the leftmost of the best."""
+        inside = i + 1 < len(ids)
+        j = np.where(inside, i + 1, i)
+        inside &= own[i] == own[j]
+        out = np.full(len(i), never << spot, np.int64)
+        k = i[inside]
+        out[inside] = pairs.rank(ids[k], ids[k + 1], never) << spot
+        return out | place[i]
+
+    key = keyed(np.arange(len(ids)))
+    while len(ids):
+        start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        best = np.minimum.reduceat(key, start)
+        open_ = best < never << spot
+        if not open_.all():
+            keep = np.repeat(open_, np.diff(np.r_[start, len(ids)]))
+            done_ids.append(ids[~keep])
+            done_own.append(own[~keep])
+            ids, own, place, key = ids[keep], own[keep], place[keep], key[keep]
+            best = best[open_]
+            if not len(ids):
+                break
+        i = np.searchsorted(place, best & ((1 << spot) - 1))
+        ids[i] = best >> spot
+        keep = np.ones(len(ids), bool)
+        keep[i + 1] = False
+        ids, own, place, key = ids[keep], own[keep], place[keep], key[keep]
+        i = i - np.arange(len(i))  # one symbol has gone before each earlier piece's merge
+        key[i] = keyed(i)
+        back = i[(i > 0) & (own[i] == own[i - 1])] - 1
+        key[back] = keyed(back)
+    if not done_ids:
+        return np.empty(0, np.int64), lengths
+    ids, own = np.concatenate(done_ids), np.concatenate(done_own)
+    return ids[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(pieces))
+
+
+class Encoder:
+    """Encodes texts by a cache from pre-tokens to their ids, in front of pair merging.
+
+    The cache is keyed by a 64-bit hash of a pre-token's code points and holds pre-tokens of up to
+    ``longest`` code points; it is emptied before it outgrows ``most`` of them, so memory is bounded and
+    results do not depend on it. Looking up a batch takes a few array operations; only pre-tokens that
+    are not there become strings.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 200_000, longest: int = 48) -> None:
-        super().__init__()
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 48) -> None:
         self.vocabulary, self.most, self.longest = vocabulary, most, longest
+        self.pairs = Pairs(vocabulary.ranks)
+        self.clear()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merged(piece.encode("utf-8", "surrogatepass"), self.vocabulary.ranks), np.int32).tobytes()
-        if len(piece) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def clear(self) -> None:
+        self.table = Table(self.most)
+        self.ids, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _keys(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(points)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(0x51ED270B)) * power(BASE, n), out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * power(INVERSE, n)[starts] + (ends - starts).astype(np.uint64)) | np.uint64(1)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
-        joined, starts, ends, count = pre_tokens(texts)
-        found = list(map(self.__getitem__, map(joined.__getitem__, map(slice, starts.tolist(), ends.tolist()))))
-        ids = np.frombuffer(b"".join(found), np.int32)
-        sizes = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=sizes[1:])
+        joined, points, starts, ends, count = pre_tokens(texts)
+        if not len(starts):
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        keys = self._keys(points, starts, ends)
+        entry = self.table.find(keys)
+        long = ends - starts > self.longest
+        entry[long] = -1
+        new = np.flatnonzero((entry < 0) & ~long)
+        if len(new):
+            fresh, first, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
+            if len(self.starts) + len(fresh) > self.most:
+                self.clear()
+                return self.encode(texts) if len(fresh) <= self.most and len(new) < len(starts) else self._slowly(joined, starts, ends, count)
+            at = new[first]
+            ids, counts = merged_all([joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], self.vocabulary.ranks, self.pairs)
+            self.table.add(fresh, np.arange(len(fresh)) + len(self.starts))
+            entry[new] = inverse + len(self.starts)
+            self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(counts) - counts]
+            self.counts = np.r_[self.counts, counts]
+            self.ids = np.r_[self.ids, ids.astype(np.int32)]
+        store, first, many = self.ids, self.starts, self.counts
+        if long.any():
+            own = [merged(joined[a:b].encode("utf-8", "surrogatepass"), self.vocabulary.ranks) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            lengths = np.array([len(x) for x in own], np.int64)
+            entry[long] = len(first) + np.arange(len(own))
+            first = np.r_[first, len(store) + np.cumsum(lengths) - lengths]
+            many = np.r_[many, lengths]
+            store = np.r_[store, np.concatenate([np.array(x, np.int32) for x in own])]
+        sizes = many[entry]
+        upto = np.cumsum(sizes)
+        ids = store[np.arange(upto[-1]) + np.repeat(first[entry] - (upto - sizes), sizes)]
         last = np.cumsum(count)
-        return ids, sizes[last] - sizes[last - count]
+        total = np.r_[0, upto]
+        return ids, total[last] - total[last - count]
+
+    def _slowly(self, joined: str, starts: np.ndarray, ends: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the cache, for a batch that alone would outgrow it."""
+        ids, counts = merged_all([joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], self.vocabulary.ranks, self.pairs)
+        total, last = np.r_[0, np.cumsum(counts)], np.cumsum(count)
+        return ids.astype(np.int32), total[last] - total[last - count]
 
 
 _encoders: dict[str, Encoder] = {}

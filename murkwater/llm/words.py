@@ -20,13 +20,13 @@ _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
+def power(base: np.uint64, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, kept between batches."""
     key = str(base)
     if key not in _powers or len(_powers[key]) < n:
@@ -103,9 +103,9 @@ def word_hashes(w: Words, lower: bool = False, block: int = 1 << 19) -> np.ndarr
         n = int(w.ends[j - 1] - base)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(table[w.data[base : base + n]] * _power(_BASE, n), out=sums[1:])
+        np.cumsum(table[w.data[base : base + n]] * power(BASE, n), out=sums[1:])
         start, end = w.starts[i:j] - base, w.ends[i:j] - base
-        out[i:j] = mixed((sums[end] - sums[start]) * _power(_INVERSE, n)[start] + (end - start).astype(np.uint64))
+        out[i:j] = mixed((sums[end] - sums[start]) * power(INVERSE, n)[start] + (end - start).astype(np.uint64))
         i = j
     return out
 

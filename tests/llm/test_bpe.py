@@ -61,6 +61,13 @@ def test_long_pieces(own, library):
     assert split(own, texts) == [library.encode_ordinary(t) for t in texts]
 
 
+def test_small_cache(library, texts):
+    small = bpe.Encoder(bpe.Vocabulary.of_ranks(RANKS), most=500)
+    for lo in range(0, len(texts), 7):
+        some = [t or "" for t in list(texts.values())[lo : lo + 7]]
+        assert split(small, some) == [library.encode_ordinary(t) for t in some]
+
+
 def test_round_trip_and_offsets(spark, docs, texts, empty, library):
     v = bpe.Vocabulary.of_ranks(RANKS)
     rows = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, v), v).collect()}
