@@ -37,6 +37,7 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 _SPACE = re.compile(r"\s+")
 
@@ -44,12 +45,10 @@ _SPACE = re.compile(r"\s+")
 def _apart(tag: str, attributes: str) -> bool:
     if tag in APART:
         return True
-    if not attributes or "=" not in attributes:
-        return False
-    if re.search(r"\bhidden\b", attributes) and tag != "body":
-        return True
     if tag in ("body", "html", "article", "main"):
         return False
+    if _HIDDEN.search(attributes):
+        return True
     return any(not MARKS.isdisjoint(re.split(r"[^a-z]+", "".join(m).lower())) for m in _MARK.findall(attributes))
 
 
@@ -88,6 +87,8 @@ def _nodes(page: str) -> list[tuple[tuple, str, int]]:
                 if path[k][0] == tag:
                     close(k)
                     break
+            else:
+                block += tag == "p"  # counts as an empty paragraph
             continue
         if tag in BLOCK:
             block += 1

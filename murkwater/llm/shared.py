@@ -1,31 +1,16 @@
-"""What the text operators share: the shared folder, partition counts and packed exchanges."""
+"""What the text operators share: written tables, partition counts and packed exchanges."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from ..functions.folder import written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (tests on one machine) is a local folder made.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="murkwater-")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/murkwater/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["gathered", "packed", "partitions", "record", "unpacked", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
