@@ -100,22 +100,25 @@ def fit(docs: DataFrame, most_docs: int = 4000, smoothing: float = 0.5) -> Model
 
     At most about ``most_docs`` documents of each language are used, picked by a hash of doc_id with a
     threshold from the language's number of documents; every document that is used counts whole.
-    Priors come from all labelled documents. Without any, the model has no language.
+    Priors come from all labelled documents. Without any, the model has no language. The languages, their
+    sizes and the counts by bucket come to the driver, which holds the model anyway.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").count()
-    share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) < F.lit(most_docs) / F.col("count") * (1 << 20)
-    sample = labelled.join(sizes, "lang").where(share).select("text", "lang").repartition(16)
+    known = sorted((r["lang"], r["count"]) for r in labelled.groupBy("lang").count().collect())
+    if not known:
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
+    least = F.create_map(*[F.lit(x) for lang, n in known for x in (lang, int((1 << 20) * min(1.0, most_docs / n)))])
+    share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) < F.element_at(least, F.col("lang"))
+    sample = labelled.where(share).select("text", "lang").repartition(16)
     counts = sample.mapInArrow(_counted(), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    known = sorted((r["lang"], r["count"]) for r in sizes.collect())
     languages = [x for x, _ in known]
     at = {x: i for i, x in enumerate(languages)}
-    table = np.full((1 << BITS, max(1, len(languages))), smoothing)
+    table = np.full((1 << BITS, len(languages)), smoothing)
     if counts.num_rows:
         column = np.array([at[x] for x in counts["lang"].to_pylist()])
         table[counts["bucket"].to_numpy(), column] += counts["n"].to_numpy()
     prior = np.array([n for _, n in known], float)
-    return Model(languages, np.log(table / table.sum(0)).astype(np.float32), np.log(prior / prior.sum()) if len(known) else np.zeros(0))
+    return Model(languages, np.log(table / table.sum(0)).astype(np.float32), np.log(prior / prior.sum()))
 
 
 def _scored(model, at_most: int):
