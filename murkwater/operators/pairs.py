@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import as_double, canonical, differs, missing_number, missing_text, number
@@ -43,13 +43,27 @@ def align(clean: DataFrame, dirty: DataFrame, key: list[str], columns: list[str]
     return both.withColumn("_side", side).drop("_in_clean", "_in_dirty")
 
 
+def positioned(df: DataFrame, name: str = "_row_id") -> DataFrame:
+    """``df`` with each row's 0-based place in its source, for tables without a key.
+
+    A row's place in its partition is the low part of its generated id; partitions start after those
+    before them. Only partition sizes are summed up in one place. Sources must split alike whenever they
+    are read, as files do.
+    """
+    rows = df.withColumn("_m", F.monotonically_increasing_id())
+    sizes = rows.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
+    first = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(sizes.select("_p", first.alias("_f"))), "_p")
+    return placed.withColumn(name, F.col("_f") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_f")
+
+
 def fences(pair: DataFrame, numeric: list[str]) -> dict[str, Fences]:
     """All limits in one aggregation; a few numbers for each column come to the driver."""
     if not numeric:
         return {}
-    made = []
+    made, stored = [], dict(pair.dtypes)
     for c in numeric:
-        v = as_double(F.col(c))
+        v = number(F.col(c)) if stored[c] == "string" else as_double(F.col(c))
         made += [F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{c}_q"), F.avg(v).alias(f"{c}_m"), F.stddev_samp(v).alias(f"{c}_s"), F.min(v).alias(f"{c}_lo"), F.max(v).alias(f"{c}_hi")]
     row = pair.agg(*made).first()
     out = {}

@@ -44,3 +44,15 @@ def correlation_drift(original: DataFrame, generated: DataFrame, tolerance: floa
     """Pairwise correlations (a, b, r) differ by at most ``tolerance``."""
     both = original.withColumnRenamed("r", "expected").join(generated.withColumnRenamed("r", "actual"), ["a", "b"])
     return both.select(F.lit("correlation").alias("check"), F.concat_ws("~", "a", "b").alias("column"), "expected", "actual", F.lit(tolerance).alias("tolerance"), (F.abs(F.col("actual") - F.col("expected")) <= tolerance).alias("passed"))
+
+
+def distincts(clean: DataFrame, generated: DataFrame, estimates: DataFrame, factor: float) -> DataFrame:
+    """Distinct values of each generated column against clean ones plus those estimated for errors.
+
+    ``clean`` and ``generated`` have (column, distinct_excl_null), ``estimates`` (column, typos, missing,
+    outliers). For information: passed says whether they agree within 10 %.
+    """
+    both = clean.withColumnRenamed("distinct_excl_null", "base").join(generated.withColumnRenamed("distinct_excl_null", "actual"), "column").join(estimates, "column", "left").na.fill(0)
+    expected = (F.col("base") + F.col("typos") + F.col("missing") + F.col("outliers") * factor).cast("double")
+    actual = F.col("actual").cast("double")
+    return both.select(F.lit("distinct").alias("check"), "column", expected.alias("expected"), actual.alias("actual"), F.lit(0.1).alias("tolerance"), (F.abs(actual - expected) <= 0.1 * expected).alias("passed"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folder import written
+from ..functions.values import number
 from ..operators import inject, pairs, profile, scale, validate
 from ..operators.allocate import allocate, new_count
 from ..operators.ranks import hashed
@@ -30,6 +31,12 @@ def numeric(kinds: dict[str, str]) -> list[str]:
     return [c for c, k in kinds.items() if k == "num"]
 
 
+def dirty_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The dirty side of numeric columns as numbers, under the columns' own names; text that is no number is null."""
+    stored = dict(df.dtypes)
+    return df.select(*[(number(F.col(c + pairs.DIRTY)) if stored[c + pairs.DIRTY] == "string" else F.col(c + pairs.DIRTY)).alias(c) for c in columns])
+
+
 def plan_edits(scaled: DataFrame, cells: DataFrame, pair: DataFrame, kinds: dict[str, str], limits: dict[str, pairs.Fences], factor: float, seed: int) -> DataFrame:
     """Edits for all columns and classes; what the driver learns are counts and means of each column, a few numbers.
 
@@ -111,7 +118,7 @@ def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, s
         edits = written(plan_edits(scaled, cells, pair, kinds, limits, factor, seed), "edits")
         generated = inject.apply(scaled, edits, columns)
     again = pairs.class_counts(pairs.classify(generated, ["_row_id"], kinds, limits))
-    dirty = lambda df: df.select(*[F.col(c + pairs.DIRTY).alias(c) for c in numeric(kinds)])
+    dirty = lambda df: dirty_numbers(df, numeric(kinds))
     checks = validate.counts(original, again, factor)
     if numeric(kinds):
         stats = validate.statistics(profile.moments(dirty(pair), numeric(kinds), True), profile.moments(dirty(generated), numeric(kinds), True), ["mean", "var", "min", "max"])

@@ -313,6 +313,27 @@ def est_compat_part(spark, sf_dir):
     return _estimates(spark, sf_dir, compat=True)
 
 
+def _error_estimates(cells: DataFrame, what: str) -> DataFrame:
+    fof = pairs.histogram(cells, what).groupBy(F.col("col").alias("column"), F.col("n").alias("i")).agg(F.count("*").alias("f"))
+    return estimators.estimates(fof, 2.0).select("column", "d", "n", "shlosser", "haas_stokes", "estimate")
+
+
+def _error_estimates_sql(cells: str) -> str:
+    head = ESTIMATES_SQL[ESTIMATES_SQL.index("fof AS") :].replace("fof AS (SELECT col, i, count(*) AS f FROM (SELECT col, v, count(*) AS i FROM cells GROUP BY col, v) GROUP BY col, i)", f"fof AS (SELECT col, i, count(*) AS f FROM ({cells}) GROUP BY col, i)")
+    return head + 'SELECT col AS "column", d, n, shlosser, haas_stokes, greatest(shlosser, haas_stokes) AS estimate FROM e'
+
+
+@query(CUSTOMER_CTE + ", " + _error_estimates_sql("SELECT col, dirty, count(*) AS i FROM cells WHERE NOT swap AND NOT known GROUP BY ALL"))
+def est_typos_customer(spark, sf_dir):
+    """How many distinct misspellings a table of twice the size would have."""
+    return _error_estimates(_customer_cells(spark, sf_dir), "typo")
+
+
+@query(ORDERS_CTE + ", " + _error_estimates_sql("SELECT 'o_totalprice' AS col, dirty, count(*) AS i FROM price WHERE mv GROUP BY ALL").replace("s AS (", "sums AS (").replace("FROM s)", "FROM sums)"))
+def est_mv_orders(spark, sf_dir):
+    return _error_estimates(_orders_cells(spark, sf_dir), "mv")
+
+
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, 'l_quantity' AS a, 'l_extendedprice' AS b FROM lineitem UNION ALL SELECT round(corr(l_quantity, l_discount), 6), 'l_quantity', 'l_discount' FROM lineitem UNION ALL SELECT round(corr(l_extendedprice, l_discount), 6), 'l_extendedprice', 'l_discount' FROM lineitem")
 def corr_lineitem(spark, sf_dir):
     return rounded(profile.correlations(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), "r")
