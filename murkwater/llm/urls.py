@@ -26,19 +26,15 @@ def path(url: Column) -> Column:
 
 
 def _key(host: Column, path: Column) -> Column:
-    """Digest of an expression; a host has no ``/``, so the first one parts the two unless the path has none."""
-    return F.sha2(F.concat(host, F.lit("\n"), path).cast("binary"), 256)
+    """SHA-256 of an expression, its two parts told apart by a line feed."""
+    return F.unhex(F.sha2(F.concat(host, F.lit("\n"), path).cast("binary"), 256))
 
 
 def prepared(rules: DataFrame) -> DataFrame:
-    """Rules (verdict, host, path) with their digests; of equal rules a block outranks an allow."""
+    """Rules (verdict, host, path) with digest, its short prefix and the path's length; of equal rules a block outranks an allow."""
     keyed = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    return keyed.select(
-        F.concat("host", "path").alias("rule"),
-        "verdict",
-        _key(F.col("host"), F.col("path")).alias("digest"),
-        F.length("path").alias("path_length"),
-    ).withColumn("short", F.substring("digest", 1, 2 * PREFIX))
+    digest = _key(F.col("host"), F.col("path"))
+    return keyed.select(F.concat("host", "path").alias("rule"), "verdict", digest.alias("digest"), F.substring(digest, 1, PREFIX).alias("short"), F.length("path").alias("path_length"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataFrame:
@@ -59,8 +55,10 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("p")), lambda n: F.substring(F.col("p"), F.lit(1), n))
     opened = distinct.where("h <> ''").select("known", F.explode(suffixes).alias("suffix"), "p").select("known", "suffix", F.explode(prefixes).alias("prefix"))
-    digest = opened.select("known", _key(F.col("suffix"), F.col("prefix")).alias("full")).withColumn("short", F.substring("full", 1, 2 * PREFIX))
-    hits = digest.join(keyed, "short").where(F.col("full") == F.col("digest"))
+    digest = opened.select("known", _key(F.col("suffix"), F.col("prefix")).alias("full")).withColumn("short", F.substring("full", 1, PREFIX))
+    listed = keyed.groupBy("short").agg(F.collect_list(F.struct("digest", "rule", "verdict")).alias("rules"))  # as many as share four bytes
+    confirmed = F.filter("rules", lambda r: r["digest"] == F.col("full"))
+    hits = digest.join(listed, "short").select("known", F.explode(confirmed).alias("hit")).select("known", "hit.rule", "hit.verdict")
     best = hits.groupBy("known").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule").alias("n"), F.col("rule").alias("r"))).alias("best"))
     rows = pages.select("page_id", "url").join(best, F.col("url") == F.col("known"), "left")
     return rows.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
