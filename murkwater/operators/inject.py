@@ -82,7 +82,7 @@ def typo(text: Column, salt: Column) -> Column:
 
 def missing_values(histogram: DataFrame, total: int, wanted: int, numeric: bool) -> DataFrame:
     """(value, planned) of missing tokens: the existing ones and, up to ``wanted`` distinct, new ones in natural order."""
-    tokens = ["-9999", "99999", "0-*", "NA", "NAN", "NaN", "nan"] if not numeric else ["-9999", "99999"]
+    tokens = ["-9999", "99999"] if numeric else ["-9999", "99999", *MISSING_TEXTS]
     spark = histogram.sparkSession
     fresh = spark.createDataFrame([(t, i) for i, t in enumerate(sorted(tokens))], "value string, i int").join(histogram.select("value"), "value", "left_anti")
     known = histogram.count()
@@ -132,8 +132,3 @@ def apply(scaled: DataFrame, edits: DataFrame, columns: list[str], suffix: str =
 def drop_clean(values: DataFrame, clean: DataFrame) -> DataFrame:
     """Values (value, ...) that no clean cell (value) has."""
     return values.join(clean.select("value").distinct(), "value", "left_anti")
-
-
-def token(value: str) -> bool:
-    """Whether a text is one of the fixed missing tokens."""
-    return value in MISSING_TEXTS

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.folder import written
 from ..functions.values import number
-from ..operators import inject, pairs, profile, scale, validate
+from ..operators import estimators, inject, pairs, profile, scale, validate
 from ..operators.allocate import allocate, new_count
-from ..operators.ranks import hashed
 
 
 @dataclass
@@ -70,9 +69,10 @@ def _line_plan(own: DataFrame, pair: DataFrame, column: str, kind: str, r, limit
     """(value, planned, error_class) of a column's missing values, outliers and typos."""
     found = None
     if r["MV"]:
-        old = own.where("error_class = 'MV'").groupBy(F.col("dirty").alias("value")).agg(F.count("*").alias("n")).withColumn("g", F.lit(0))
-        total = old.groupBy("g").agg(new_count(F.sum("n"), factor).alias("total"))
-        found = allocate(old, total, ["g"]).select("value", "planned", F.lit("MV").alias("error_class"))
+        old = written(own.where("error_class = 'MV'").groupBy(F.col("dirty").alias("value")).agg(F.count("*").alias("n")), "missing")
+        fof = old.groupBy(F.lit(column).alias("column"), F.col("n").alias("i")).agg(F.count("*").alias("f"))
+        wanted = estimators.estimates(fof, factor).first().estimate
+        found = inject.missing_values(old, scale.rounded(r["MV"], factor), wanted, kind == "num").withColumn("error_class", F.lit("MV"))
     if r["OUTLIER"]:
         seen = own.where("error_class = 'OUTLIER'").agg(F.count_distinct("dirty")).first()[0]
         mean = pair.agg(F.avg(column)).first()[0]
@@ -124,8 +124,3 @@ def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, s
         stats = validate.statistics(profile.moments(dirty(pair), numeric(kinds), True), profile.moments(dirty(generated), numeric(kinds), True), ["mean", "var", "min", "max"])
         checks = checks.unionByName(stats)
     return Run(cells, original, scaled, edits, generated, again, checks)
-
-
-def sampled(df: DataFrame, key: list[str], seed: int) -> DataFrame:
-    """Rows in the reproducible order of ``hashed``; for looking at data."""
-    return df.orderBy(hashed(seed, *[F.col(k) for k in key]))
