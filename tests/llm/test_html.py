@@ -45,3 +45,10 @@ def test_rows(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted(r.text for r in got.collect()) == ["", "a", "a"]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_unclosed_quotes_and_many_openings():
+    assert main_text('<div><p class="x>one</p><p>two</p></div>') == "one\ntwo"
+    assert main_text("<" * 200_000) == "<" * 200_000
+    assert main_text("<p>a</p>" + '<x "' * 50_000).startswith("a")
+    assert main_text("<p>" + "word " * 400_000).count("word") == 400_000
