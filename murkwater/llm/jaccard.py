@@ -297,15 +297,18 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, most_byt
     links = written(_linked(tried, sets, share), "links")
     stars = written(components(links), "stars")
     placed = keys.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    placed = placed.join(split, "key", "left_semi")
+    roots = placed.groupBy("key", "root").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots"))
+    placed = placed.join(roots.where("roots > 1").select("key", "main"), "key")
     open_nodes = placed.select("node").distinct()
     bitmaps = sets.select("node", "tokens").join(open_nodes, "node", "left_semi").mapInArrow(_bitmaps, "node long, " + ", ".join(f"m{k} long" for k in range(LIMBS)))
     placed = placed.join(bitmaps, "node")
     differ = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(1, LIMBS)), F.bit_count(F.col("x.m0").bitwiseXOR(F.col("y.m0"))))
     fits = (100 + percent) * (F.col("x.n") + F.col("y.n") - differ) >= 2 * percent * (F.col("x.n") + F.col("y.n"))
-    second = placed.alias("x").join(placed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y") & fits)
-    rest = written(second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs").join(tried, ["a", "b"], "left_anti")
+    # of a key's components the largest is not compared within itself: only sets outside it look for partners
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    second = placed.where("root <> main").alias("x").join(placed.alias("y"), apart & possible("x", "y") & fits)
+    found = second.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    rest = written(found, "pairs").join(tried, ["a", "b"], "left_anti")
     more = written(_linked(rest, sets, share), "links")
     roots = components(links.union(more))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
