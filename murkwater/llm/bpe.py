@@ -413,7 +413,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 def _encoded(shared, key: str):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared)
-        for table in gathered(batches, 1_000_000):
+        for table in gathered(batches, 400_000):
             ids, counts = own.encode([x or "" for x in table["text"].to_pylist()])
             lengths = own.vocabulary.lengths[ids]
             ends = np.cumsum(counts)

@@ -98,7 +98,7 @@ def _packed(shared, added: list[str], path: str | None, most: int, block: int, q
             size = 0
 
         kind = pa.int64()
-        for table in gathered(batches, 1_000_000):
+        for table in gathered(batches, 400_000):
             kind = table.schema.field("doc_id").type
             texts = [x or "" for x in table["text"].to_pylist()]
             ids, counts = own.encode(texts)
