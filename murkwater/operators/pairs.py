@@ -87,7 +87,7 @@ def diff_cells(pair: DataFrame, key: list[str], kinds: dict[str, str], limits: d
     """
     limits = fences(pair, [c for c, k in kinds.items() if k == "num"]) if limits is None else limits
     stored = dict(pair.dtypes)
-    cells = []
+    cells, any_differ = [], F.lit(False)
     for i, (c, kind) in enumerate(kinds.items()):
         clean, dirty = F.col(c), F.col(c + DIRTY)
         is_text = stored[c + DIRTY] == "string"
@@ -99,6 +99,7 @@ def diff_cells(pair: DataFrame, key: list[str], kinds: dict[str, str], limits: d
         else:
             missing, outside = missing_text(dirty, False, blank_is_missing), F.lit(False)
             differ = differs(clean, dirty)
+        any_differ = any_differ | differ
         cells.append(
             F.struct(
                 F.lit(i).alias("ord"), F.lit(c).alias("col"), F.lit(kind).alias("kind"), clean.cast("string").alias("clean"), dirty.cast("string").alias("dirty"),
@@ -114,7 +115,7 @@ def diff_cells(pair: DataFrame, key: list[str], kinds: dict[str, str], limits: d
             F.array_min(F.transform(F.filter(F.col("_own"), lambda o: (o["ord"] != x["ord"]) & ~o["mv"] & ~x["mv"] & (o["was"] == x["now"]) & (o["now"] == x["was"])), lambda o: o["ord"])).alias("swap_with"),
         ),
     )
-    rows = pair.select(*key, own.alias("_own")).where(F.size("_own") > 0)
+    rows = pair.where(any_differ).select(*key, own.alias("_own"))  # the test alone is cheap; cells are made for differing rows only
     return rows.select(*key, F.explode(swapped).alias("_cell")).select(*key, "_cell.*")
 
 
