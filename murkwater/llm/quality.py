@@ -160,12 +160,13 @@ class VoteModel:
         return self.classes(votes)[:, 0]
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, steps: int = 300) -> VoteModel:
+def fit(votes: np.ndarray, counts: np.ndarray, steps: int = 300, trust: float = 0.002) -> VoteModel:
     """Expectation-maximisation on vote patterns (rows of 1, 0, -1) with their counts.
 
-    Starts from the belief that a document of which some rule says bad is of those rules' kinds. Small
-    pseudo-counts (good documents are rarely called bad, a kind is called bad by its own rule) keep every
-    estimate inside (0, 1), so rules that never vote and an empty corpus do no harm.
+    Starts from the belief that a document of which some rule says bad is of those rules' kinds. That
+    rules seldom call good documents bad is a prior belief as strong as the corpus (``trust``: how often);
+    without it the junk of a rule that agrees with no other could as well be that rule's errors. Small
+    pseudo-counts keep every estimate inside (0, 1), so rules that never vote and an empty corpus do no harm.
     """
     rules = votes.shape[1]
     bad = (votes == 0).astype(float)
@@ -174,11 +175,12 @@ def fit(votes: np.ndarray, counts: np.ndarray, steps: int = 300) -> VoteModel:
     member[:, 0] = np.where(some, 0.05, 0.99)
     member[:, 1:] = np.where(some[:, None], 0.95 * bad / np.maximum(bad.sum(1, keepdims=True), 1), 0.01 / rules)
     weight = counts.astype(float)[:, None]
-    own = np.vstack([np.full((1, rules), 0.01), np.eye(rules) * 0.8 + 0.05])  # of one pseudo-document each
+    own = np.vstack([np.full((1, rules), trust), np.eye(rules) * 0.8 + 0.05])  # of pseudo-documents:
+    pseudo = np.r_[weight.sum() + 1, np.ones(rules)][:, None]
     model = None
     for _ in range(steps):
         mass = weight * member
-        theta = (mass.T @ bad + own) / (mass.T @ (votes >= 0) + 1)
+        theta = (mass.T @ bad + own * pseudo) / (mass.T @ (votes >= 0) + pseudo)
         share = mass.sum(0) + np.r_[0.95, np.full(rules, 0.05 / rules)]
         new = VoteModel(share / share.sum(), np.clip(theta, 1e-6, 1 - 1e-6))
         member = new.classes(votes)
