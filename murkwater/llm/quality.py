@@ -12,6 +12,8 @@ Only the pattern counts come to the driver; there are at most 3^rules (6561) pat
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +27,37 @@ from .words import SPACE, Words, grams, mixed, raw, word_hashes, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_exclaims", "n_echoes", "n_distinct")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_lower", "n_unspaced", "n_exclaims", "n_echoes", "n_fresh")
+#: Words of a window inside which words are told apart, so that the share of fresh words does not fall with a text's length.
+WINDOW = 500
+#: Letters with case that a text needs for a vote on its capitals.
+LEAST_CASED = 20
+_LETTER, _UPPER, _LOWER, _UNSPACED = 1, 2, 4, 8
+#: Blocks of scripts written without blanks between words: Thai to Myanmar, Khmer, Tai, Javanese, kana, Han, Yi.
+_UNSPACED_BLOCKS = [(0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA48F), (0xA980, 0xA9DF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
+_kinds: list[np.ndarray] = []
+
+
+def _code_point_kinds() -> np.ndarray:
+    """For each code point whether it is a letter, upper or title case, lower case, of a script without blanks."""
+    if not _kinds:
+        case = {"Lu": _LETTER | _UPPER, "Lt": _LETTER | _UPPER, "Ll": _LETTER | _LOWER, "Lm": _LETTER, "Lo": _LETTER}
+        table = np.array([case.get(unicodedata.category(chr(i)), 0) for i in range(sys.maxunicode + 1)], np.uint8)
+        for first, last in _UNSPACED_BLOCKS:
+            table[first : last + 1] |= _UNSPACED
+        _kinds.append(table)
+    return _kinds[0]
+
+
+def _beyond_ascii(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the characters beyond ASCII of UTF-8 ``data`` start, and their kinds."""
+    at = np.flatnonzero(data >= 0xC0)
+    if not len(at):
+        return at, np.empty(0, np.uint8)
+    lead = data[at].astype(np.int32)
+    a, b, c = (data[np.minimum(at + i, len(data) - 1)].astype(np.int32) & 0x3F for i in (1, 2, 3))
+    three, four = (lead & 0x0F) << 12 | a << 6 | b, (lead & 0x07) << 18 | a << 12 | b << 6 | c
+    return at, _code_point_kinds()[np.where(lead < 0xE0, (lead & 0x1F) << 6 | a, np.where(lead < 0xF0, three, four))]
 
 
 def _per_row(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -71,14 +103,22 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     again = at[many[inverse] > 1]
     cover = np.bincount(again, minlength=len(h) + 8)[: len(h) + 8] - np.bincount(again + 8, minlength=len(h) + 8)[: len(h) + 8]
     out["n_repeat_words"] = _per_row(np.cumsum(cover)[: len(h)] > 0, w.first)
+    at, kind = _beyond_ascii(data)
+    bounds = np.searchsorted(at, off)
     out["n_upper"] = _per_row((data >= 65) & (data <= 90), off)
     out["n_lower"] = _per_row((data >= 97) & (data <= 122), off)
+    out["n_letters"] = out["n_upper"] + out["n_lower"] + _per_row(kind & _LETTER > 0, bounds)
+    out["n_upper"] += _per_row(kind & _UPPER > 0, bounds)
+    out["n_lower"] += _per_row(kind & _LOWER > 0, bounds)
+    out["n_unspaced"] = _per_row(kind & _UNSPACED > 0, bounds)
     out["n_exclaims"] = _per_row(data == ord("!"), off)
     echo = np.zeros(len(h), bool)
     if len(h):
         echo[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
     out["n_echoes"] = _per_row(echo, w.first)
-    out["n_distinct"] = out["n_words"] - _later_copies(h, row, n)
+    starts = np.r_[0, np.cumsum(-(-out["n_words"] // WINDOW))]
+    window = starts[row] + (np.arange(len(h)) - w.first[row]) // WINDOW
+    out["n_fresh"] = out["n_words"] - _per_row(_later_copies(h, window, int(starts[-1])), starts)
     return out
 
 
@@ -94,8 +134,10 @@ def measurements(docs: DataFrame) -> DataFrame:
 
     n_words, word_chars (code points in words), n_symbols (of ``#*$%&|<>``), n_lines (with a word),
     n_dup_lines (those equal to an earlier one), n_repeat_words (words inside 8-word windows that are
-    found twice or more), n_upper and n_lower (A-Z, a-z), n_exclaims, n_echoes (words equal to the word
-    before), n_distinct (words). Columns of ``docs`` with such names give way.
+    found twice or more), n_letters (of any script), n_upper and n_lower (those in upper or title case, and
+    in lower case), n_unspaced (code points of scripts without blanks between words), n_exclaims, n_echoes
+    (words equal to the word before), n_fresh (words not found earlier in their window of 500 words,
+    counted from the text's start). Columns of ``docs`` with such names give way.
     """
     rows = docs.drop(*MEASURES)
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{k} long" for k in MEASURES])
@@ -119,18 +161,22 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """The rules in use, at most eight; a share of no words is null, so a text without words gets no vote."""
-    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
-    letters = F.col("n_upper") + F.col("n_lower")
+    """The rules in use, at most eight; a share of no words is null, so a text without words gets no vote.
+
+    Where blanks do not part words, each code point counts as a unit beside the words that blanks part.
+    """
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b) if isinstance(b, str) else b)
+    units = F.col("n_words") + F.col("n_unspaced")
+    cased = F.col("n_upper") + F.col("n_lower")
     return [
-        Rule("symbols", share("n_symbols", "n_words"), 0.05, 0.2),
+        Rule("symbols", share("n_symbols", units), 0.05, 0.2),
         Rule("repeats", share("n_repeat_words", "n_words"), 0.2, 0.6),
         Rule("same_lines", share("n_dup_lines", "n_lines"), 0.2, 0.6),
-        Rule("capitals", F.try_divide(F.col("n_upper").cast("double"), letters), 0.2, 0.5),
-        Rule("exclaims", share("n_exclaims", "n_words"), 0.1, 0.5),
+        Rule("capitals", F.when(cased >= LEAST_CASED, share("n_upper", "n_letters")), 0.2, 0.5),
+        Rule("exclaims", share("n_exclaims", units), 0.1, 0.5),
         Rule("echoes", share("n_echoes", "n_words"), 0.1, 0.3),
-        Rule("distinct", share("n_distinct", "n_words"), 0.3, 0.08),
-        Rule("word_length", share("word_chars", "n_words"), 9.0, 14.0),
+        Rule("distinct", share("n_fresh", "n_words"), 0.3, 0.08),
+        Rule("word_length", share("word_chars", units), 9.0, 14.0),
     ]
 
 

@@ -63,3 +63,38 @@ def test_kept_rows_are_whole(docs):
     assert {r.doc_id for r in rows.collect()} == judged
     one = docs.where("doc_id = 0")
     assert rows.where("doc_id = 0").collect() in ([], one.collect())
+
+
+def _others():
+    """Clean texts that are unlike the rest: other scripts with a few Latin names, and very long ones."""
+    rng = np.random.default_rng(11)
+    pick = lambda letters, n, m: ["".join(rng.choice(list(letters), m)) for _ in range(n)]
+    russian = pick("абвгдежзиклмнопрстуфхцчшыюя", 400, 6)
+    han = "".join(chr(0x4E00 + i) for i in range(3000))
+    names = ["IBM", "NASA", "CPU", "DNA", "HTML", "USB"]
+    out = []
+    for _ in range(9):
+        out.append(" ".join(["IBM", *rng.permutation(russian)[:200]]))
+        out.append(" ".join(f"{x}{rng.choice(names)}{y}\u3002" for x, y in zip(pick(han, 30, 18), pick(han, 30, 12), strict=True)))
+        out.append(" ".join(f"{x}" for x in pick("กขคงจฉชซญดตถทธนบปผพฟมยรลวสหอ", 25, 40)))
+        out.append(" ".join(f"word{i}" for i in rng.integers(0, 4000, 60_000)))
+    return out
+
+
+def test_clean_texts_of_other_scripts_and_lengths_stay(spark, sf):
+    names = [f"vote_{r.name}" for r in quality.rules()]
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    others = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(_others())], "doc_id long, text string")
+    got = quality.judge(docs.union(others)).where("doc_id >= 10000000").collect()
+    assert len(got) == 36
+    assert [(r.doc_id, n) for r in got for n in names if r[n] == 0] == []
+    assert all(r.kept for r in got)
+
+
+def test_case_counts_in_every_script(spark):
+    texts = ["ВСЕ БУКВЫ ЗДЕСЬ ЗАГЛАВНЫЕ " * 8, "Καλημέρα κόσμε όμορφε σήμερα " * 8, "IBM", "字字字 IBM NASA 字字字字字字字字", "one two " * 200 + "three"]
+    voted = quality.with_votes(quality.measurements(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    got = sorted(voted.collect(), key=lambda r: r.doc_id)
+    assert [r.vote_capitals for r in got] == [0, 1, -1, -1, 1]
+    assert [(r.n_letters, r.n_upper, r.n_lower, r.n_unspaced) for r in got][:4] == [(176, 176, 0, 0), (200, 8, 192, 0), (3, 3, 0, 0), (18, 7, 0, 11)]
+    assert got[4].vote_distinct == 0 and got[4].n_fresh == 3
