@@ -4,8 +4,9 @@ A page is read as a sequence of text nodes, each with its path of open elements
 length and punctuation are summed for each distinct path; their ratios to the path's number of nodes are
 smoothed along the page, fused into one score, and paths above a threshold relative to the page's best
 are content. The smallest element that holds nearly all content text is the article: its nodes make the
-text, so headings and short paragraphs of the article stay although their own paths score low. Elements
-that are boilerplate by name or by class (menus, adverts, forms, comments and so on) never count.
+text, so headings and short paragraphs of the article stay although their own paths score low; content
+beside it comes along. Menus, footers and controls never count. Other names of boilerplate (a class, a
+form, an aside) are evidence: such elements are left out unless they hold far more prose than the rest.
 """
 
 from __future__ import annotations
@@ -25,12 +26,19 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that are never part of an article.
-APART = frozenset("nav footer header aside form head button select option menu dialog svg canvas object audio video fieldset label".split()) | RAW
+#: Elements that are never part of an article, and those that seldom are.
+APART = frozenset("nav footer head button select option menu svg canvas object audio video label".split()) | RAW
+SELDOM = frozenset("header aside form dialog fieldset".split())
 #: Words of a class, id or role that mark an element as no part of an article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus consent cookie cookies disclaimer footer gdpr header masthead menu menubar nav navbar navigation newsletter notice notices alert modal overlay pagination pager popup promo promoted related recommended share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo search".split()
 )
+#: First and last words of a class that tell how a page is laid out, such as with-sidebar or comments-open.
+LAYOUT = (frozenset("with without has no not hide show".split()), frozenset("open closed on off enabled disabled".split()))
+#: Marks that say little of what an element holds, and those of text that may well be longer than the article.
+WEAK, STRONG = frozenset("widget widgets form header".split()), frozenset("comment comments commentlist disqus".split())
+#: Characters of prose that a marked kind of element needs to be content.
+LEAST_PROSE = 100
 #: Elements that hold blocks of an article side by side.
 HOLDERS = frozenset("article main section div td body html center blockquote".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -42,31 +50,41 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 _SPACE = re.compile(r"\s+")
 
 
-def _apart(tag: str, attributes: str) -> bool:
+def _marks(tag: str, attributes: str, inside: bool) -> frozenset | None:
+    """Words that mark an element as boilerplate; None if it is no part of any article. ``inside`` an article, headers are its own."""
     if tag in APART:
-        return True
+        return None
     if tag in ("body", "html", "article", "main"):
-        return False
+        return frozenset()
     if _HIDDEN.search(attributes):
-        return True
-    return any(not MARKS.isdisjoint(re.split(r"[^a-z]+", "".join(m).lower())) for m in _MARK.findall(attributes))
+        return None
+    found = {tag} & SELDOM
+    for m in _MARK.findall(attributes):
+        for name in "".join(m).lower().split():
+            parts = re.findall(r"[a-z]+", name)
+            if parts and parts[0] not in LAYOUT[0] and parts[-1] not in LAYOUT[1]:
+                found |= MARKS & {parts[0], parts[-1]}
+    return frozenset(found - {"header"} if inside else found)
+
 
+def _nodes(page: str) -> list[tuple[tuple, str, int, frozenset]]:
+    """Text nodes as (elements from the root, text, block number, kinds of marked elements around it).
 
-def _nodes(page: str) -> list[tuple[tuple, str, int]]:
-    """Text nodes as (elements from the root, text, block number); an element is (tag, its number)."""
-    out: list[tuple[tuple, str, int]] = []
-    path: list[tuple[str, int, bool]] = []
+    An element is (tag, its number), a kind (tag, words that mark it).
+    """
+    out: list[tuple[tuple, str, int, frozenset]] = []
+    path: list[tuple[str, int, bool, frozenset]] = []  # the kinds are those of all elements up to this one
     apart = block = number = at = 0
 
     def text(chunk: str) -> None:
         if not apart and chunk and not chunk.isspace():
-            out.append((tuple((t, n) for t, n, _ in path), entities.unescape(chunk), block))
+            out.append((tuple(x[:2] for x in path), entities.unescape(chunk), block, path[-1][3] if path else frozenset()))
         elif not apart and chunk and out and out[-1][2] == block:
-            out.append((out[-1][0], " ", block))
+            out.append((out[-1][0], " ", block, path[-1][3] if path else frozenset()))
 
     def close(k: int) -> None:
         nonlocal apart, block
-        for t, _, a in path[k:]:
+        for t, _, a, _ in path[k:]:
             apart -= a
             block += t in BLOCK
         del path[k:]
@@ -115,11 +133,52 @@ def _nodes(page: str) -> list[tuple[tuple, str, int]]:
         if m[3].endswith("/") and tag not in BLOCK:
             continue
         number += 1
-        path.append((tag, number, mark := _apart(tag, m[3])))
-        apart += mark
+        inside = tag == "header" or "header" in m[3].lower()
+        marks = _marks(tag, m[3], inside and any(x[0] in ("article", "main") for x in path))
+        kinds = path[-1][3] if path else frozenset()
+        path.append((tag, number, marks is None, kinds | {(tag, marks)} if marks else kinds))
+        apart += marks is None
     return out
 
 
+def _admitted(nodes: list[tuple[tuple, str, int, frozenset]]) -> list[tuple[tuple, str, int]]:
+    """The nodes outside marked elements, and those inside kinds of them that must be the content by their prose.
+
+    A kind is let in if it holds more than three times the prose outside marks (once for weak marks; twenty
+    times for comments, and for what is outside an article that has prose), the kind of most prose first.
+    """
+    if not any(n[3] for n in nodes):
+        return [n[:3] for n in nodes]
+    sizes: dict[tuple, list] = {}
+    for elements, text, block, kinds in nodes:
+        x = sizes.setdefault((block, kinds), [0, 0, frozenset(e for e in elements if e[0] in ("article", "main"))])
+        x[0] += len(text.strip())
+        x[1] += len(_PUNCTUATION.findall(text))
+    prose = [(kinds, size, named) for (_, kinds), (size, points, named) in sizes.items() if size >= 80 or (points and size >= 25)]
+    let: set = set()
+    while True:
+        live, within, held, around = 0, {}, {}, {}
+        for kinds, size, named in prose:
+            if kinds <= let:
+                live += size
+                for e in named:
+                    within[e] = within.get(e, 0) + size
+            for kind in kinds - let:
+                held[kind] = held.get(kind, 0) + size
+                around.setdefault(kind, set()).update(named)
+        articles = {e for e, size in within.items() if size >= LEAST_PROSE}
+
+        def times(kind: tuple, articles: set = articles, around: dict = around) -> int:
+            if kind[1] & STRONG or (articles and articles.isdisjoint(around[kind])):
+                return 20
+            return 1 if kind[1] <= WEAK else 3
+
+        more = [(size, kind) for kind, size in held.items() if size >= LEAST_PROSE and size > times(kind) * live]
+        if not more:
+            return [n[:3] for n in nodes if n[3] <= let]
+        let.add(max(more, key=lambda x: x[0])[1])
+
+
 def _smoothed(x: np.ndarray, reach: int = 2) -> np.ndarray:
     """Weighted mean of each value and its neighbours."""
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / 1.0) ** 2)
@@ -136,9 +195,16 @@ def _container(element: tuple | None, content: list[tuple]) -> tuple | None:
     return (named or [e for e in around if e[0] in HOLDERS] or around[:1])[-1]
 
 
+def _beside(elements: tuple) -> tuple | None:
+    """The nearest element that holds several blocks around a node; of the whole page only the part that the node is in, if any."""
+    k = max((i for i, e in enumerate(elements) if e[0] in HOLDERS), default=0)
+    k += bool(elements) and elements[k][0] in ("body", "html")
+    return elements[k] if k < len(elements) else None
+
+
 def main_text(page: str | None, threshold: float = 0.1, share: float = 0.9) -> str:
     """The article's blocks joined by newlines; empty if the page has no text outside boilerplate."""
-    nodes = _nodes(page or "")
+    nodes = _admitted(_nodes(page or ""))
     solid = [n for n in nodes if not n[1].isspace()]
     if not solid:
         return ""
@@ -155,6 +221,7 @@ def main_text(page: str | None, threshold: float = 0.1, share: float = 0.9) -> s
     score: dict[tuple, float] = {}
     for p, f in zip(paths, fused.tolist(), strict=True):
         score[p] = max(f, score.get(p, 0.0))
+    alone = {p: x[0] / x[2] * (1 + x[1] / x[2]) ** 0.5 for p, x in sums.items()}
     least = threshold * max(score.values())
     content = [n for p, n in zip(paths, solid, strict=True) if score[p] >= least]
     total = sum(len(n[1]) for n in content)
@@ -163,9 +230,15 @@ def main_text(page: str | None, threshold: float = 0.1, share: float = 0.9) -> s
         for element in n[0]:
             held[element] = held.get(element, 0) + len(n[1])
     article = _container(max((e for e, size in held.items() if size >= share * total), key=lambda e: e[1], default=None), content)
+    parts, loose = {article}, set()
+    if article is not None and article[0] not in ("article", "main"):
+        for n in content:  # content beside it, by its own score and not by its neighbours', with the element that holds it
+            if article not in n[0] and alone[tuple(t for t, _ in n[0])] >= least:
+                part = _beside(n[0])
+                parts.add(part) if part else loose.add(n[2])
     blocks: dict[int, list[str]] = {}
     for elements, text, block in nodes:
-        if article is None or article in elements:
+        if article is None or block in loose or not parts.isdisjoint(elements):
             blocks.setdefault(block, []).append(text)
     lines = (_SPACE.sub(" ", "".join(x)).strip() for x in blocks.values())
     return "\n".join(x for x in lines if x)

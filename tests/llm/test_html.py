@@ -52,3 +52,43 @@ def test_unclosed_quotes_and_many_openings():
     assert main_text("<" * 200_000) == "<" * 200_000
     assert main_text("<p>a</p>" + '<x "' * 50_000).startswith("a")
     assert main_text("<p>" + "word " * 400_000).count("word") == 400_000
+
+
+PROSE = [f"Sentence {i} of the story, which is about as long as such a sentence is, ends here." for i in range(12)]
+STORY = "".join(f"<p>{x}</p>" for x in PROSE)
+
+
+@pytest.mark.parametrize(
+    "open_, close",
+    [
+        ('<div class="widget Blog">', "</div>"),
+        ('<div class="elementor-widget-text-editor">', "</div>"),
+        ('<div class="elementor-element elementor-widget elementor-widget-text-editor"><div class="elementor-widget-container">', "</div></div>"),
+        ('<div class="content with-sidebar">', "</div>"),
+        ('<div class="single comments-open">', "</div>"),
+        ('<form id="aspnetForm" action="x">', "</form>"),
+        ('<div class="modal"><div class="modal-body">', "</div></div>"),
+    ],
+)
+def test_marked_wrappers_of_the_article_stay(open_, close):
+    page = f"<body><nav>Home, about.</nav>{open_}<h1>Title</h1>{STORY}<div class=sidebar><p>Other stories, here.</p></div>{close}<footer>f</footer></body>"
+    assert main_text(page) == "\n".join(["Title", *PROSE])
+    parts = f"<body><main>{''.join(f'{open_}<p>{x}</p><p>{x}</p>{close}' for x in PROSE)}</main><div class=related><p>Other stories, here.</p></div></body>"
+    assert main_text(parts) == "\n".join(x for x in PROSE for _ in "ab")
+
+
+def test_long_comments_go():
+    assert main_text(f"<body><div><h1>Title</h1><p>{PROSE[0]}</p></div><div class=comments>{STORY}</div></body>") == f"Title\n{PROSE[0]}"
+    assert main_text(f"<body><article><h1>Title</h1>{STORY[:400]}</article><div class=related>{STORY}</div></body>").count("\n") < 6
+
+
+def test_header_inside_an_article_stays():
+    page = f'<body><header><h1>Site</h1></header><article><header class="entry-header"><h1>Title</h1></header>{STORY}<footer>f</footer></article></body>'
+    assert main_text(page) == "\n".join(["Title", *PROSE])
+
+
+def test_content_beside_the_container_stays():
+    page = f"<body><div id=top><a>Home</a> <a>About</a></div><div id=post><div class=lead><p>{PROSE[0]}</p></div><div class=body>{STORY[len(PROSE[0]) + 7:]}</div></div></body>"
+    got = main_text(page)
+    assert got.startswith(PROSE[0] + "\n") and "Home" not in got and got.endswith(PROSE[-1])
+    assert main_text(f"<body>{PROSE[0]}<div class=body>{STORY[len(PROSE[0]) + 7:]}</div></body>").startswith(PROSE[0] + "\n")
