@@ -7,11 +7,15 @@ is kept by its posterior probability of being good, not by passing every rule. (
 kinds, one to start with for each rule: with a single bad class, rules that fire together would be
 taken for its mark, and junk of which a single rule speaks for an error of that rule.)
 
-Only the pattern counts come to the driver; there are at most 3^rules (6561) patterns at any size.
+A measurement far beyond its rule's limit gets a second vote: one rule's word is taken for that rule's
+error while its kind is rare, but not both.
+
+Only the pattern counts come to the driver; there are at most 3^2 * 4^6 (36864) patterns at any size.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -161,14 +165,17 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """The rules in use, at most eight; a share of no words is null, so a text without words gets no vote.
+    """The rules in use; a share of no words is null, so a text without words gets no vote.
+
+    Rules named far_ only ever vote bad. There is none for capitals, as clean texts may be all in capitals,
+    nor for repeats, as the base rules come first.
 
     Where blanks do not part words, each code point counts as a unit beside the words that blanks part.
     """
     share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b) if isinstance(b, str) else b)
     units = F.col("n_words") + F.col("n_unspaced")
     cased = F.col("n_upper") + F.col("n_lower")
-    return [
+    two = [
         Rule("symbols", share("n_symbols", units), 0.05, 0.2),
         Rule("repeats", share("n_repeat_words", "n_words"), 0.2, 0.6),
         Rule("same_lines", share("n_dup_lines", "n_lines"), 0.2, 0.6),
@@ -178,6 +185,8 @@ def rules() -> list[Rule]:
         Rule("distinct", share("n_fresh", "n_words"), 0.3, 0.08),
         Rule("word_length", share("word_chars", units), 9.0, 14.0),
     ]
+    far = {"symbols": 3.0, "same_lines": 0.9, "exclaims": 2.0, "echoes": 0.6, "distinct": 0.03, "word_length": 40.0}
+    return two + [Rule(f"far_{r.name}", r.value, -math.inf if r.bad > r.good else math.inf, far[r.name]) for r in two if r.name in far]
 
 
 @dataclass(frozen=True)

@@ -98,3 +98,15 @@ def test_case_counts_in_every_script(spark):
     assert [r.vote_capitals for r in got] == [0, 1, -1, -1, 1]
     assert [(r.n_letters, r.n_upper, r.n_lower, r.n_unspaced) for r in got][:4] == [(176, 176, 0, 0), (200, 8, 192, 0), (3, 3, 0, 0), (18, 7, 0, 11)]
     assert got[4].vote_distinct == 0 and got[4].n_fresh == 3
+
+
+def test_far_junk_goes_however_rare(spark, sf):
+    path = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    plain = [f"w{i}" for i in range(40)]
+    junk = [" ".join(x for w in plain[:8] for x in [w] * 6), "!!! ".join(plain) + "!!!", " ".join("q" * 60 + w for w in plain)]
+    doubled = " ".join(x for w in plain[:14] for x in [w] * 2) + " " + " ".join(plain[14:])
+    both = docs.union(spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate([*junk, doubled])], "doc_id long, text string"))
+    got = {r.doc_id: r for r in quality.judge(both).where("doc_id >= 10000000").collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[10_000_000 + i].kept for i in range(4)] == [False, False, False, True]
