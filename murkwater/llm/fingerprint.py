@@ -1,6 +1,6 @@
 """Document fingerprints: a threshold-scaled sketch of 5-word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range (1/8), so sketches of any two
+A sketch keeps every shingle hash below a fixed fraction of the hash range (1/2), so sketches of any two
 texts, however unequal in length, can be merged and compared. Texts of few shingles keep them all
 (fraction 1); two sketches are compared at the smaller of their fractions. A fingerprint is the string
 ``scale.size.digest.hashes``: the fraction's inverse, the number of distinct shingles, a digest of the
@@ -21,7 +21,9 @@ from .shared import gathered, partitions
 from .words import gram_sets, mixed
 
 #: Inverse of the fraction of hashes that a sketch keeps, and up to how many shingles it keeps all.
-SCALE, FEW = 8, 128
+SCALE, FEW = 2, 128
+#: Kept hashes that an estimate needs where not all are kept.
+LEAST = 4
 _TOP = np.int64(2**48)
 
 
@@ -47,24 +49,29 @@ def read_back(text: str) -> tuple[int, int, int, np.ndarray]:
     return int(scale), int(size), int(digest, 16), wide.view(">u8").ravel().astype(np.int64)
 
 
-def likeness(a: tuple, b: tuple) -> tuple[float, float]:
+def likeness(a: tuple, b: tuple) -> tuple[float | None, float | None]:
     """Estimated (resemblance, containment of the smaller) of two sketches, 0 to 1.
 
-    Sets with equal digests have 1, the empty set with itself too; sketches that keep nothing at the
-    common fraction have 0.
+    Sets with equal digests have 1, the empty set with itself too; with any other set it has 0. None
+    where the common fraction leaves fewer than four hashes to judge by: of both sets for the
+    resemblance, of the smaller one for the containment. Where all are kept, any number will do.
     """
     if a[1] == b[1] and a[2] == b[2]:
         return 1.0, 1.0
+    if not a[1] or not b[1]:
+        return 0.0, 0.0
     x, y = a[3], b[3]
+    scale = max(a[0], b[0])
     if a[0] != b[0]:
-        most = _TOP // max(a[0], b[0])
-        x, y = x[x < most], y[y < most]
-    if not len(x) or not len(y):
-        return 0.0, 0.0
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    both = int((y[at] == x).sum())
-    return both / (len(x) + len(y) - both), both / min(len(x), len(y))
+        x, y = x[x < _TOP // scale], y[y < _TOP // scale]
+    both = 0
+    if len(y):
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        both = int((y[at] == x).sum())
+    few = 1 if scale == 1 else LEAST
+    union, smaller = len(x) + len(y) - both, len(x) if a[1] < b[1] else len(y) if b[1] < a[1] else min(len(x), len(y))
+    return both / union if union >= few else None, both / smaller if smaller >= few else None
 
 
 def merged(a: str, b: str) -> str:

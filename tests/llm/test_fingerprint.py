@@ -55,3 +55,21 @@ def test_empty_single_ties_and_nulls(spark, empty):
     rows = [(1, "bb"), (1, "aa"), (None, "zz"), (2, None), (1, "bb")]
     got = fingerprint.edited_with_next(spark.createDataFrame(rows, "doc_id long, text string")).orderBy(F.col("doc_id").asc_nulls_last(), "edited").collect()
     assert [(r.doc_id, r.edited) for r in got] == [(1, "ab"), (1, "b"), (1, "bb"), (2, ""), (None, "za")]
+
+
+def test_excerpts_of_long_texts_are_contained():
+    import pyarrow as pa
+
+    from murkwater.llm.words import gram_sets
+
+    words = [f"w{i}" for i in range(6000)]
+    whole = fingerprint.sketch(gram_sets(pa.array([" ".join(words)]), 5)[0])
+    for length in (20, 60, 132, 133, 200):
+        parts = gram_sets(pa.array([" ".join(words[i : i + length]) for i in range(0, 5800, 7)]), 5)
+        got = [fingerprint.likeness(fingerprint.sketch(x), whole)[1] for x in parts]
+        assert set(got) <= {1.0, None} and got.count(None) <= 0.03 * len(got)
+    short, empty = gram_sets(pa.array(["w1 w2 w3 w4 w5", ""]), 5)
+    assert fingerprint.likeness(fingerprint.sketch(short), whole)[1] is None
+    assert fingerprint.likeness(fingerprint.sketch(short), whole)[0] < 0.001
+    assert fingerprint.likeness(fingerprint.sketch(empty), whole) == (0.0, 0.0)
+    assert fingerprint.likeness(fingerprint.sketch(short), fingerprint.sketch(gram_sets(pa.array(["w1 w2 w3 w4 w5 w6"]), 5)[0])) == (0.5, 1.0)
