@@ -24,8 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: some letters, and a posterior of at least one half."""
+    """Documents whose language is recognised: some letters, and a posterior of at least one half.
+
+    If there is no labelled document to learn a language from, all documents with letters.
+    """
     model = langid.fit(docs)
+    if not model.languages:
+        return docs.select(COLUMNS).where(F.col("text").rlike(r"\p{L}"))
     return langid.identify(docs.select(COLUMNS), model).where("lang_pred <> 'und' and score >= 0.5").select(COLUMNS)
 
 

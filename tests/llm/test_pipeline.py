@@ -44,3 +44,11 @@ def test_run_and_odd_rows(spark, sf, docs):
         for name, stage in corpus_pipeline.STAGES:
             now = corpus_pipeline.written(stage(spark, now, sf), name)
         assert now.columns[:4] == ["doc_id", "start", "length", "tokens"]
+
+
+def test_without_labels_documents_with_letters_stay(spark, sf):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, "слова", None), (4, None, None), (5, "字", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("x"), "n_chars": F.lit(1).cast("long")})
+    out = corpus_pipeline.language_id(spark, docs, sf)
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 5]
