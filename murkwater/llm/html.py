@@ -1,12 +1,13 @@
 """Main-text extraction by tag-path ratios.
 
-A page is read as a sequence of text nodes, each with its path of open elements from the root. Text
-length and punctuation are summed for each distinct path; their ratios to the path's number of nodes are
-smoothed along the page, fused into one score, and paths above a threshold relative to the page's best
-are content. The smallest element that holds nearly all content text is the article: its nodes make the
-text, so headings and short paragraphs of the article stay although their own paths score low; content
-beside it comes along. Menus, footers and controls never count. Other names of boilerplate (a class, a
-form, an aside) are evidence: such elements are left out unless they hold far more prose than the rest.
+A page is read as a sequence of blocks of text, each with the path of block elements from the root to it.
+Text length and punctuation outside links are summed for each distinct path; their ratios to the path's
+number of blocks are smoothed along the page among the blocks that one element holds, and fused with the
+path's (or that element's) share of the page's text, and the share of it that is not in links. A block is content if its fused ratio reaches a threshold
+relative to the page's highest; a heading goes with the block that it heads. Names of elements and
+classes never decide by themselves: they are factors of the fused ratio (``WEIGHT``, ``MARKED``, ``NAMED``),
+so an article inside a marked wrapper still has the highest ratio of its page, and an unmarked menu inside
+an article has none. What is no text of a page (scripts, controls, hidden elements) is not read.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +28,29 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that are never part of an article, and those that seldom are.
-APART = frozenset("nav footer head button select option menu svg canvas object audio video label".split()) | RAW
-SELDOM = frozenset("header aside form dialog fieldset".split())
-#: Words of a class, id or role that mark an element as no part of an article.
+#: Elements whose content is not read as text of a page.
+UNREAD = frozenset("head button select option menu svg canvas object audio video label".split()) | RAW
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Lists, tables and quotes: what they hold is smoothed with the blocks around them.
+WITHIN = frozenset("ul ol li dl dt dd table tbody thead tfoot tr td th caption figure figcaption blockquote".split())
+#: Factors of elements that seldom or never hold an article.
+WEIGHT = {"nav": 0.001, "footer": 0.001, "aside": 0.005, "dialog": 0.005, "header": 0.05, "form": 0.1, "fieldset": 0.1}
+#: Words of a class, id or role, and the factor of each different one around a block.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus consent cookie cookies disclaimer footer gdpr header masthead menu menubar nav navbar navigation newsletter notice notices alert modal overlay pagination pager popup promo promoted related recommended share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo search".split()
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer gdpr masthead menu nav navbar navigation newsletter notice notices modal pagination popup promo related share sharing sidebar sponsored subscribe widget".split()
 )
 #: First and last words of a class that tell how a page is laid out, such as with-sidebar or comments-open.
-LAYOUT = (frozenset("with without has no not hide show".split()), frozenset("open closed on off enabled disabled".split()))
-#: Marks that say little of what an element holds, and those of text that may well be longer than the article.
-WEAK, STRONG = frozenset("widget widgets form header".split()), frozenset("comment comments commentlist disqus".split())
-#: Characters of prose that a marked kind of element needs to be content.
-LEAST_PROSE = 100
-#: Elements that hold blocks of an article side by side.
-HOLDERS = frozenset("article main section div td body html center blockquote".split())
+LAYOUT = (frozenset("with without has no hide show".split()), frozenset("open closed on off enabled disabled".split()))
+MARKED, LOOSELY_MARKED = 0.005, {"widget": 0.1, "share": 0.1, "related": 0.1}
+#: Characters of text outside links without which a page has no content if all it has is marked.
+LEAST_MARKED = 100
+#: The factor of blocks inside an article or main element against the page's highest ratio, and that of
+#: marked blocks outside it on a page that has one.
+NAMED, OUTSIDE = 20.0, 0.05
+#: Characters and punctuation marks of a block from which on more says no more.
+MOST_LENGTH, MOST_POINTS = 200.0, 8.0
+#: How much of what an element holds at any depth counts for the share of a block right inside it.
+NESTED = 0.5
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
@@ -50,42 +60,63 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 _SPACE = re.compile(r"\s+")
 
 
-def _marks(tag: str, attributes: str, inside: bool) -> frozenset | None:
-    """Words that mark an element as boilerplate; None if it is no part of any article. ``inside`` an article, headers are its own."""
-    if tag in APART:
+def _evidence(tag: str, attributes: str) -> dict[str, float] | None:
+    """Factors by name of an element; None if its content is not read."""
+    if tag in UNREAD or _HIDDEN.search(attributes):
         return None
-    if tag in ("body", "html", "article", "main"):
-        return frozenset()
-    if _HIDDEN.search(attributes):
-        return None
-    found = {tag} & SELDOM
-    for m in _MARK.findall(attributes):
-        for name in "".join(m).lower().split():
-            parts = re.findall(r"[a-z]+", name)
-            if parts and parts[0] not in LAYOUT[0] and parts[-1] not in LAYOUT[1]:
-                found |= MARKS & {parts[0], parts[-1]}
-    return frozenset(found - {"header"} if inside else found)
-
-
-def _nodes(page: str) -> list[tuple[tuple, str, int, frozenset]]:
-    """Text nodes as (elements from the root, text, block number, kinds of marked elements around it).
-
-    An element is (tag, its number), a kind (tag, words that mark it).
-    """
-    out: list[tuple[tuple, str, int, frozenset]] = []
-    path: list[tuple[str, int, bool, frozenset]] = []  # the kinds are those of all elements up to this one
-    apart = block = number = at = 0
+    found = {tag: WEIGHT[tag]} if tag in WEIGHT else {}
+    if tag not in ("body", "html", "article", "main"):
+        for m in _MARK.findall(attributes):
+            for name in "".join(m).lower().split():
+                parts = re.findall(r"[a-z]+", name)
+                if parts and parts[0] not in LAYOUT[0] and parts[-1] not in LAYOUT[1]:
+                    found |= {x: LOOSELY_MARKED.get(x, MARKED) for x in (parts[0], parts[-1]) if x in MARKS}
+    return found
+
+
+@dataclass
+class Block:
+    """A block of text: block elements around it as (tag, number), factors by name, texts, and what they sum up to."""
+
+    elements: tuple
+    factors: dict
+    texts: list[str] = field(default_factory=list)
+    size: int = 0
+    linked: int = 0
+    points: int = 0
+
+
+def _blocks(page: str) -> list[Block]:
+    """Blocks of text in page order; blank ones are left out."""
+    out: list[Block] = []
+    path: list[tuple[str, int, bool, dict]] = []  # tag, number, whether it is unread, factors of all elements up to it
+    unread = links = block = number = at = 0
+    last_block = -1
 
     def text(chunk: str) -> None:
-        if not apart and chunk and not chunk.isspace():
-            out.append((tuple(x[:2] for x in path), entities.unescape(chunk), block, path[-1][3] if path else frozenset()))
-        elif not apart and chunk and out and out[-1][2] == block:
-            out.append((out[-1][0], " ", block, path[-1][3] if path else frozenset()))
+        nonlocal last_block
+        if unread or not chunk:
+            return
+        blank = chunk.isspace()
+        if block != last_block:
+            if blank:
+                return
+            out.append(Block(tuple(x[:2] for x in path if x[0] in BLOCK), path[-1][3] if path else {}))
+            last_block = block
+        now = out[-1]
+        chunk = entities.unescape(chunk)
+        now.texts.append(chunk)
+        if links:
+            now.linked += len(chunk.strip())
+        elif not blank:
+            now.size += len(chunk.strip())
+            now.points += len(_PUNCTUATION.findall(chunk))
 
     def close(k: int) -> None:
-        nonlocal apart, block
-        for t, _, a, _ in path[k:]:
-            apart -= a
+        nonlocal unread, links, block
+        for t, _, u, _ in path[k:]:
+            unread -= u
+            links -= t == "a"
             block += t in BLOCK
         del path[k:]
 
@@ -133,114 +164,86 @@ def _nodes(page: str) -> list[tuple[tuple, str, int, frozenset]]:
         if m[3].endswith("/") and tag not in BLOCK:
             continue
         number += 1
-        inside = tag == "header" or "header" in m[3].lower()
-        marks = _marks(tag, m[3], inside and any(x[0] in ("article", "main") for x in path))
-        kinds = path[-1][3] if path else frozenset()
-        path.append((tag, number, marks is None, kinds | {(tag, marks)} if marks else kinds))
-        apart += marks is None
+        found = _evidence(tag, m[3])
+        if found and tag != "form" and any(x[0] in ("article", "main") for x in path):
+            found = {k: v for k, v in found.items() if k != "header"}  # headers of articles are their own
+        factors = path[-1][3] if path else {}
+        path.append((tag, number, found is None, factors | found if found else factors))
+        unread += found is None
+        links += tag == "a"
     return out
 
 
-def _admitted(nodes: list[tuple[tuple, str, int, frozenset]]) -> list[tuple[tuple, str, int]]:
-    """The nodes outside marked elements, and those inside kinds of them that must be the content by their prose.
-
-    A kind is let in if it holds more than three times the prose outside marks (once for weak marks; twenty
-    times for comments, and for what is outside an article that has prose), the kind of most prose first.
-    """
-    if not any(n[3] for n in nodes):
-        return [n[:3] for n in nodes]
-    sizes: dict[tuple, list] = {}
-    for elements, text, block, kinds in nodes:
-        x = sizes.setdefault((block, kinds), [0, 0, frozenset(e for e in elements if e[0] in ("article", "main"))])
-        x[0] += len(text.strip())
-        x[1] += len(_PUNCTUATION.findall(text))
-    prose = [(kinds, size, named) for (_, kinds), (size, points, named) in sizes.items() if size >= 80 or (points and size >= 25)]
-    let: set = set()
-    while True:
-        live, within, held, around = 0, {}, {}, {}
-        for kinds, size, named in prose:
-            if kinds <= let:
-                live += size
-                for e in named:
-                    within[e] = within.get(e, 0) + size
-            for kind in kinds - let:
-                held[kind] = held.get(kind, 0) + size
-                around.setdefault(kind, set()).update(named)
-        articles = {e for e, size in within.items() if size >= LEAST_PROSE}
-
-        def times(kind: tuple, articles: set = articles, around: dict = around) -> int:
-            if kind[1] & STRONG or (articles and articles.isdisjoint(around[kind])):
-                return 20
-            return 1 if kind[1] <= WEAK else 3
-
-        more = [(size, kind) for kind, size in held.items() if size >= LEAST_PROSE and size > times(kind) * live]
-        if not more:
-            return [n[:3] for n in nodes if n[3] <= let]
-        let.add(max(more, key=lambda x: x[0])[1])
-
-
 def _smoothed(x: np.ndarray, reach: int = 2) -> np.ndarray:
-    """Weighted mean of each value and its neighbours."""
-    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / 1.0) ** 2)
-    return np.convolve(x, weights, "same")[: len(x)] / np.convolve(np.ones(len(x)), weights, "same")[: len(x)] if len(x) > reach * 2 else x
-
-
-def _container(element: tuple | None, content: list[tuple]) -> tuple | None:
-    """The article or main element around an element, else the nearest one that can hold several blocks."""
-    if element is None:
-        return None
-    around = next(n[0] for n in content if element in n[0])
-    around = around[: around.index(element) + 1]
-    named = [e for e in around if e[0] in ("article", "main")]
-    return (named or [e for e in around if e[0] in HOLDERS] or around[:1])[-1]
-
-
-def _beside(elements: tuple) -> tuple | None:
-    """The nearest element that holds several blocks around a node; of the whole page only the part that the node is in, if any."""
-    k = max((i for i, e in enumerate(elements) if e[0] in HOLDERS), default=0)
-    k += bool(elements) and elements[k][0] in ("body", "html")
-    return elements[k] if k < len(elements) else None
-
-
-def main_text(page: str | None, threshold: float = 0.1, share: float = 0.9) -> str:
-    """The article's blocks joined by newlines; empty if the page has no text outside boilerplate."""
-    nodes = _admitted(_nodes(page or ""))
-    solid = [n for n in nodes if not n[1].isspace()]
-    if not solid:
+    """Weighted mean of each value and its neighbours; beyond the ends there is nothing."""
+    weights = np.exp(-0.5 * np.arange(-reach, reach + 1) ** 2)
+    sums, mass = np.convolve(x, weights), np.convolve(np.ones(len(x)), weights)
+    return sums[reach : reach + len(x)] / mass[reach : reach + len(x)]
+
+
+def _fused(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's fused tag-path ratio, without and with what is said for elements named article or main."""
+    parents = {e for b in blocks for e in b.elements[:-1]}
+    paths, homes, units = [], [], []
+    for i, b in enumerate(blocks):
+        # text beside block elements stands in no block of its own
+        elements = (*b.elements, ("", -i)) if b.elements and b.elements[-1] in parents else b.elements
+        k = next((k for k in range(len(elements) - 2, -1, -1) if elements[k][0] not in WITHIN), -1)
+        paths.append((tuple(t for t, _ in elements), tuple(sorted(b.factors))))
+        homes.append(elements[: k + 1])
+        units.append(elements[: k + 2] or (("", -i),))
+    kinds = {p: i for i, p in enumerate(dict.fromkeys(paths))}
+    of = np.array([kinds[p] for p in paths])
+    size, linked, points = (np.bincount(of, [getattr(b, k) for b in blocks]) for k in ("size", "linked", "points"))
+    many = np.bincount(of)
+    ratio, point = np.minimum(size / many, MOST_LENGTH)[of], np.minimum(points / many, MOST_POINTS)[of]
+    share = size[of].astype(float)
+    total: dict[tuple, int] = {}
+    for b in blocks:
+        for e in b.elements:
+            total[e] = total.get(e, 0) + b.size
+    held: dict[tuple, dict[tuple, list[int]]] = {}
+    for i, (h, u) in enumerate(zip(homes, units, strict=True)):
+        held.setdefault(h, {}).setdefault(u, []).append(i)
+    for inside in held.values():
+        runs = list(inside.values())
+        for x in (ratio, point):
+            for at, mean in zip(runs, _smoothed(np.array([x[at].mean() for at in runs])).tolist(), strict=True):
+                x[at] = mean
+        every = [i for at in runs for i in at]
+        share[every] = np.maximum(share[every], sum(blocks[i].size for i in every))
+    for i, h in enumerate(homes):  # elements that hold both the block and the rest of an article
+        if h and (h[-1][0] not in ("body", "html") or h == blocks[i].elements):
+            share[i] = max(share[i], NESTED * total[h[-1]])
+    free = (size / np.maximum(size + linked, 1))[of]
+    fused = ratio * np.sqrt(1 + point) * share / max(share.max(), 1) * free
+    named = np.array([any(t in ("article", "main") for t, _ in b.elements) for b in blocks])
+    evidence = np.array([float(np.prod(list(b.factors.values()))) for b in blocks])
+    if (fused[named & (evidence == 1)] > 0).any():
+        evidence[~named & (evidence < 1)] *= OUTSIDE
+    fused *= evidence
+    after = None
+    for i in range(len(blocks) - 1, -1, -1):
+        b = blocks[i].elements
+        if not b or b[-1][0] not in HEADINGS:
+            after = i
+        elif after is not None:
+            around = homes[i][:-1] if len(homes[i]) > 1 and homes[i][-2][0] not in ("body", "html") else homes[i]
+            if blocks[after].elements[: len(around)] == around and homes[i]:
+                fused[i] = max(fused[i], fused[after] * min(1.0, evidence[i] / evidence[after] if evidence[after] else 1.0))
+    return fused, np.where(named, fused * NAMED, fused)
+
+
+def main_text(page: str | None, threshold: float = 0.25) -> str:
+    """The content blocks of a page joined by newlines; empty if it has no text but links and controls."""
+    blocks = _blocks(page or "")
+    if not blocks:
+        return ""
+    fused, favoured = _fused(blocks)
+    top = fused.max()
+    if blocks[int(fused.argmax())].factors and sum(b.size for b in blocks) < LEAST_MARKED:
         return ""
-    sums: dict[tuple, list[float]] = {}
-    paths = [tuple(t for t, _ in n[0]) for n in solid]
-    for p, n in zip(paths, solid, strict=True):
-        x = sums.setdefault(p, [0, 0, 0])
-        x[0] += len(n[1].strip())
-        x[1] += len(_PUNCTUATION.findall(n[1]))
-        x[2] += 1
-    length = _smoothed(np.array([sums[p][0] / sums[p][2] for p in paths]))
-    points = _smoothed(np.array([sums[p][1] / sums[p][2] for p in paths]))
-    fused = length * np.sqrt(1 + points)
-    score: dict[tuple, float] = {}
-    for p, f in zip(paths, fused.tolist(), strict=True):
-        score[p] = max(f, score.get(p, 0.0))
-    alone = {p: x[0] / x[2] * (1 + x[1] / x[2]) ** 0.5 for p, x in sums.items()}
-    least = threshold * max(score.values())
-    content = [n for p, n in zip(paths, solid, strict=True) if score[p] >= least]
-    total = sum(len(n[1]) for n in content)
-    held: dict[tuple, int] = {}
-    for n in content:
-        for element in n[0]:
-            held[element] = held.get(element, 0) + len(n[1])
-    article = _container(max((e for e, size in held.items() if size >= share * total), key=lambda e: e[1], default=None), content)
-    parts, loose = {article}, set()
-    if article is not None and article[0] not in ("article", "main"):
-        for n in content:  # content beside it, by its own score and not by its neighbours', with the element that holds it
-            if article not in n[0] and alone[tuple(t for t, _ in n[0])] >= least:
-                part = _beside(n[0])
-                parts.add(part) if part else loose.add(n[2])
-    blocks: dict[int, list[str]] = {}
-    for elements, text, block in nodes:
-        if article is None or block in loose or not parts.isdisjoint(elements):
-            blocks.setdefault(block, []).append(text)
-    lines = (_SPACE.sub(" ", "".join(x)).strip() for x in blocks.values())
+    lines = (_SPACE.sub(" ", "".join(b.texts)).strip() for b, x in zip(blocks, favoured.tolist(), strict=True) if x > 0 and x >= threshold * top)
     return "\n".join(x for x in lines if x)
 
 
@@ -256,8 +259,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and main text of each row of ``pages`` (page_id, url, html).
 
-    A null page, or one without text outside boilerplate, has an empty text. Rows are independent, so
-    repeated rows give repeated results. Lone surrogates can't occur; character references to them
+    A null page, or one of links, controls and a few marked words alone, has an empty text. Pages are read
+    whole, however long. Rows are independent, so repeated rows give repeated results; other columns of
+    ``pages``, whatever their names, are left out. Lone surrogates can't occur; character references to them
     become U+FFFD as HTML has it.
     """
     rows = pages.select("page_id", "url", "html")

@@ -92,3 +92,34 @@ def test_content_beside_the_container_stays():
     got = main_text(page)
     assert got.startswith(PROSE[0] + "\n") and "Home" not in got and got.endswith(PROSE[-1])
     assert main_text(f"<body>{PROSE[0]}<div class=body>{STORY[len(PROSE[0]) + 7:]}</div></body>").startswith(PROSE[0] + "\n")
+
+
+def test_unmarked_menus_go():
+    menu = "<div class=k><a>Home</a><a>News</a></div>"
+    assert main_text(f"<body><article>{menu}{STORY}</article></body>") == "\n".join(PROSE)
+    assert main_text(f"<body><div>{menu}{STORY}<ul><li><a>More</a><li><a>Other</a></ul></div></body>") == "\n".join(PROSE)
+    assert "\nsee here\n" in main_text(f"<body><div>{STORY}<p>see <a>here</a></p>{STORY}</div></body>")
+
+
+def _unnamed(page):
+    page = re.sub(r"<(/?)(nav|footer|article|main|header|aside)\b", r"<\1div", page)
+    return re.sub(r' (class|id|role)=("[^"]*"|\S+?)(?=[ >])', "", page)
+
+
+def test_paths_decide_without_any_name(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()]
+    same = [main_text(_unnamed(x)) == main_text(x) for x in pages]
+    assert sum(same) >= 0.95 * len(same)
+    assert all(main_text(_unnamed(x), threshold=0) != main_text(x) for x in pages)
+
+
+def test_lead_beside_the_body_and_headings_with_what_they_head():
+    page = f"<body><div id=post><div class=lead>{PROSE[0]}</div><div class=body>{STORY}</div><div><h3>Next</h3><a>x</a><a>y</a></div></div></body>"
+    assert main_text(page) == "\n".join([PROSE[0], *PROSE])
+    assert main_text(f"<body><div><h1>Site</h1></div><div><h1>Title</h1>{STORY}<h2>More</h2>{STORY}</div></body>") == "\n".join(["Title", *PROSE, "More", *PROSE])
+
+
+def test_extra_columns_and_very_long_pages(spark):
+    long = "<body><div>" + "".join(f"<p>{x}</p>" for x in PROSE * 3000) + "</div></body>"
+    rows = spark.createDataFrame([(1, "u", long, "x", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert html.extract(rows).first().text == "\n".join(PROSE * 3000)
