@@ -108,8 +108,9 @@ def _unnamed(page):
 
 def test_paths_decide_without_any_name(spark, sf):
     pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()]
-    same = [main_text(_unnamed(x)) == main_text(x) for x in pages]
-    assert sum(same) >= 0.95 * len(same)
+    # an article no longer than the advert and the footer beside it can't be told apart without names
+    same = [main_text(_unnamed(x)) == main_text(x) for x in pages if len(main_text(x)) >= 300]
+    assert len(same) >= 0.8 * len(pages) and sum(same) >= 0.95 * len(same)
     assert all(main_text(_unnamed(x), threshold=0) != main_text(x) for x in pages)
 
 
