@@ -1,12 +1,16 @@
 """Substring dedup by relative Lempel-Ziv parsing over word windows.
 
-Every document is parsed against an index of the whole corpus. The index is cut into reference blocks
-by the minimiser of each window, so that consecutive windows of a document meet the same block, and a
-block holds the earliest document of each window that it owns. Parsing a document's stretch in a block
-is greedy: a factor starts at the first window with an earlier source and grows word by word while the
-next window has one too. A factor is never shorter than a window, so each is a duplicate span; windows
-that straddle the end of one factor and the start of the next are looked up like any other, which is
-the check at factor boundaries. The spans of all blocks are united before words are removed.
+Documents are parsed greedily against reference blocks that are indexed by their word windows: at a
+window that a block knows from an earlier document a factor starts, with that document's position as its
+source, and grows word by word while the source goes on with the same words. Where it ends, the parse goes
+on at the next window that the block knows. A factor is never shorter than a window, so each is a
+duplicate span; windows that straddle the end of one factor and the start of the next are looked up like
+any other, which is the check at factor boundaries. The spans of all blocks are united before words go.
+
+There are two kinds of blocks. A batch of documents is the first: what its own earlier documents hold is
+parsed there and sent nowhere. All other windows go to the blocks of the corpus-wide index, which is cut
+by the minimiser of each window, so that consecutive windows of a document meet the same block, and
+stay one text there.
 
 Windows are told apart by 56 bits of hash within a block (a block is one shuffle partition of bounded
 size), so the chance of a false match does not grow with the corpus while partitions keep their size.
@@ -23,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import gathered, packed, partitions, record, unpacked
-from .words import grams, word_hashes, words
+from .words import BASE, INVERSE, grams, power, word_hashes, words
 
-_MOVED = "part int, doc binary, tag binary, start binary, n binary, seed binary, own_doc binary, own_tag binary, own_start binary, own_n binary"
-_SPANS = "doc_id long, tag long, start int, n int"
+_MOVED = "part int, doc binary, tag binary, start binary, n binary, seed binary, own_doc binary, own_tag binary, own_start binary, own_n binary, own_source binary, own_source_start binary"
+_SPANS = "doc_id long, tag long, start int, n int, source long, source_start int"
 _KIND = {"doc": np.int64, "tag": np.uint32, "start": np.int32, "n": np.int32}
+_OWN = _KIND | {"source": np.int64, "source_start": np.int32}
+#: Words of the grams of which a window's least one is its minimiser.
+GRAM = 5
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -45,21 +52,78 @@ def _runs(flags: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _minimisers(hashes: np.ndarray, window: int, n: int) -> np.ndarray:
-    """For each window the least hash among its 3-word grams: equal windows have equal minimisers."""
-    g = grams(hashes, min(3, window))
-    width = window - min(3, window) + 1
+    """For each window the least hash among its 5-word grams: equal windows have equal minimisers.
+
+    Grams of fewer words repeat far more often, and the block of the commonest would be far larger than others.
+    """
+    g = grams(hashes, min(GRAM, window))
+    width = window - min(GRAM, window) + 1
     least = g[:n].copy()
     for i in range(1, width):
         np.minimum(least, g[i : i + n], out=least)
     return least
 
 
+def _earliest(seed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each window the first place in the block where the least document holds it."""
+    order = np.argsort(seed)
+    at = np.flatnonzero(np.r_[True, seed[order][1:] != seed[order][:-1]])
+    many = np.diff(np.r_[at, len(seed)])
+    docs = doc[order]
+    least = np.repeat(np.minimum.reduceat(docs, at), many)
+    first = np.minimum.reduceat(np.where(docs == least, order, len(seed)), at)
+    source = np.empty(len(seed), np.int64)
+    source[order] = np.repeat(first, many)
+    return source
+
+
+def _parse(seed: np.ndarray, doc: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of a block's texts, each against the block's windows of earlier documents.
+
+    ``seed`` has the hash of each window, ``step`` is true where a window does not follow the one before
+    it. Gives the windows that some factor covers, and each factor's first window, that of its source, and
+    its number of windows. All texts are parsed side by side, a factor of each in a round.
+    """
+    n = len(seed)
+    source = _earliest(seed, doc)
+    found = doc > doc[source]
+    starts = np.flatnonzero(step)
+    ends = np.r_[starts[1:], n]
+    end = np.repeat(ends, ends - starts)
+    known = np.where(found, np.arange(n), n)
+    known = np.r_[np.minimum.accumulate(known[::-1])[::-1], n]  # the next window with a source, from each on
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(seed * power(BASE, n), out=sums[1:])
+    back = power(INVERSE, n)
+
+    def grown(i: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """How many windows from i and from s on are equal; the first ones are."""
+        low, high = np.ones(len(i), np.int64), np.minimum(end[i] - i, end[s] - s)
+        while (low < high).any():
+            half = (low + high + 1) // 2
+            same = (sums[i + half] - sums[i]) * back[i] == (sums[s + half] - sums[s]) * back[s]
+            low, high = np.where(same, half, low), np.where(same, high, half - 1)
+        return low
+
+    factors: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at = known[starts]
+    at = at[at < ends]
+    while len(at):
+        length = grown(at, source[at])
+        factors.append((at, source[at], length))
+        after = known[at + length]
+        at = after[after < end[at]]
+    if not factors:
+        none = np.empty(0, np.int64)
+        return found, none, none, none
+    return found, *(np.concatenate(x) for x in zip(*factors, strict=True))
+
+
 def _stretches(window: int, parts: int, most_bytes: int):
     schema = _schema(_MOVED)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, most_bytes):
-            table = table.sort_by("doc_id").combine_chunks()
             ids = table["doc_id"].to_numpy()
             tags = table["tag"].to_numpy().astype(np.uint32)
             w = words(table["text"])
@@ -74,24 +138,18 @@ def _stretches(window: int, parts: int, most_bytes: int):
             seed, part = seeds[at], (_minimisers(h, window, len(seeds))[at] >> np.uint64(16)) % np.uint64(parts)
             row = row[at]
             doc = ids[row]
-            order = np.argsort(seed, kind="stable")  # documents ascend, so the first of a group is its earliest
-            head = np.r_[True, seed[order][1:] != seed[order][:-1]]
-            least = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-            later = np.empty(len(at), bool)
-            later[order] = doc[order] > least
             step = np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]
-            first = at - w.first[row]
-            # what an earlier document of this very batch holds needs no look in the index
-            i, n = _runs(later, step)
+            first = (at - w.first[row]).astype(np.int32)
+            found, i, s, n = _parse(seed, doc, step)
             if len(i):
-                yield record(packed(doc[i] % parts, {"own_doc": doc[i], "own_tag": tags[row[i]], "own_start": first[i].astype(np.int32), "own_n": n.astype(np.int32)}), schema)
-            i, n = _runs(~later, step | np.r_[True, part[1:] != part[:-1]])
-            short = seed[~later].view(np.uint8).reshape(-1, 8)[:, :7]
+                yield record(packed(doc[i] % parts, {"own_doc": doc[i], "own_tag": tags[row[i]], "own_start": first[i], "own_n": n.astype(np.int32), "own_source": doc[s], "own_source_start": first[s]}), schema)
+            i, n = _runs(~found, step | np.r_[True, part[1:] != part[:-1]])
+            short = seed[~found].view(np.uint8).reshape(-1, 8)[:, :7]
             for lo in range(0, len(i), 1 << 20):
                 hi = min(len(i), lo + (1 << 20))
                 skip = int(n[:lo].sum())
                 pick = i[lo:hi]
-                yield record(packed(part[pick], {"doc": doc[pick], "tag": tags[row[pick]], "start": first[pick].astype(np.int32), "n": n[lo:hi].astype(np.int32)}, n[lo:hi], {"seed": short[skip : skip + int(n[lo:hi].sum())]}), schema)
+                yield record(packed(part[pick], {"doc": doc[pick], "tag": tags[row[pick]], "start": first[pick], "n": n[lo:hi].astype(np.int32)}, n[lo:hi], {"seed": short[skip : skip + int(n[lo:hi].sum())]}), schema)
 
     return stretches
 
@@ -100,35 +158,30 @@ def _factors():
     schema = _schema(_SPANS)
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = _KIND | {"seed": np.uint8} | {f"own_{k}": v for k, v in _KIND.items()}
-        c = unpacked(batches, kinds)
-        spans = {k: [c[f"own_{k}"]] for k in _KIND}
+        c = unpacked(batches, _KIND | {"seed": np.uint8} | {f"own_{k}": v for k, v in _OWN.items()})
+        spans = {k: [c[f"own_{k}"]] for k in _OWN}
         if len(c["doc"]):
             wide = np.zeros((len(c["seed"]) // 7, 8), np.uint8)
-            wide[:, :7] = c["seed"].reshape(-1, 7)
-            seed = wide.view(np.uint64).ravel()
+            wide[:, :7] = c.pop("seed").reshape(-1, 7)
             run = np.repeat(np.arange(len(c["n"])), c["n"])
-            doc = c["doc"][run]
-            order = np.argsort(seed)
-            head = np.r_[True, seed[order][1:] != seed[order][:-1]]
-            least = np.minimum.reduceat(doc[order], np.flatnonzero(head))[np.cumsum(head) - 1]
-            found = np.empty(len(seed), bool)
-            found[order] = doc[order] > least
-            i, n = _runs(found, np.r_[True, run[1:] != run[:-1]])
-            offset = i - (np.cumsum(c["n"]) - c["n"])[run[i]]
-            for k, v in (("doc", doc[i]), ("tag", c["tag"][run[i]]), ("start", (c["start"][run[i]] + offset).astype(np.int32)), ("n", n.astype(np.int32))):
-                spans[k].append(v)
-        doc, tag, start, n = (np.concatenate(spans[k]) for k in ("doc", "tag", "start", "n"))
-        for lo in range(0, len(doc), 50_000):
-            hi = lo + 50_000
-            yield record({"doc_id": pa.array(doc[lo:hi]), "tag": pa.array(tag[lo:hi].astype(np.int64)), "start": pa.array(start[lo:hi]), "n": pa.array(n[lo:hi])}, schema)
+            first = np.cumsum(c["n"], dtype=np.int64) - c["n"]
+            _, i, s, n = _parse(wide.view(np.uint64).ravel(), c["doc"][run], np.r_[True, run[1:] != run[:-1]])
+            of, source = run[i], run[s]
+            begin, other = c["start"][of] + (i - first[of]), c["start"][source] + (s - first[source])
+            for k, v in zip(_OWN, (c["doc"][of], c["tag"][of], begin, n, c["doc"][source], other), strict=True):
+                spans[k].append(v.astype(_OWN[k]))
+        found = {k: np.concatenate(v) for k, v in spans.items()}
+        names = {"doc_id": "doc", "tag": "tag", "start": "start", "n": "n", "source": "source", "source_start": "source_start"}
+        for lo in range(0, len(found["doc"]), 50_000):
+            yield record({name: pa.array(found[k][lo : lo + 50_000].astype(np.int64 if k == "tag" else _OWN[k])) for name, k in names.items()}, schema)
 
     return factors
 
 
 def duplicate_factors(docs: DataFrame, window: int = 13, most_bytes: int = 8_000_000) -> DataFrame:
-    """Runs of ``n`` windows, from word ``start`` on, that also start in a document of smaller doc_id.
+    """Factors of ``n`` windows from word ``start`` on that a document of smaller doc_id (``source``) holds from its word ``source_start`` on.
 
+    Each window that an earlier document holds is in one factor, each other one in none.
     ``docs`` needs doc_id and text. ``tag`` is the text's CRC-32, so that rows which share a doc_id but
     not the text stay apart. Rows without doc_id neither lose words nor serve as a source.
     """
@@ -138,14 +191,15 @@ def duplicate_factors(docs: DataFrame, window: int = 13, most_bytes: int = 8_000
     return moved.mapInArrow(_factors(), _SPANS)
 
 
-def _cut(window: int):
+def _cut(window: int, as_they_are: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             texts, spans = batch.column(names.index("text")), batch.column(names.index("spans"))
             kept, total, removed = [], [], []
             for i, text in enumerate(texts):
-                w = (text.as_py() or "").encode().split()
+                whole = (text.as_py() or "").encode()
+                w = whole.split()
                 total.append(len(w))
                 if spans[i].is_valid and len(w):
                     x = spans[i].values
@@ -156,7 +210,7 @@ def _cut(window: int):
                     keep = np.cumsum(edge[:-1]) == 0
                     w = list(compress(w, keep.tolist()))
                 removed.append(total[-1] - len(w))
-                kept.append(b" ".join(w))
+                kept.append(whole if as_they_are and not removed[-1] else b" ".join(w))
             rest = [batch.column(k) for k, name in enumerate(names) if name not in ("text", "spans")]
             names = [name for name in names if name not in ("text", "spans")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "text", "n_words", "n_removed"])
@@ -164,11 +218,12 @@ def _cut(window: int):
     return cut
 
 
-def remove_duplicate_spans(docs: DataFrame, window: int = 13, most_bytes: int = 8_000_000) -> DataFrame:
+def remove_duplicate_spans(docs: DataFrame, window: int = 13, most_bytes: int = 8_000_000, as_they_are: bool = False) -> DataFrame:
     """Every row of ``docs`` with the words that no duplicate window covers, joined by one space, as text.
 
     A window is ``window`` consecutive words; it is a duplicate if its words also start in a document
-    with a smaller doc_id. Adds n_words (before) and n_removed. A null text becomes empty; a text
+    with a smaller doc_id. Adds n_words (before) and n_removed. With ``as_they_are`` a text that loses no
+    word keeps its white space. A null text becomes empty; a text
     shorter than a window keeps all its words; rows with equal doc_id never remove each other's words;
     a row without doc_id keeps all. Other columns pass unchanged; ``spans`` and ``tag`` may not be among
     them under those names, so they are set aside by position.
@@ -176,9 +231,9 @@ def remove_duplicate_spans(docs: DataFrame, window: int = 13, most_bytes: int =
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed")]
     names = [f"c{i}" for i in range(len(others))]
     rows = docs.select("doc_id", "text", F.crc32("text").alias("tag"), *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)])
-    spans = duplicate_factors(docs, window, most_bytes).groupBy(F.col("doc_id").alias("span_doc"), F.col("tag").alias("span_tag")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = duplicate_factors(docs, window, most_bytes).groupBy(F.col("doc_id").alias("span_doc"), F.col("tag").alias("span_tag")).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     joined = rows.join(spans, (F.col("doc_id") == F.col("span_doc")) & (F.col("tag") == F.col("span_tag")), "left").select("doc_id", *names, "text", "spans")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
     ddl = ", ".join([f"{c} {kinds[c]}" for c in ("doc_id", *names)] + ["text string", "n_words long", "n_removed long"])
-    out = joined.mapInArrow(_cut(window), ddl)
+    out = joined.mapInArrow(_cut(window, as_they_are), ddl)
     return out.select("doc_id", "text", *[F.col(n).alias(c) for c, n in zip(others, names, strict=True)], "n_words", "n_removed")
