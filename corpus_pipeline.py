@@ -47,11 +47,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that repeated 13-word windows cover; a text that loses none stays as it is.
 
-    A document of which nothing is left goes.
+    A document of which nothing is left goes, one without words too. Rows without doc_id keep all words.
     """
-    cut = substring.remove_duplicate_spans(docs.select(COLUMNS).withColumn("whole", F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("whole"))
-    kept = cut.where("n_words > n_removed").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    cut = substring.remove_duplicate_spans(docs.select(COLUMNS), as_they_are=True)
+    kept = cut.where("n_words > n_removed").withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(COLUMNS)
 
 
