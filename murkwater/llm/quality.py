@@ -3,14 +3,16 @@
 Rules look at a document's measurements and vote good or bad, or abstain. A latent-class model is fitted
 by expectation-maximisation to the counts of vote patterns over the whole corpus: it estimates how often
 each rule says bad of good documents and of each kind of bad ones, and how common those are. A document
-is kept by its posterior probability of being good, not by passing every rule. (Bad documents have
-kinds, one to start with for each rule: with a single bad class, rules that fire together would be
-taken for its mark, and junk of which a single rule speaks for an error of that rule.)
+is kept by its posterior probability of being good, not by passing every rule.
 
-A measurement far beyond its rule's limit gets a second vote: one rule's word is taken for that rule's
-error while its kind is rare, but not both.
+One rule's word alone can't tell its errors from a kind of bad documents of which no other rule speaks.
+So every defect has two rules or more: one with the limit itself and a stricter one half as far again.
+Rates are estimated under two constraints, not set: the rules of a kind's defect say bad of most of its
+documents, and no rule says bad of more than a fifth of the good ones. Documents just over a limit are
+then that rule's errors as soon as the stricter rule doesn't follow; those that both call bad are a kind,
+however rare, as two errors seldom meet. Priors weigh a few documents, whatever the corpus.
 
-Only the pattern counts come to the driver; there are at most 3^2 * 4^6 (36864) patterns at any size.
+Only the pattern counts come to the driver; there are at most 4^2 * 5^6 (250000) patterns at any size.
 """
 
 from __future__ import annotations
@@ -164,18 +166,32 @@ class Rule:
         return F.when(bad, 0).when(good, 1).otherwise(-1)
 
 
+#: How much farther than a rule's limit that of the stricter rule on the same measurement lies.
+FARTHER = 1.5
+#: The rules of each defect: a kind of bad documents, of which most of them say bad.
+DEFECTS = {
+    "symbols": ("symbols", "far_symbols"),
+    "same_lines": ("same_lines", "far_same_lines"),
+    "shouting": ("capitals", "exclaims", "far_exclaims"),
+    "exclaims": ("exclaims", "far_exclaims"),
+    "echoes": ("echoes", "far_echoes"),
+    "distinct": ("distinct", "far_distinct"),
+    "word_length": ("word_length", "far_word_length"),
+}
+
+
 def rules() -> list[Rule]:
     """The rules in use; a share of no words is null, so a text without words gets no vote.
 
-    Rules named far_ only ever vote bad. There is none for capitals, as clean texts may be all in capitals,
-    nor for repeats, as the base rules come first.
+    Rules named far_ never abstain on a value. There is none for capitals, as clean texts may be all in
+    capitals, nor for repeats, as the base rules come first.
 
     Where blanks do not part words, each code point counts as a unit beside the words that blanks part.
     """
     share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b) if isinstance(b, str) else b)
     units = F.col("n_words") + F.col("n_unspaced")
     cased = F.col("n_upper") + F.col("n_lower")
-    two = [
+    near = [
         Rule("symbols", share("n_symbols", units), 0.05, 0.2),
         Rule("repeats", share("n_repeat_words", "n_words"), 0.2, 0.6),
         Rule("same_lines", share("n_dup_lines", "n_lines"), 0.2, 0.6),
@@ -185,8 +201,18 @@ def rules() -> list[Rule]:
         Rule("distinct", share("n_fresh", "n_words"), 0.3, 0.08),
         Rule("word_length", share("word_chars", units), 9.0, 14.0),
     ]
-    far = {"symbols": 3.0, "same_lines": 0.9, "exclaims": 2.0, "echoes": 0.6, "distinct": 0.03, "word_length": 40.0}
-    return two + [Rule(f"far_{r.name}", r.value, -math.inf if r.bad > r.good else math.inf, far[r.name]) for r in two if r.name in far]
+    far = []
+    for r in near:
+        if any(f"far_{r.name}" in x for x in DEFECTS.values()):
+            bad = r.bad * FARTHER if r.bad > r.good else r.bad / FARTHER
+            far.append(Rule(f"far_{r.name}", r.value, math.nextafter(bad, r.good), bad))
+    return near + far
+
+
+def defects() -> list[tuple[int, ...]]:
+    """The numbers of each defect's rules."""
+    names = [r.name for r in rules()]
+    return [tuple(names.index(n) for n in x) for x in DEFECTS.values()]
 
 
 @dataclass(frozen=True)
@@ -215,29 +241,38 @@ class VoteModel:
         return self.classes(votes)[:, 0]
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, steps: int = 300, trust: float = 0.002) -> VoteModel:
+def fit(
+    votes: np.ndarray, counts: np.ndarray, defects: list[tuple[int, ...]] | None = None, steps: int = 500, errors: float = 0.003, strength: float = 20.0, least: float = 0.8, most: float = 0.2
+) -> VoteModel:
     """Expectation-maximisation on vote patterns (rows of 1, 0, -1) with their counts.
 
-    Starts from the belief that a document of which some rule says bad is of those rules' kinds. That
-    rules seldom call good documents bad is a prior belief as strong as the corpus (``trust``: how often);
-    without it the junk of a rule that agrees with no other could as well be that rule's errors. Small
-    pseudo-counts keep every estimate inside (0, 1), so rules that never vote and an empty corpus do no harm.
+    ``defects`` names the rules of each kind of bad documents; by default each rule is a kind of its own.
+    A kind's rules say bad of at least ``least`` of its documents, and no rule says bad of more than
+    ``most`` of the good ones. Within that all rates are estimated; the prior is ``strength`` documents of
+    each class, of which rules say bad of ``errors`` (a kind's own rules: of ``1 - errors``), so a corpus of any size
+    outweighs it, while rules that never vote and an empty corpus do no harm.
     """
     rules = votes.shape[1]
-    bad = (votes == 0).astype(float)
-    some = bad.sum(1) > 0
-    member = np.zeros((len(votes), rules + 1))
-    member[:, 0] = np.where(some, 0.05, 0.99)
-    member[:, 1:] = np.where(some[:, None], 0.95 * bad / np.maximum(bad.sum(1, keepdims=True), 1), 0.01 / rules)
+    defects = defects or [(r,) for r in range(rules)]
+    kinds = len(defects)
+    own = np.zeros((kinds + 1, rules), bool)
+    for k, x in enumerate(defects):
+        own[k + 1, list(x)] = True
+    bad, said = (votes == 0).astype(float), (votes >= 0).astype(float)
+    whole = np.stack([bad[:, x].all(1) for x in own[1:]], 1)
+    member = np.zeros((len(votes), kinds + 1))
+    member[:, 0] = np.where(whole.any(1), 0.05, 0.99)
+    member[:, 1:] = np.where(whole.any(1)[:, None], 0.95 * whole / np.maximum(whole.sum(1, keepdims=True), 1), 0.01 / kinds)
     weight = counts.astype(float)[:, None]
-    own = np.vstack([np.full((1, rules), trust), np.eye(rules) * 0.8 + 0.05])  # of pseudo-documents:
-    pseudo = np.r_[weight.sum() + 1, np.ones(rules)][:, None]
+    belief = np.where(own, 1 - errors, errors)
+    low, high = np.where(own, least, 1e-6), np.ones((kinds + 1, rules)) - 1e-6
+    high[0] = most
     model = None
     for _ in range(steps):
         mass = weight * member
-        theta = (mass.T @ bad + own * pseudo) / (mass.T @ (votes >= 0) + pseudo)
-        share = mass.sum(0) + np.r_[0.95, np.full(rules, 0.05 / rules)]
-        new = VoteModel(share / share.sum(), np.clip(theta, 1e-6, 1 - 1e-6))
+        theta = (mass.T @ bad + belief * strength) / (mass.T @ said + strength)
+        share = mass.sum(0) + np.r_[0.95, np.full(kinds, 0.05 / kinds)]
+        new = VoteModel(share / share.sum(), np.clip(theta, low, high))
         member = new.classes(votes)
         if model is not None and max(np.abs(new.share - model.share).max(), np.abs(new.says_bad - model.says_bad).max()) < 1e-7:
             break
@@ -255,7 +290,7 @@ def learn(voted: DataFrame) -> VoteModel:
     names = [f"vote_{r.name}" for r in rules()]
     patterns = voted.groupBy(*names).count().collect()
     votes = np.array([[r[n] for n in names] for r in patterns], int).reshape(-1, len(names))
-    return fit(votes, np.array([r["count"] for r in patterns], float))
+    return fit(votes, np.array([r["count"] for r in patterns], float), defects())
 
 
 def verdicts(voted: DataFrame, model: VoteModel, least: float = 0.5) -> DataFrame:

@@ -110,3 +110,78 @@ def test_far_junk_goes_however_rare(spark, sf):
     got = {r.doc_id: r for r in quality.judge(both).where("doc_id >= 10000000").collect()}
     assert not any(r.base_failed for r in got.values())
     assert [got[10_000_000 + i].kept for i in range(4)] == [False, False, False, True]
+
+
+def _corpus(rng, n, errors, junk=0.07):
+    """Votes of four rules and their stricter twins: good documents with errors of the rules, and two kinds of junk."""
+    kind = rng.choice(3, n, p=[1 - junk - 0.02, junk, 0.02])
+    bad = np.zeros((n, 8), bool)
+    bad[:, :4] = (rng.random((n, 4)) < errors) & (kind == 0)[:, None]
+    bad[kind == 1] = [True, False, False, False, True, False, False, False]
+    bad[kind == 2] = [False, True, True, False, False, True, True, False]
+    bad[(kind == 1) & (rng.random(n) < 0.05), 4] = False
+    votes = np.where(bad, 0, 1)
+    votes[:, :4][rng.random((n, 4)) < 0.1] = -1
+    return kind, votes
+
+
+PAIRS = [(0, 4), (1, 5), (2, 6), (3, 7)]
+
+
+def test_error_rates_are_estimated_and_clean_documents_stay():
+    for errors in (0.005, 0.02, 0.1):
+        kind, votes = _corpus(np.random.default_rng(7), 30_000, errors)
+        patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+        inverse = inverse.ravel()
+        verdicts = []
+        for more in ({}, {"errors": 0.001}, {"errors": 0.01}, {"strength": 6.0}, {"strength": 60.0}, {"least": 0.7}, {"most": 0.4}):
+            model = quality.fit(patterns, counts, PAIRS, **more)
+            verdicts.append(model.posterior(patterns)[inverse] >= 0.5)
+            # junk of which only the first rule says bad may be taken for its errors
+            assert abs(model.says_bad[0, :4] - errors).max() < 0.2 * errors + 0.001 + 0.05 * 0.07
+        assert all((v == verdicts[0]).all() for v in verdicts)
+        assert (verdicts[0][kind == 0]).mean() > 0.9999
+        assert (verdicts[0][kind > 0]).mean() < 0.2 * (kind == 1).sum() / (kind > 0).sum()  # a tenth of them is without the first vote
+
+
+def test_fit_equals_plain_loops():
+    votes = np.array([[1, 1, 1, 1], [0, 1, 1, 1], [0, 1, 0, -1], [1, 0, 1, 0], [-1, 0, 1, 0], [0, -1, 0, 1]])
+    counts = [500, 12, 30, 20, 6, 9]
+    defects = [(0, 2), (1, 3)]
+    share, member = None, []
+    for v in votes.tolist():
+        whole = [all(v[r] == 0 for r in d) for d in defects]
+        member.append([0.05, *(0.95 * w / sum(whole) for w in whole)] if any(whole) else [0.99, 0.005, 0.005])
+    for _ in range(500):
+        theta, mass = [], [sum(c * x[k] for c, x in zip(counts, member)) for k in range(3)]
+        for k in range(3):
+            row = []
+            for r in range(4):
+                own = k > 0 and r in defects[k - 1]
+                said = sum(c * x[k] for c, x, v in zip(counts, member, votes) if v[r] >= 0)
+                bad = sum(c * x[k] for c, x, v in zip(counts, member, votes) if v[r] == 0)
+                t = (bad + 20 * (0.997 if own else 0.003)) / (said + 20)
+                row.append(min(max(t, 0.8 if own else 1e-6), 0.2 if k == 0 else 1 - 1e-6))
+            theta.append(row)
+        share = [mass[0] + 0.95, mass[1] + 0.025, mass[2] + 0.025]
+        share = [x / sum(share) for x in share]
+        member = []
+        for v in votes.tolist():
+            joint = []
+            for k in range(3):
+                p = share[k]
+                for r in range(4):
+                    p *= 1 if v[r] < 0 else theta[k][r] if v[r] == 0 else 1 - theta[k][r]
+                joint.append(p)
+            member.append([p / sum(joint) for p in joint])
+    model = quality.fit(votes, np.array(counts), defects)
+    assert np.allclose(model.share, share, atol=1e-5) and np.allclose(model.says_bad, theta, atol=1e-4)
+
+
+def test_no_votes_ties_and_repeated_rows(spark):
+    model = quality.fit(np.empty((0, 4), int), np.empty(0), [(0, 2), (1, 3)])
+    assert model.posterior(np.array([[1, 1, 1, 1], [-1, -1, -1, -1]])).min() > 0.5
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text), (1, text), (None, text), (2, text + " ### *** $$$ %%% " * 10)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as kept", "2 as p_good", "3 as vote_symbols")).collect()
+    assert len({(r.kept, r.p_good) for r in got if r.doc_id != 2}) == 1 and all(r.kept for r in got if r.doc_id != 2)
