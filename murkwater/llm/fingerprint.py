@@ -1,10 +1,10 @@
 """Document fingerprints: a threshold-scaled sketch of 5-word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range (1/2), so sketches of any two
-texts, however unequal in length, can be merged and compared. Texts of few shingles keep them all
-(fraction 1); two sketches are compared at the smaller of their fractions. A fingerprint is the string
-``scale.size.digest.hashes``: the fraction's inverse, the number of distinct shingles, a digest of the
-whole set, and the kept hashes (48 bits each, ascending) in base64.
+A sketch keeps every shingle hash below a fixed fraction of the hash range (1/2), and where there is none
+the least hash, so that no text with words has an empty sketch. It depends on nothing else, so the union of
+two sketches, cut by the same rule, is the sketch of the union of their sets, and texts of very unequal
+length can be compared. A fingerprint is the string ``scale.hashes``: the fraction's inverse and the kept
+hashes (48 bits each, ascending) in base64.
 """
 
 from __future__ import annotations
@@ -14,73 +14,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import gathered, partitions
-from .words import gram_sets, mixed
+from .words import gram_sets
 
-#: Inverse of the fraction of hashes that a sketch keeps, and up to how many shingles it keeps all.
-SCALE, FEW = 2, 128
-#: Kept hashes that an estimate needs where not all are kept.
+#: Inverse of the fraction of hashes that a sketch keeps.
+SCALE = 2
+#: Kept hashes of the smaller set that an estimate of containment needs.
 LEAST = 4
 _TOP = np.int64(2**48)
 
 
-def sketch(hashes: np.ndarray) -> tuple[int, int, int, np.ndarray]:
-    """(scale, size, digest, kept hashes) of a sorted array of distinct shingle hashes."""
-    scale = 1 if len(hashes) <= FEW else SCALE
-    high = (hashes >> np.uint64(16)).astype(np.int64)
-    digest = int(mixed(hashes + np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64)) if len(hashes) else 0
-    return scale, len(hashes), digest, high[high < _TOP // scale]
+def cut(hashes: np.ndarray) -> np.ndarray:
+    """What a sketch keeps of ascending distinct 48-bit hashes."""
+    kept = hashes[: np.searchsorted(hashes, _TOP // SCALE)]
+    return kept if len(kept) else hashes[:1]
 
 
-def written_out(s: tuple[int, int, int, np.ndarray]) -> str:
-    scale, size, digest, kept = s
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Kept hashes, ascending, of an array of distinct shingle hashes of 64 bits."""
+    return cut(np.unique((hashes >> np.uint64(16)).astype(np.int64)))
+
+
+def written_out(kept: np.ndarray) -> str:
     octets = kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-    return f"{scale}.{size}.{digest:016x}.{base64.b64encode(octets.tobytes()).decode()}"
+    return f"{SCALE}.{base64.b64encode(octets.tobytes()).decode()}"
 
 
-def read_back(text: str) -> tuple[int, int, int, np.ndarray]:
-    scale, size, digest, kept = text.split(".")
-    octets = np.frombuffer(base64.b64decode(kept), np.uint8).reshape(-1, 6)
+def read_back(text: str) -> np.ndarray:
+    octets = np.frombuffer(base64.b64decode(text.split(".")[1]), np.uint8).reshape(-1, 6)
     wide = np.zeros((len(octets), 8), np.uint8)
     wide[:, 2:] = octets
-    return int(scale), int(size), int(digest, 16), wide.view(">u8").ravel().astype(np.int64)
+    return wide.view(">u8").ravel().astype(np.int64)
 
 
-def likeness(a: tuple, b: tuple) -> tuple[float | None, float | None]:
+def likeness(x: np.ndarray, y: np.ndarray) -> tuple[float, float | None]:
     """Estimated (resemblance, containment of the smaller) of two sketches, 0 to 1.
 
-    Sets with equal digests have 1, the empty set with itself too; with any other set it has 0. None
-    where the common fraction leaves fewer than four hashes to judge by: of both sets for the
-    resemblance, of the smaller one for the containment. Where all are kept, any number will do.
+    The resemblance is the share of the union's sketch that both have; its standard error is about
+    sqrt(r (1 - r) / k) for k hashes in it. Two empty sets have 1, an empty one and another 0. The containment
+    is None where fewer than four hashes of the smaller set are below the fraction.
     """
-    if a[1] == b[1] and a[2] == b[2]:
-        return 1.0, 1.0
-    if not a[1] or not b[1]:
-        return 0.0, 0.0
-    x, y = a[3], b[3]
-    scale = max(a[0], b[0])
-    if a[0] != b[0]:
-        x, y = x[x < _TOP // scale], y[y < _TOP // scale]
-    both = 0
-    if len(y):
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        both = int((y[at] == x).sum())
-    few = 1 if scale == 1 else LEAST
-    union, smaller = len(x) + len(y) - both, len(x) if a[1] < b[1] else len(y) if b[1] < a[1] else min(len(x), len(y))
-    return both / union if union >= few else None, both / smaller if smaller >= few else None
+    if not len(x) or not len(y):
+        return (1.0, 1.0) if len(x) == len(y) else (0.0, 0.0)
+    union = cut(np.union1d(x, y))
+    both = np.intersect1d(x, y, assume_unique=True)
+    near = len(np.intersect1d(both, union, assume_unique=True)) / len(union)
+    smaller = min(len(x), len(y))
+    return near, len(both) / smaller if smaller >= LEAST or len(x) == len(y) == len(both) else None
 
 
 def merged(a: str, b: str) -> str:
-    """Fingerprint of the union of two sets, at the smaller fraction; its digest is that of the kept hashes."""
-    x, y = read_back(a), read_back(b)
-    scale = max(x[0], y[0])
-    kept = np.union1d(x[3], y[3])
-    kept = kept[kept < _TOP // scale]
-    return written_out((scale, len(kept) * scale, int(mixed(kept.astype(np.uint64)).sum(dtype=np.uint64)) if len(kept) else 0, kept))
+    """Fingerprint of the union of two sets: that of a text which has the shingles of both."""
+    return written_out(cut(np.union1d(read_back(a), read_back(b))))
 
 
 def _fingerprints(words: int):
@@ -99,15 +87,24 @@ def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.mapInArrow(_fingerprints(words), f"doc_id {kinds['doc_id']}, text string, fingerprint string")
 
 
-def _bucket(key: Column, firsts: list[int]) -> Column:
-    """1-based number of the last of the ascending ``firsts`` that is not above ``key``, in two short scans."""
+def _bounds(spark: SparkSession, firsts: list[int]) -> tuple[DataFrame, int]:
+    """Ascending bounds as a table of one row, in groups of equal size, to be found in two short scans."""
     step = max(1, int(len(firsts) ** 0.5))
     groups = [firsts[i : i + step] for i in range(0, len(firsts), step)]
-    group = F.greatest(F.lit(1), F.size(F.filter(F.array(*[F.lit(g[0]) for g in groups]), lambda b: b <= key)))
-    if len(groups) == 1:
-        return group if len(firsts) == 1 else F.greatest(F.lit(1), F.size(F.filter(F.array(*map(F.lit, firsts)), lambda b: b <= key)))
-    fine = F.array(*[F.array(*map(F.lit, g)) for g in groups])
-    return (group - 1) * step + F.size(F.filter(F.element_at(fine, group), lambda b: b <= key))
+    return spark.createDataFrame([(groups,)], "firsts array<array<long>>"), step
+
+
+def _dealt(docs: DataFrame, firsts: list[int]) -> DataFrame:
+    """``docs`` with the 1-based number of the last bound that is not above ``key`` as bucket, and that bound as first.
+
+    The bounds (one number for each shuffle partition) come along as one row.
+    """
+    bounds, step = _bounds(docs.sparkSession, firsts)
+    group = F.greatest(F.lit(1), F.size(F.filter("firsts", lambda g: g[0] <= F.col("key"))))
+    rows = docs.crossJoin(F.broadcast(bounds)).withColumn("group", group)
+    place = F.greatest(F.lit(1), F.size(F.filter(F.element_at("firsts", F.col("group")), lambda b: b <= F.col("key"))))
+    rows = rows.withColumn("place", place).withColumn("first", F.element_at(F.element_at("firsts", F.col("group")), F.col("place")))
+    return rows.withColumn("bucket", (F.col("group") - 1) * step + F.col("place")).drop("firsts", "group", "place")
 
 
 _EDITED = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double"
@@ -163,10 +160,8 @@ def edited_with_next(docs: DataFrame, words: int = 5) -> DataFrame:
     near = docs.agg(F.percentile_approx("key", [i / parts for i in range(parts)], 100 * parts).alias("p")).first().p
     if not near:
         return spark.createDataFrame([], _EDITED)
-    rough = sorted(set(near))
-    firsts = [r.first for r in docs.groupBy(_bucket(F.col("key"), rough).alias("b")).agg(F.min("key").alias("first")).orderBy("b").collect()]
-    bucket = _bucket(F.col("key"), firsts)
-    placed = docs.withColumn("bucket", bucket).withColumn("starts", F.col("key").isin(firsts) if len(firsts) == 1 else F.col("key") == F.element_at(F.array(*map(F.lit, firsts)), F.col("bucket")))
+    firsts = [r.first for r in _dealt(docs.select("key"), sorted(set(near))).groupBy("bucket").agg(F.min("key").alias("first")).orderBy("bucket").collect()]
+    placed = _dealt(docs, firsts).withColumn("starts", F.col("key") == F.col("first"))
     before = F.when(F.col("bucket") == 1, F.lit(len(firsts))).otherwise(F.col("bucket") - 1)
     own, copy = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail")), F.struct(before.alias("bucket"), F.lit(True).alias("tail"))
     dealt = placed.select("doc_id", "key", "text", F.explode(F.when(F.col("starts"), F.array(own, copy)).otherwise(F.array(own))).alias("to"))
