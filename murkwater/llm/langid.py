@@ -95,21 +95,24 @@ def _counted():
     return counted
 
 
-def fit(docs: DataFrame, most_docs: int = 4000, smoothing: float = 0.5) -> Model:
+def fit(docs: DataFrame, most_docs: int = 4000, smoothing: float = 0.5, most_languages: int = 500) -> Model:
     """Learn from text and lang of the rows of ``docs`` that are not held out and have both.
 
-    At most about ``most_docs`` documents of each language are used, picked by a hash of doc_id with a
-    threshold from the language's number of documents; every document that is used counts whole.
-    Priors come from all labelled documents. Without any, the model has no language. The languages, their
-    sizes and the counts by bucket come to the driver, which holds the model anyway.
+    At most about ``most_docs`` documents of each language are used, picked by a 62-bit hash of doc_id and
+    text with a threshold from the language's number of documents; every document that is used counts whole.
+    Only the ``most_languages`` languages of most documents are learned (of equals the first by name), so
+    the model has a bounded size. Priors come from all labelled documents of these. Without any, the model
+    has no language. The languages, their sizes and the counts by bucket come to the driver, which holds the
+    model anyway; texts are counted where they are read.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    known = sorted((r["lang"], r["count"]) for r in labelled.groupBy("lang").count().collect())
+    largest = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    known = sorted((r["lang"], r["count"]) for r in largest.collect())
     if not known:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    least = F.create_map(*[F.lit(x) for lang, n in known for x in (lang, int((1 << 20) * min(1.0, most_docs / n)))])
-    share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) < F.element_at(least, F.col("lang"))
-    sample = labelled.where(share).select("text", "lang").repartition(16)
+    least = F.create_map(*[F.lit(x) for lang, n in known for x in (lang, int(2**62 * min(1.0, most_docs / n)))])
+    drawn = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 2)
+    sample = labelled.where(drawn < F.element_at(least, F.col("lang"))).select("text", "lang")
     counts = sample.mapInArrow(_counted(), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = [x for x, _ in known]
     at = {x: i for i, x in enumerate(languages)}
@@ -121,7 +124,7 @@ def fit(docs: DataFrame, most_docs: int = 4000, smoothing: float = 0.5) -> Model
     return Model(languages, np.log(table / table.sum(0)).astype(np.float32), np.log(prior / prior.sum()))
 
 
-def _scored(model, at_most: int):
+def _scored(model):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for table in gathered(batches, 2_000_000):
@@ -132,9 +135,7 @@ def _scored(model, at_most: int):
                 grams = np.bincount(row, minlength=n)
                 total = np.stack([np.bincount(row, m.log_p[bucket, k], minlength=n) for k in range(len(m.languages))], 1)
                 some = np.flatnonzero(grams)
-                # grams of a text depend on each other: evidence is scaled down to that of at_most grams
-                weight = np.minimum(grams[some], at_most) / grams[some]
-                log = total[some] * weight[:, None] + m.log_prior
+                log = total[some] + m.log_prior
                 log -= log.max(1, keepdims=True)
                 p = np.exp(log)
                 p /= p.sum(1, keepdims=True)
@@ -148,17 +149,18 @@ def _scored(model, at_most: int):
     return scored
 
 
-def identify(docs: DataFrame, model: Model, at_most: int = 64) -> DataFrame:
+def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (doc_id, text and any others) with lang_pred and score, the posterior of that language.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if the model knows no
-    language. Ties go to the first language in natural order. Only the text counts.
+    language. Ties go to the first language in natural order. Only the text counts, all of it, so repeated
+    rows agree.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     names = [f"c{i}" for i in range(len(others))]
     rows = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)])
     ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + ["lang_pred string", "score double"])
-    out = rows.mapInArrow(_scored(shared, at_most), ddl)
+    out = rows.mapInArrow(_scored(shared), ddl)
     back = dict(zip(others, names, strict=True)) | {"text": "text"}
     return out.select(*[F.col(back[c]).alias(c) for c in docs.columns if c in back], "lang_pred", "score")
