@@ -9,7 +9,8 @@ Pairs are filtered under several global token orders before any pair is compared
   ties in hash order). Shingles that no other set has use up prefix places, and a set with more of
   them than n - t links with nothing. The other sets offer the rest of their prefix as join keys.
 * ascending and descending hash order, pair by pair: candidates must meet in both of these prefixes
-  as well; only then are the whole sets intersected.
+  as well. Only the prefixes go to the pairs (32 bits of each shingle, about a fifth of a whole set);
+  whole sets are fetched for the pairs that all orders leave, and intersected.
 
 Sets that are equal are one node throughout. A key's sets are first compared with its most central
 one, so that a large group of near copies becomes a star; only sets of a key that are still in
@@ -211,7 +212,7 @@ def _keys(share: Share, keys: bool):
 
 def _whole_sets(words: int):
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gathered(batches, 4_000_000):
+        for table in gathered(batches, 1_000_000):
             sets = _shingles(table["text"], words)
             node = digests(sets).view(np.int64)
             keep = np.flatnonzero(node == table["node"].to_numpy())
@@ -229,35 +230,63 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(limbs[:, k])) for k in range(LIMBS)]], ["node", *[f"m{k}" for k in range(LIMBS)]])
 
 
-def _checked(share: Share):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _ends(share: Share):
+    """Each set's prefixes under ascending and descending hash order, as 32 bits of each shingle."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = [], []
+            for value in batch.column(1):
+                x = np.frombuffer(value.as_buffer(), np.uint64)
+                places = len(x) - share.needed(len(x)) + 1
+                low.append((x[:places] >> np.uint64(8)).astype(np.uint32).tobytes())
+                high.append((x[len(x) - places :] >> np.uint64(8)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["node", "low", "high"])
+
+    return ends
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def meets(x: np.ndarray, y: np.ndarray) -> bool:
-        i = np.searchsorted(y, x)
-        i[i == len(y)] = 0
-        return bool((y[i] == x).any())
 
+def _chosen(batch: pa.RecordBatch, keep: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], schema=_PAIRS)
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of which both prefixes (low_a, high_a, low_b, high_b) have a shingle in common."""
+    for batch in batches:
+        keep = []
+        ends = [batch.column(k) for k in range(2, 6)]
+        for i in range(batch.num_rows):
+            la, ha, lb, hb = (np.frombuffer(c[i].as_buffer(), np.uint32) for c in ends)
+            if len(np.intersect1d(la, lb)) and len(np.intersect1d(ha, hb)):
+                keep.append(i)
+        yield _chosen(batch, keep)
+
+
+def _checked(share: Share):
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n, m = len(x), len(y)
-                p, q = n - share.needed(n) + 1, m - share.needed(m) + 1
-                if meets(x[:p], y[:q]) and meets(x[n - p :], y[m - q :]):
-                    at = np.searchsorted(y, x)
-                    at[at == m] = 0
-                    if share.links(int((y[at] == x).sum()), n, m):
-                        keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], schema=schema)
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                if share.links(int((y[at] == x).sum()), len(x), len(y)):
+                    keep.append(i)
+            yield _chosen(batch, keep)
 
     return checked
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, share: Share) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, ends: DataFrame, share: Share) -> DataFrame:
+    """The pairs that link: those that meet under the other orders too, then those whose sets overlap enough."""
+    left, right = (ends.select(*[F.col(c).alias(f"{c}_{x}") for c in ("low", "high")], F.col("node").alias(x)) for x in ("a", "b"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "low_a", "high_a", "low_b", "high_b").mapInArrow(_meeting, "a long, b long")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_checked(share), "a long, b long")
+    return met.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_checked(share), "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, most_bytes: int = 8_000_000) -> DataFrame:
@@ -284,6 +313,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, most_byt
     sets = written(docs.join(chosen, "doc_id").select("node", "text").mapInArrow(_whole_sets(words), _ddl(_SETS)), "sets")
     if not meta.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = written(sets.dropDuplicates(["node"]), "sets")
+    ends = sets.select("node", "tokens").mapInArrow(_ends(share), "node long, low binary, high binary")
     keys = written(shared(sets.mapInArrow(_whole(parts), _ddl(_MOVED)), True), "keys")
 
     def possible(a: str, b: str) -> Column:
@@ -294,7 +324,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, most_byt
     hubs = keys.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own")).alias("hub")).select("key", "hub.*")
     first = keys.alias("x").join(hubs.alias("h"), "key").where((F.col("x.node") != F.col("h.node")) & possible("x", "h"))
     tried = written(first.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b")).distinct(), "pairs")
-    links = written(_linked(tried, sets, share), "links")
+    links = written(_linked(tried, sets, ends, share), "links")
     stars = written(components(links), "stars")
     placed = keys.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = placed.groupBy("key", "root").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots"))
@@ -309,7 +339,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, most_byt
     second = placed.where("root <> main").alias("x").join(placed.alias("y"), apart & possible("x", "y") & fits)
     found = second.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = written(found, "pairs").join(tried, ["a", "b"], "left_anti")
-    more = written(_linked(rest, sets, share), "links")
+    more = written(_linked(rest, sets, ends, share), "links")
     roots = components(links.union(more))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

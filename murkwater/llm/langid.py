@@ -81,7 +81,7 @@ def held_out(doc_id: Column) -> Column:
 def _counted():
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for table in gathered(batches, 2_000_000):
+        for table in gathered(batches, 500_000):
             languages = np.array(table["lang"].to_pylist(), object)
             bucket, row = gram_buckets(table["text"])
             for language in set(languages.tolist()):
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, most_docs: int = 4000, smoothing: float = 0.5, most_lan
 def _scored(model):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for table in gathered(batches, 2_000_000):
+        for table in gathered(batches, 500_000):
             n = table.num_rows
             languages, score = ["und"] * n, np.zeros(n)
             if m.languages:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,22 +13,6 @@ from ..functions.folder import written
 __all__ = ["gathered", "packed", "partitions", "record", "unpacked", "written"]
 
 
-def _returned_at_once(least: int = 1 << 22, spare: int = 1 << 25) -> None:
-    """Let this process give arrays of at least ``least`` bytes back to the system when they are freed.
-
-    Python workers live on from task to task; by default the C library keeps what large arrays once took.
-    Up to ``spare`` bytes stay for smaller ones. Only glibc has these switches (M_MMAP_THRESHOLD, -3, and
-    M_TRIM_THRESHOLD, -1); without them nothing changes.
-    """
-    with contextlib.suppress(OSError, AttributeError):
-        libc = ctypes.CDLL(None)
-        libc.mallopt(-3, least)
-        libc.mallopt(-1, spare)
-
-
-_returned_at_once()
-
-
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions that the session asks for; it is meant to grow with the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
