@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that setting is missing (tests on one machine) is a local folder made."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="murkwater-")
+    """``spark.checkpoint.dir``; only where it is missing and the session is one process is a local folder made."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="murkwater-")
 
 
 def place(spark: SparkSession, name: str) -> str:

@@ -18,18 +18,38 @@ def allocate(histogram: DataFrame, total: DataFrame, group: list[str], value: st
 
     A value's share is its count plus the least count, over the sum of these; fractions are floored and
     what is left goes to the largest fractions (ties by value), so shares add up to the total exactly.
-    Adds ``planned``. Histograms are of distinct erroneous values, so windows by group stay small.
+    Adds ``planned``. Sums of a group are aggregates; fractions are ranked in buckets, so that the distinct
+    values of a group, however many, are never sorted in one task.
     """
-    own = Window.partitionBy(*group)
-    rows = histogram.join(total, group).withColumn("_least", F.min("n").over(own))
-    rows = rows.withColumn("_share", (F.col("n") + F.col("_least")).cast("double") / F.sum(F.col("n") + F.col("_least")).over(own) * F.col("total"))
+    sums = histogram.groupBy(*group).agg(F.min("n").alias("_least"), F.sum("n").alias("_n"), F.count("*").alias("_m")).join(total, group)
+    rows = histogram.join(sums, group)
+    rows = rows.withColumn("_share", (F.col("n") + F.col("_least")).cast("double") / (F.col("_n") + F.col("_m") * F.col("_least")) * F.col("total"))
     rows = rows.withColumn("_base", F.floor("_share").cast("long"))
-    rows = rows.withColumn("_place", F.row_number().over(own.orderBy(F.desc(F.round(F.col("_share") - F.col("_base"), 9)), value)))
-    left = F.col("total") - F.sum("_base").over(own)
-    return rows.withColumn("planned", F.col("_base") + (F.col("_place") <= left).cast("long")).drop("_least", "_share", "_base", "_place")
+    rows = rows.withColumn("_fraction", F.round(F.col("_share") - F.col("_base"), 9)).withColumn("_bucket", F.floor(-F.col("_fraction") * 1000))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_size"), F.sum("_base").alias("_sum"))
+    sizes = sizes.withColumn("_first", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn("_bases", F.sum("_sum").over(Window.partitionBy(*group)))
+    rows = rows.join(sizes.select(*group, "_bucket", "_first", "_bases"), [*group, "_bucket"])
+    place = F.col("_first") + F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(F.desc("_fraction"), value))
+    rows = rows.withColumn("planned", F.col("_base") + (place <= F.col("total") - F.col("_bases")).cast("long"))
+    return rows.drop("_least", "_n", "_m", "_share", "_base", "_fraction", "_bucket", "_first", "_bases")
 
 
 def intervals(plan: DataFrame, group: list[str], order: list[str], size: str = "planned") -> DataFrame:
-    """``plan`` with [lo, hi): consecutive intervals of ``size`` within each group."""
-    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return plan.where(F.col(size) > 0).withColumn("hi", F.sum(size).over(upto)).withColumn("lo", F.col("hi") - F.col(size))
+    """``plan`` with [lo, hi): consecutive intervals of ``size`` within each group, by ``order`` (the last of it a text).
+
+    Running sums are taken in buckets of equal leading characters of that text, and buckets start where
+    those before them end, so no group is summed up in one task.
+    """
+    *heads, last = order
+    rows = plan.where(F.col(size) > 0).withColumn("_bucket", F.substring(last, 1, 3))
+    before = Window.partitionBy(*group).orderBy(*heads, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, *heads, "_bucket").agg(F.sum(size).alias("_sum")).withColumn("_first", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    keys = [*group, *heads, "_bucket"]
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    upto = Window.partitionBy(*keys).orderBy(last).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(sums, same).withColumn("hi", F.col("_first") + F.sum(size).over(upto)).withColumn("lo", F.col("hi") - F.col(size))
+    return rows.drop("_bucket", "_first", *[f"_k{i}" for i in range(len(keys))])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import as_double, canonical, differs, missing_number, missing_text, number
+from . import profile
 
 DIRTY = "__dirty"
 #: Classes in order of precedence.
@@ -58,20 +59,21 @@ def positioned(df: DataFrame, name: str = "_row_id") -> DataFrame:
 
 
 def fences(pair: DataFrame, numeric: list[str]) -> dict[str, Fences]:
-    """All limits in one aggregation; a few numbers for each column come to the driver."""
+    """All limits from one aggregation and the quartiles; a few numbers for each column come to the driver."""
     if not numeric:
         return {}
     made, stored = [], dict(pair.dtypes)
+    values = pair.select(*[(number(F.col(c)) if stored[c] == "string" else as_double(F.col(c))).alias(c) for c in numeric])
     for c in numeric:
-        v = number(F.col(c)) if stored[c] == "string" else as_double(F.col(c))
-        made += [F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{c}_q"), F.avg(v).alias(f"{c}_m"), F.stddev_samp(v).alias(f"{c}_s"), F.min(v).alias(f"{c}_lo"), F.max(v).alias(f"{c}_hi")]
-    row = pair.agg(*made).first()
+        made += [F.avg(c).alias(f"{c}_m"), F.stddev_samp(c).alias(f"{c}_s"), F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi")]
+    row = values.agg(*made).first()
+    quartiles = {r["column"]: (r.q25, r.q75) for r in profile.quantiles(values, numeric).collect()}
     out = {}
     for c in numeric:
         if row[f"{c}_lo"] is None:
             out[c] = Fences((None, None), (None, None), (None, None))
             continue
-        q1, q3 = row[f"{c}_q"]
+        q1, q3 = quartiles[c]
         reach, sd = 1.5 * (q3 - q1), row[f"{c}_s"]
         sigma = (None, None) if sd is None else (row[f"{c}_m"] - 3 * sd, row[f"{c}_m"] + 3 * sd)
         out[c] = Fences((q1 - reach, q3 + reach), sigma, (row[f"{c}_lo"], row[f"{c}_hi"]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folder import written
 from ..functions.values import as_double
 
 
@@ -39,11 +40,44 @@ def population_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long(clean, columns, {"var": F.var_pop, "skew": F.skewness, "kurt": F.kurtosis})
 
 
+def values_at(df: DataFrame, columns: list[str], ranks, ranges: int = 200) -> DataFrame:
+    """(column, total, at): each column's number of values and, as a map, the value at each of the 1-based ``ranks(total)``.
+
+    Distinct values are counted first and dealt into ranges by a sketch of them; sizes of ranges tell which
+    ones hold the wanted ranks, and only these few are sorted. So no task holds a column's distinct values.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_double(F.col(c)).alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
+    counted = written(cells.groupBy("column", "v").agg(F.count("*").alias("n")), "counted")
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    ends = counted.groupBy("column").agg(F.percentile_approx("v", steps, F.lit(20 * ranges)).alias("ends"), F.sum("n").alias("total"))
+    rows = counted.join(F.broadcast(ends), "column").withColumn("range", F.size(F.filter("ends", lambda e: e < F.col("v"))))
+    sizes = rows.groupBy("column", "range").agg(F.sum("n").alias("size"))
+    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    wanted = ends.select("column", F.explode(F.array_distinct(ranks(F.col("total")))).alias("k"))
+    hit = wanted.join(sizes, "column").where("first < k and k <= first + size").groupBy("column", "range", "first").agg(F.collect_list("k").alias("ks"))
+    upto = Window.partitionBy("column", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.join(F.broadcast(hit), ["column", "range"]).withColumn("hi", F.col("first") + F.sum("n").over(upto))
+    found = inside.select("column", "total", "v", F.explode(F.filter("ks", lambda k: (k <= F.col("hi")) & (k > F.col("hi") - F.col("n")))).alias("k"))
+    return found.groupBy("column").agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("at"))
+
+
+def _quartiles(df: DataFrame, columns: list[str], position) -> DataFrame:
+    """(column, q25, q50, q75): values at fractional 1-based positions, between those of the ranks around them."""
+    points = (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
+    around = lambda total, p: (F.floor(position(total, p)).cast("long"), F.least(F.floor(position(total, p)).cast("long") + 1, total))
+    found = values_at(df, columns, lambda total: F.array(*[k for _, p in points for k in around(total, p)]))
+    made = []
+    for name, p in points:
+        lo, hi = (F.element_at("at", k) for k in around(F.col("total"), p))
+        made.append((lo + (hi - lo) * (position(F.col("total"), p) - F.floor(position(F.col("total"), p)))).alias(name))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(found.select("column", *made), "column", "left")
+
+
 def quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, q25, q50, q75) by linear interpolation."""
-    clean = df.select(*[as_double(F.col(c)).alias(c) for c in columns])
-    of = {f"q{round(100 * p)}": (lambda p: lambda v: F.percentile(v, p))(p) for p in (0.25, 0.5, 0.75)}
-    return _long(clean, columns, of)
+    """(column, q25, q50, q75) by linear interpolation, exact."""
+    return _quartiles(df, columns, lambda total, p: (total - 1) * p + 1)
 
 
 def approximate_quantiles(df: DataFrame, columns: list[str], accuracy: int = 10000) -> DataFrame:
@@ -54,24 +88,12 @@ def approximate_quantiles(df: DataFrame, columns: list[str], accuracy: int = 100
 
 
 def plotting_quantiles(df: DataFrame, columns: list[str], alpha: float = 0.4, beta: float = 0.4) -> DataFrame:
-    """(column, q25, q50, q75) with plotting positions ``alpha``, ``beta``.
+    """(column, q25, q50, q75) with plotting positions ``alpha``, ``beta``, exact."""
 
-    Distinct values are counted first and ranks are running counts, so rows are never sorted, only distinct values.
-    """
-    v = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_double(F.col(c)).alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    counted = v.groupBy("column", "v").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("column")))
-
-    def quantile(p: float, name: str) -> list[Column]:
-        m = alpha + p * (1 - alpha - beta)
-        a = F.col("total") * p + m
-        k = F.floor(F.greatest(F.lit(1.0), F.least(a, (F.col("total") - 1).cast("double"))))
-        g = F.greatest(F.lit(0.0), F.least(F.lit(1.0), a - k))
-        at = lambda i: F.max(F.when((F.col("lo") < i) & (i <= F.col("hi")), F.col("v")))
-        return ((1 - F.max(g)) * at(k) + F.max(g) * F.coalesce(at(k + 1), at(k))).alias(name)
-
-    return ranked.groupBy("column").agg(quantile(0.25, "q25"), quantile(0.5, "q50"), quantile(0.75, "q75"))
+    def position(total: Column, p: float) -> Column:
+        return F.greatest(F.lit(1.0), F.least(total * p + alpha + p * (1 - alpha - beta), total.cast("double")))
+
+    return _quartiles(df, columns, position)
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:

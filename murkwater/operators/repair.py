@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import profile
+
 
 def impute(df: DataFrame, column: str, how: str, missing: Column) -> DataFrame:
     """``df`` with the cells under ``missing`` set to the mean, median or mode (ties: the least) of the others.
@@ -16,7 +18,7 @@ def impute(df: DataFrame, column: str, how: str, missing: Column) -> DataFrame:
         counted = others.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
         value = counted.agg(F.min_by("_v", F.struct(-F.col("_n"), F.col("_v"))).alias("_fill"))
     else:
-        value = others.agg((F.avg(column) if how == "mean" else F.percentile(column, 0.5)).alias("_fill"))
+        value = others.agg(F.avg(column).alias("_fill")) if how == "mean" else profile.quantiles(others.select(column), [column]).select(F.col("q50").alias("_fill"))
     return df.join(F.broadcast(value)).withColumn(column, F.when(missing, F.col("_fill")).otherwise(F.col(column))).drop("_fill")
 
 
@@ -29,12 +31,12 @@ def nearest_others(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
     """(value, nearest, distance) of each distinct value of a numeric column: the nearest value that is not equal, the lower of two.
 
     In sorted order the nearest is a neighbour, so no matrix of distances is made. Values are dealt into
-    ranges of equal width; each range's neighbours outside are the ends of the ranges around it.
+    ranges of about as many distinct values each, by a sketch of them; a range's neighbours outside are the
+    ends of the ranges around it.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("value")).distinct()
-    span = values.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / buckets
-    dealt = values.join(F.broadcast(span)).withColumn("b", F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(buckets - 1))).otherwise(0)).select("value", "b")
+    ends = values.agg(F.percentile_approx("value", F.array(*[F.lit(i / buckets) for i in range(1, max(buckets, 2))]), F.lit(100 * buckets)).alias("ends"))
+    dealt = values.crossJoin(F.broadcast(ends)).withColumn("b", F.size(F.filter("ends", lambda e: e < F.col("value")))).select("value", "b")
     ends = dealt.groupBy("b").agg(F.min("value").alias("least"), F.max("value").alias("most"))
     order = Window.orderBy("b")  # over at most ``buckets`` rows
     ends = ends.select("b", F.lag("most").over(order).alias("before"), F.lead("least").over(order).alias("after"))

@@ -40,6 +40,14 @@ def multiply(df: DataFrame, factor: float) -> DataFrame:
     return grouped.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times")
 
 
+def scaled(df: DataFrame, key: list[str], columns: list[str], factor: float, seed: int = 3215) -> DataFrame:
+    """``columns`` of ``df`` scaled by the strategy that suits its size, with dense _row_id (and the key where rows are replicated)."""
+    if strategy(df.count(), factor) == "replicate":
+        return replicate(df, key, factor, seed)
+    rows = multiply(df.select(*columns), factor)
+    return ranked(rows, hashed(seed, *[F.col(c) for c in columns], F.col("_copy")), name="_row_id")
+
+
 def resample(df: DataFrame, key: list[str], factor: float, seed: int = 3215) -> DataFrame:
     """All rows and round(n * factor) - n drawn with replacement; adds _row_id.
 

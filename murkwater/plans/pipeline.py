@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folder import written
-from ..functions.values import number
+from ..functions.values import as_double, number
 from ..operators import estimators, inject, pairs, profile, scale, validate
 from ..operators.allocate import allocate, new_count
 
@@ -40,61 +40,82 @@ def plan_edits(scaled: DataFrame, cells: DataFrame, pair: DataFrame, kinds: dict
     """Edits for all columns and classes; what the driver learns are counts and means of each column, a few numbers.
 
     Rows of a swap are taken out of all later lines, replaced cells out of their column's; missing values,
-    outliers and typos then share one line per column.
+    outliers and typos then share one line per column. Each step is one plan for all columns.
     """
-    summary = {r["col"]: r for r in cells.groupBy("col").agg(*[F.count_if(F.col("error_class") == c).alias(c) for c in pairs.CLASSES], F.count_if("typo").alias("typos")).collect()}
-    known = pairs.swap_histogram(cells, kinds)
-    edits = inject.swaps(scaled, kinds, known, factor, seed) if sum(r["SWAP"] for r in summary.values()) else None
-    edits = None if edits is None else written(edits, "edits")
-    free = scaled if edits is None else scaled.join(edits.select("_row_id").distinct(), "_row_id", "left_anti")
-    for c, kind in kinds.items():
-        r = summary.get(c)
-        if r is None:
-            continue
-        own = cells.where(F.col("col") == c)
-        rows = free
-        if r["REPLACEMENT"]:
-            placed = written(inject.replacements(free, c, kind == "num", pairs.histogram(own, "replacement"), factor, seed), "edits")
-            edits = placed if edits is None else edits.unionByName(placed)
-            rows = free.join(placed.select("_row_id"), "_row_id", "left_anti")
-        plan = _line_plan(own, pair, c, kind, r, limits, factor)
-        if plan is not None:
-            hit = inject.place(rows.select("_row_id"), plan, seed + 1, order=["error_class", "value"])
-            line = hit.select("_row_id", F.lit(c).alias("col"), "value", "error_class")
-            edits = line if edits is None else edits.unionByName(line)
-    return edits if edits is not None else scaled.sparkSession.createDataFrame([], "_row_id long, col string, value string, error_class string")
-
-
-def _line_plan(own: DataFrame, pair: DataFrame, column: str, kind: str, r, limits: dict[str, pairs.Fences], factor: float) -> DataFrame | None:
-    """(value, planned, error_class) of a column's missing values, outliers and typos."""
-    found = None
-    if r["MV"]:
-        old = written(own.where("error_class = 'MV'").groupBy(F.col("dirty").alias("value")).agg(F.count("*").alias("n")), "missing")
-        fof = old.groupBy(F.lit(column).alias("column"), F.col("n").alias("i")).agg(F.count("*").alias("f"))
-        wanted = estimators.estimates(fof, factor).first().estimate
-        found = inject.missing_values(old, scale.rounded(r["MV"], factor), wanted, kind == "num").withColumn("error_class", F.lit("MV"))
-    if r["OUTLIER"]:
-        seen = own.where("error_class = 'OUTLIER'").agg(F.count_distinct("dirty")).first()[0]
-        mean = pair.agg(F.avg(column)).first()[0]
-        values = inject.outliers(scale.rounded(r["OUTLIER"], factor), scale.rounded(seen, factor), mean, limits[column])
-        part = own.sparkSession.createDataFrame([(repr(v), n) for v, n in values], "value string, planned long").withColumn("error_class", F.lit("OUTLIER"))
-        found = part if found is None else found.unionByName(part)
-    if r["TYPO"]:
-        part = typo_plan(own, pair, column, factor).withColumn("error_class", F.lit("TYPO"))
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def typo_plan(own: DataFrame, pair: DataFrame, column: str, factor: float) -> DataFrame:
-    """(value, planned): existing typos and as many new distinct ones as growth asks for, none of them a clean value."""
-    old = own.where("error_class = 'TYPO'").groupBy(F.col("dirty").alias("value"), F.col("clean")).agg(F.count("*").alias("n"))
+    counts = [F.count_if(F.col("error_class") == c).alias(c) for c in pairs.CLASSES]
+    outlying = F.when(F.col("error_class") == "OUTLIER", number(F.col("dirty")))
+    summary = {r["col"]: r for r in cells.groupBy("col").agg(*counts, F.count_distinct(outlying).alias("seen"), F.avg(outlying).alias("centre")).collect()}
+    of = lambda *classes: {c: k for c, k in kinds.items() if c in summary and any(summary[c][x] for x in classes)}
+    swapped = written(inject.swaps(scaled, kinds, pairs.swap_histogram(cells, kinds), factor, seed), "edits") if of("SWAP") else None
+    replaced = None
+    if of("REPLACEMENT"):
+        free = scaled if swapped is None else scaled.join(swapped.select("_row_id").distinct(), "_row_id", "left_anti")
+        replaced = written(inject.replacements(free, of("REPLACEMENT"), pairs.histogram(cells, "replacement"), factor, seed), "edits")
+    done = [x for x in (swapped, replaced) if x is not None]
+    plan = line_plan(cells, pair, of("MV", "OUTLIER", "TYPO"), summary, limits, factor, seed)
+    if plan is not None:
+        done.append(inject.place(_free_cells(scaled, plan, swapped, replaced, seed + 1), plan, seed + 1, ["col"], ["error_class", "value"]).select("_row_id", "col", "value", "error_class"))
+    edits = scaled.sparkSession.createDataFrame([], inject.EDITS)
+    for part in done:
+        edits = part if part is done[0] else edits.unionByName(part)
+    return edits
+
+
+def _free_cells(scaled: DataFrame, plan: DataFrame, swapped: DataFrame | None, replaced: DataFrame | None, seed: int) -> DataFrame:
+    """(_row_id, col) of the plan's columns, enough of each line's first cells for what is planned, without those already edited."""
+    columns = plan.groupBy("col").agg(F.sum("planned").alias("planned"))
+    taken = [replaced.select("_row_id", "col")] if replaced is not None else []
+    if swapped is not None:
+        taken.append(swapped.select("_row_id").distinct().crossJoin(F.broadcast(columns.select("col"))))
+    if not taken:
+        return inject.line_cells(scaled, columns.withColumnRenamed("planned", "most"), seed)
+    both = taken[0] if len(taken) == 1 else taken[0].unionByName(taken[1])
+    lost = both.groupBy("col").agg(F.count("*").alias("lost"))
+    most = columns.join(lost, "col", "left").select("col", (F.col("planned") + F.coalesce("lost", F.lit(0))).alias("most"))
+    return inject.line_cells(scaled, most, seed).join(both, ["_row_id", "col"], "left_anti")
+
+
+def line_plan(cells: DataFrame, pair: DataFrame, kinds: dict[str, str], summary: dict, limits: dict[str, pairs.Fences], factor: float, seed: int) -> DataFrame | None:
+    """(col, value, planned, error_class) of all columns' missing values, outliers and typos, written once."""
+    parts = []
+    has = lambda error_class: {c: k for c, k in kinds.items() if summary[c][error_class]}
+    if has("MV"):
+        old = cells.where("error_class = 'MV'").groupBy("col", F.col("dirty").alias("value")).agg(F.count("*").alias("n"))
+        fof = old.groupBy(F.col("col").alias("column"), F.col("n").alias("i")).agg(F.count("*").alias("f"))
+        wanted = estimators.estimates(fof, factor).select(F.col("column").alias("col"), "estimate")
+        parts.append(inject.missing_values(old, wanted, has("MV"), factor).withColumn("error_class", F.lit("MV")))
+    if has("OUTLIER"):
+        parts.append(inject.outliers(outlier_columns(pair, list(has("OUTLIER")), summary, limits, factor), seed).withColumn("error_class", F.lit("OUTLIER")))
+    if has("TYPO"):
+        parts.append(typo_plan(cells, pair, list(has("TYPO")), factor).withColumn("error_class", F.lit("TYPO")))
+    plan = None
+    for part in parts:
+        plan = part if plan is None else plan.unionByName(part)
+    return None if plan is None else written(plan, "plan")
+
+
+def outlier_columns(pair: DataFrame, columns: list[str], summary: dict, limits: dict[str, pairs.Fences], factor: float) -> DataFrame:
+    """What new outliers of these columns need: a few numbers for each."""
+    stored = dict(pair.dtypes)
+    means = pair.agg(*[F.avg(number(F.col(c)) if stored[c] == "string" else as_double(F.col(c))).alias(c) for c in columns]).first()
+    rows = []
+    for c in columns:
+        whole = stored[c] in ("tinyint", "smallint", "int", "bigint")
+        rows.append(inject.outlier_row(c, scale.rounded(summary[c]["OUTLIER"], factor), scale.rounded(summary[c]["seen"], factor), summary[c]["centre"], means[c], limits[c], whole))
+    return pair.sparkSession.createDataFrame(rows, inject.OUTLIERS)
+
+
+def typo_plan(cells: DataFrame, pair: DataFrame, columns: list[str], factor: float) -> DataFrame:
+    """(col, value, planned): existing typos and as many new distinct ones as growth asks for, none of them a clean value."""
+    old = cells.where(F.col("col").isin(*columns) & (F.col("error_class") == "TYPO")).groupBy("col", F.col("dirty").alias("value"), "clean").agg(F.count("*").alias("n"))
     more = F.greatest(F.lit(0), new_count(F.count("*"), factor) - F.count("*"))
-    wanted = old.groupBy("clean").agg(more.alias("more")).where("more > 0")
-    made = wanted.select("clean", F.explode(F.sequence(F.lit(1), F.col("more"))).alias("k")).select(inject.typo(F.col("clean"), F.col("k")).alias("value")).distinct()
-    fresh = inject.drop_clean(made, pair.select(F.col(column).alias("value"))).join(old.select("value"), "value", "left_anti")
-    both = old.groupBy("value").agg(F.sum("n").alias("n")).unionByName(fresh.select("value", F.lit(1).cast("long").alias("n"))).withColumn("g", F.lit(0))
-    total = old.withColumn("g", F.lit(0)).groupBy("g").agg(new_count(F.sum("n"), factor).alias("total"))
-    return allocate(both, total, ["g"]).select("value", "planned")
+    wanted = old.groupBy("col", "clean").agg(more.alias("more")).where("more > 0")
+    made = wanted.select("col", "clean", F.explode(F.sequence(F.lit(1), F.col("more"))).alias("k")).select("col", inject.typo(F.col("clean"), F.col("k")).alias("value")).distinct()
+    clean = pair.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")
+    fresh = inject.drop_clean(made, clean).join(old.select("col", "value"), ["col", "value"], "left_anti")
+    both = old.groupBy("col", "value").agg(F.sum("n").alias("n")).unionByName(fresh.select("col", "value", F.lit(1).cast("long").alias("n")))
+    total = old.groupBy("col").agg(new_count(F.sum("n"), factor).alias("total"))
+    return allocate(both, total, ["col"]).select("col", "value", "planned")
 
 
 def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, seed: int = 3215) -> Run:
@@ -103,6 +124,8 @@ def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, s
     Differing cells, the scaled table and the edits are used by several later steps and are written to
     the shared folder once; all else stays a plan.
 
+    Small tables and fractional factors repeat groups of equal rows (see scale.strategy), others whole rows.
+
     With a factor of 1 the dirty side stands as it is; below 1 the pair is cut and nothing is injected.
     """
     limits = pairs.fences(pair, numeric(kinds))
@@ -111,10 +134,10 @@ def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, s
     columns = list(kinds)
     if factor <= 1:
         scaled = (pair if factor == 1 else scale.shrink(pair, key[0], factor)).withColumn("_row_id", F.col(key[0]).cast("long"))
-        edits = pair.sparkSession.createDataFrame([], "_row_id long, col string, value string, error_class string")
+        edits = pair.sparkSession.createDataFrame([], inject.EDITS)
         generated = scaled
     else:
-        scaled = written(scale.replicate(pair.select(*key, *columns), key, factor, seed), "scaled")
+        scaled = written(scale.scaled(pair.select(*key, *columns), key, columns, factor, seed), "scaled")
         edits = written(plan_edits(scaled, cells, pair, kinds, limits, factor, seed), "edits")
         generated = inject.apply(scaled, edits, columns)
     again = pairs.class_counts(pairs.classify(generated, ["_row_id"], kinds, limits))

@@ -447,7 +447,7 @@ SELECT row_id, value FROM ranked JOIN lines ON c_mktsegment = was AND place >= h
 def inject_replacements_customer(spark, sf_dir):
     scaled = scale.replicate(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_custkey"], 2)
     histogram = pairs.histogram(_customer_cells(spark, sf_dir), "replacement").where("col = 'c_mktsegment'")
-    edits = inject.replacements(scaled, "c_mktsegment", False, histogram, 2, SEED)
+    edits = inject.replacements(scaled, {"c_mktsegment": "str"}, histogram, 2, SEED)
     return edits.select(F.col("_row_id").alias("row_id"), "value")
 
 
@@ -488,19 +488,76 @@ def _orders_line(which: str):
         if which == "MV":
             plan = _allocated(pairs.histogram(cells, "mv")).select("value", F.col("planned"))
         elif which == "OUTLIER":
-            limits = pairs.fences(pair, ["o_totalprice"])["o_totalprice"]
-            row = cells.where("error_class = 'OUTLIER'").agg(F.count("*").alias("n"), F.count_distinct("dirty").alias("d")).first()
-            made = inject.outliers(2 * row.n, 2 * row.d, pair.agg(F.avg("o_totalprice")).first()[0], limits)
-            plan = spark.createDataFrame([(repr(v), n) for v, n in made], "value string, planned long")
+            limits = pairs.fences(pair, ["o_totalprice"])
+            found = F.when(F.col("error_class") == "OUTLIER", F.col("dirty").cast("double"))
+            summary = cells.groupBy("col").agg(F.count(found).alias("OUTLIER"), F.count_distinct(found).alias("seen"), F.avg(found).alias("centre")).where("OUTLIER > 0")
+            columns = pipeline.outlier_columns(pair, ["o_totalprice"], {r["col"]: r for r in summary.collect()}, limits, 2)
+            plan = inject.outliers(columns, SEED)
         else:
-            plan = pipeline.typo_plan(cells.where("col = 'o_orderstatus'"), pair, "o_orderstatus", 2)
+            plan = pipeline.typo_plan(cells, pair, ["o_orderstatus"], 2)
         return inject.place(scaled.select("_row_id"), plan, SEED).select(F.col("_row_id").alias("row_id"), "value")
 
     return line
 
 
-QUERIES["inject_outliers_orders"] = _orders_line("OUTLIER")
-QUERIES["inject_typos_orders"] = _orders_line("TYPO")
+_DOUBLED_RANKED = f"""
+n AS (SELECT count(*) AS n FROM orders),
+base AS (SELECT o_orderkey, {_rank_sql("orders", "o_orderkey", "k")} FROM orders),
+scaled AS (SELECT copy * n + k AS row_id FROM (SELECT *, unnest([0, 1]) AS copy FROM base, n)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}|' || CAST(row_id AS VARCHAR))) - 1 AS place FROM scaled)
+"""
+
+
+@query(ORDERS_CTE + f""",
+known AS (SELECT count(*) * 2 AS total, least(count(*) * 2, count(DISTINCT dirty) * 2) AS d, avg(dirty) AS centre FROM price WHERE NOT mv AND (iqr OR sigma OR span)),
+col AS (SELECT *, abs(centre - m) AS shift, greatest(abs(q1 - 1.5 * (q3 - q1) - m), abs(q3 + 1.5 * (q3 - q1) - m), 3 * s, abs(lo - m), abs(hi - m)) AS reach FROM st, known),
+draws AS (SELECT *, k // 2 AS h, (CAST('0x' || substr(md5('{SEED}|outlier|o_totalprice|' || CAST(k // 2 AS VARCHAR)), 1, 8) AS BIGINT) % 999983 + 1) / 999984.0::DOUBLE AS u FROM col, (SELECT unnest(range(0, (SELECT d FROM known))) AS k)),
+dist AS (
+  SELECT *, greatest(CASE WHEN h % 7 <= 1 THEN hi - lo + shift WHEN h % 7 = 2 THEN u * reach * pow(10, ceil(-log10(u))) WHEN h % 7 <= 4 THEN reach + u * reach ELSE 3 * s + abs(lo) END, reach + shift) * (1.001 + u / 100) AS distance FROM draws),
+plan AS (SELECT centre + CASE WHEN k % 2 = 0 THEN distance ELSE -distance END AS v, total // d + CASE WHEN k < total % d THEN 1 ELSE 0 END AS planned FROM dist),
+{_DOUBLED_RANKED}
+SELECT CAST(sign(v) AS DOUBLE) AS side, round(v, 1) AS value, CAST(sum(planned) AS BIGINT) AS n FROM plan GROUP BY ALL
+""")
+def inject_outliers_orders(spark, sf_dir):
+    """Injected outliers by value: in pairs around the mean of those there were."""
+    hit = _orders_line("OUTLIER")(spark, sf_dir).withColumn("v", F.col("value").cast("double"))
+    return hit.groupBy(F.signum("v").alias("side"), F.round("v", 1).alias("value")).agg(F.count("*").alias("n"))
+
+
+def _typo_sql(old: str) -> str:
+    """Planned typos of ``old`` (col, value, clean, n) when the table is doubled: h (col, value, n) as ALLOCATE_SQL has it."""
+    step = """
+  SELECT col, clean, k, edits, CASE WHEN {j} > edits THEN t WHEN len(t) <= 2 THEN t || letter
+    WHEN kind = 0 AND t[a:a] <> t[a + 1:a + 1] THEN t[1:a - 1] || t[a + 1:a + 1] || t[a:a] || t[a + 2:]
+    WHEN kind = 1 THEN t[1:a - 1] || t[a + 1:] ELSE t[1:a - 1] || letter || t[a:] END AS t
+  FROM (SELECT *, CAST('0x' || substr(d, 1, 4) AS BIGINT) % greatest(len(t) - 1, 1) + 1 AS a, chr(CAST(33 + CAST('0x' || substr(d, 5, 4) AS BIGINT) % 94 AS INTEGER)) AS letter, CAST('0x' || substr(d, 9, 4) AS BIGINT) % 3 AS kind
+        FROM (SELECT *, md5('typo|' || clean || '|' || CAST(k AS VARCHAR) || '|{j}') AS d FROM t{i}))"""
+    steps = ",\n".join(f"t{j} AS ({step.format(i=j - 1, j=j)})" for j in (1, 2, 3))
+    return f"""old AS ({old}),
+t0 AS (SELECT col, clean, unnest(range(1, CAST(more AS BIGINT) + 1)) AS k, greatest(1, least(CAST(round_even(len(clean) / 2, 0) AS BIGINT), 3)) AS edits, clean AS t FROM (SELECT col, clean, round_even(count(*) * 2.0, 0) - count(*) AS more FROM old GROUP BY ALL)),
+{steps},
+fresh AS (SELECT DISTINCT col, t AS value FROM t3),
+h AS (SELECT col, value, CAST(sum(n) AS BIGINT) AS n FROM old GROUP BY ALL UNION ALL SELECT col, value, 1 FROM fresh WHERE (col, value) NOT IN (SELECT col, clean FROM every_clean) AND (col, value) NOT IN (SELECT col, value FROM old))"""
+
+
+TYPO_ALLOCATE_SQL = ALLOCATE_SQL.replace("sum(n) OVER (PARTITION BY col) * 2.5", "(SELECT sum(o.n) FROM old o WHERE o.col = h.col) * 2.0")
+
+
+@query(ORDERS_CTE + ", every_clean AS (SELECT 'o_orderstatus' AS col, o_orderstatus AS clean FROM pair), " + _typo_sql("SELECT col, dirty AS value, clean, count(*) AS n FROM texts WHERE NOT known AND col = 'o_orderstatus' GROUP BY ALL")
+       + TYPO_ALLOCATE_SQL.replace("SELECT col, value, n,", ", plan AS (SELECT value,").rstrip() + f"""),
+lines AS (SELECT value, planned, sum(planned) OVER (ORDER BY value) AS hi FROM plan WHERE planned > 0),
+{_DOUBLED_RANKED}
+SELECT row_id, value FROM ranked JOIN lines ON place >= hi - planned AND place < hi
+""")
+def inject_typos_orders(spark, sf_dir):
+    return _orders_line("TYPO")(spark, sf_dir)
+
+
+@query(CUSTOMER_CTE + ", every_clean AS (SELECT 'c_name' AS col, c_name AS clean FROM pair UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM pair), "
+       + _typo_sql("SELECT col, dirty AS value, clean, count(*) AS n FROM cells WHERE NOT mv AND NOT swap AND NOT known GROUP BY ALL") + TYPO_ALLOCATE_SQL.replace("SELECT col, value, n,", "SELECT col, value,"))
+def plan_typos_customer(spark, sf_dir):
+    """Existing and new misspellings, several edits each, and how often each is planned."""
+    return pipeline.typo_plan(_customer_cells(spark, sf_dir), derived.customer(spark, sf_dir), list(CUSTOMER_KINDS), 2)
 
 
 @query(ORDERS_CTE + f""", h AS (SELECT 'o_totalprice' AS col, dirty AS value, count(*) AS n FROM price WHERE mv GROUP BY dirty)

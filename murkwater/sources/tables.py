@@ -12,9 +12,12 @@ PLAN_SCHEMA = "transformations array<struct<t_type string, type string, col stri
 DEPENDENCY_SCHEMA = "fds array<struct<key array<string>, value array<string>>>"
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",", schema: str | T.StructType | None = None) -> DataFrame:
-    """Delimited text; without ``schema`` every column is text, so nothing is read twice to infer types."""
-    reader = spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",", schema: str | T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """Delimited text; without ``schema`` every column is text, so nothing is read twice to infer types.
+
+    Files are split among tasks; only where cells hold line breaks (``multi_line``) is each file one task's.
+    """
+    reader = spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", False)).csv(path)
 
 

@@ -127,19 +127,26 @@ def test_allocation_is_exact(spark):
     assert {r.col: r.s for r in got.groupBy("col").agg(F.sum("planned").alias("s")).collect()} == {"c": 97, "d": 11}
 
 
-def test_outliers_balance():
+def test_outliers_balance(spark):
     fence = pairs.Fences((0.0, 10.0), (-5.0, 15.0), (1.0, 9.0))
-    made = inject.outliers(100, 6, 5.0, fence)
-    assert sum(n for _, n in made) == 100 and len(made) == 6
-    assert all(v < -5 or v > 15 for v, _ in made)
-    assert math.isclose(sum(v for v, _ in made) / len(made), 5.0)
-    assert inject.outliers(0, 3, 5.0, fence) == []
+    rows = [inject.outlier_row("a", 100, 30, 5.0, 5.0, fence), inject.outlier_row("b", 7, 4, 40.0, 5.0, fence, True), inject.outlier_row("c", 5, 1, 5.0, 5.0, fence)]
+    made = inject.outliers(spark.createDataFrame(rows, inject.OUTLIERS), 1).collect()
+    of = {c: [(float(r.value), r.planned) for r in made if r.col == c] for c in "abc"}
+    assert {c: (len(x), sum(n for _, n in x)) for c, x in of.items()} == {"a": (30, 100), "b": (4, 7), "c": (1, 5)}
+    assert all(v < -5 or v > 15 for x in of.values() for v, _ in x)
+    assert len({v for v, _ in of["a"]}) == 30 and math.isclose(sum(v for v, _ in of["a"]) / 30, 5.0)
+    assert all(v == int(v) for v, _ in of["b"]) and abs(sum(v for v, _ in of["b"]) / 4 - 40) <= 1
+    assert inject.outliers(spark.createDataFrame([], inject.OUTLIERS), 1).collect() == []
 
 
 def test_typos_differ_from_their_source(spark):
-    df = spark.createDataFrame([(w, k) for w in ("a", "ab", "hello", "aaaa") for k in range(20)], "w string, k int")
+    words = {"a": 1, "ab": 1, "hello": 2, "aaaa": 2, "eleven chars": 3}
+    df = spark.createDataFrame([(w, k) for w in words for k in range(40)], "w string, k int")
     rows = df.select("w", inject.typo(F.col("w"), F.col("k")).alias("t")).collect()
-    assert all(r.t != r.w and abs(len(r.t) - len(r.w)) <= 1 for r in rows)
+    assert all(abs(len(r.t) - len(r.w)) <= words[r.w] for r in rows)
+    assert sum(r.t != r.w for r in rows) >= 0.97 * len(rows)  # two exchanges can undo each other
+    assert all(r.t[0] == "a" and len(r.t) == 2 for r in rows if r.w == "a")
+    assert all(len({r.t for r in rows if r.w == w}) > 20 for w in words)
 
 
 def test_null_is_a_value_that_can_be_injected(spark):
@@ -149,7 +156,7 @@ def test_null_is_a_value_that_can_be_injected(spark):
     assert got == {0: (None, "x"), 1: (2.0, "z")}
 
 
-@pytest.mark.parametrize("factor", [1, 2, 3])
+@pytest.mark.parametrize("factor", [1, 1.5, 2, 3])
 def test_runs_keep_the_error_profile(spark, sf, factor):
     run = pipeline.run(derived.orders(spark, sf), ["o_orderkey"], derived.ORDERS_KINDS, factor)
     edits = run.edits.groupBy("_row_id", "col").count()
@@ -189,7 +196,7 @@ def test_plan_and_logs(spark, tmp_path):
 def test_csv_quotes_commas_and_lines(spark, tmp_path):
     df = spark.createDataFrame([("a,b", 'say "x"'), ("line\nbreak", "z")], "p string, q string")
     tables.write_csv(df, str(tmp_path / "t"))
-    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "t"), schema=df.schema).collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "t"), schema=df.schema, multi_line=True).collect())) == sorted(map(tuple, df.collect()))
 
 
 def test_repairs(spark):
