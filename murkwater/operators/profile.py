@@ -136,3 +136,21 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def masked_mean(df: DataFrame, value: str, mask: Column) -> Column:
     """Aggregate: mean of the rows under ``mask``, of all rows if there are none."""
     return F.coalesce(F.avg(F.when(mask, F.col(value))), F.avg(value))
+
+
+def bundle(df: DataFrame, columns: list[str], missing) -> DataFrame:
+    """(column, rows, distinct, missing, outliers, mean, var, skew, kurt) of numeric columns in one table.
+
+    ``missing`` tells of a column's cell whether it is missing; such cells count neither as outliers (beyond
+    1.5 interquartile ranges) nor in moments, which are those of the rows as a population.
+    """
+    clean = df.select(*[F.when(~missing(F.col(c)), as_double(F.col(c))).alias(c) for c in columns])
+    limits = {r["column"]: (r.q25, r.q75) for r in quantiles(clean, columns).collect()}
+    parts = _long(clean, columns, {"rows": lambda v: F.count("*"), "distinct": F.count_distinct, "missing": lambda v: F.count_if(v.isNull()), "mean": F.avg, "var": F.var_pop, "skew": F.skewness, "kurt": F.kurtosis})
+    beyond = []
+    for c in columns:
+        q1, q3 = limits[c]
+        outside = F.lit(False) if q1 is None else (F.col(c) < q1 - 1.5 * (q3 - q1)) | (F.col(c) > q3 + 1.5 * (q3 - q1))
+        beyond.append(F.count_if(outside).alias(c))
+    counts = clean.agg(*beyond).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("outliers")) for c in columns])).alias("x")).select("x.*")
+    return parts.join(counts, "column")

@@ -12,7 +12,7 @@ from ..functions.folder import place
 from ..operators import allocate, dependencies, estimators, inject, pairs, profile, ranks, repair, scale, schema, validate
 from ..sources import tables
 from ..streaming import profiles
-from . import derived, pipeline
+from . import declared, derived, pipeline
 from .derived import CUSTOMER, CUSTOMER_KINDS, LINEITEM, LINEITEM_KINDS, ORDERS, ORDERS_KINDS, cte, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -619,19 +619,128 @@ def validate_swaps_customer_sf2(spark, sf_dir):
     return run.validation.where("check = 'count_swap'").select("check", "column", "expected", "passed")
 
 
-@query()
+@query(f"""
+WITH {cte(LINEITEM, "lineitem")}, c AS (SELECT corr(l_discount, l_tax) AS expected, corr(l_discount__dirty, l_tax__dirty) AS actual FROM pair)
+SELECT 'correlation' AS "check", 'l_discount~l_tax' AS "column", round(expected, 6) AS expected, round(actual, 6) AS actual, CAST(0.2 AS DOUBLE) AS tolerance, abs(actual - expected) <= 0.2 AS passed FROM c
+""")
 def validate_correlation_lineitem(spark, sf_dir):
     pair = derived.lineitem(spark, sf_dir)
     clean = profile.correlations(pair, ["l_discount", "l_tax"])
     dirty = profile.correlations(pair.select(F.col("l_discount__dirty").alias("l_discount"), F.col("l_tax__dirty").alias("l_tax")), ["l_discount", "l_tax"])
-    return validate.correlation_drift(clean, dirty)
+    return rounded(validate.correlation_drift(clean, dirty), "expected", "actual")
 
 
-@query()
+@query(f"""
+WITH {cte(ORDERS, "orders")}, q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b, quantile_cont(o_totalprice__dirty, 0.25) AS c, quantile_cont(o_totalprice__dirty, 0.75) AS d FROM pair),
+x AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi, unnest([c, d]) AS actual FROM q)
+SELECT 'quartile_in_band' AS "check", 'o_totalprice' AS "column", round(lo, 4) AS expected, round(actual, 4) AS actual, round(hi - lo, 4) AS tolerance, actual BETWEEN lo AND hi AS passed FROM x
+""")
 def validate_band_orders(spark, sf_dir):
     pair = derived.orders(spark, sf_dir)
     clean, dirty = profile.quantiles(pair, ["o_totalprice"]), profile.quantiles(pair.select(F.col("o_totalprice__dirty").alias("o_totalprice")), ["o_totalprice"])
-    return validate.inside_band(clean, dirty)
+    return rounded(validate.inside_band(clean, dirty), "expected", "actual", "tolerance", digits=4)
+
+
+def _price_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Prices before and after the errors, with missing cells as 0."""
+    pair = derived.orders(spark, sf_dir)
+    return pair.select("o_totalprice"), pair.select(F.coalesce("o_totalprice__dirty", F.lit(0.0)).alias("o_totalprice"))
+
+
+SIDES_SQL = f"WITH {cte(ORDERS, 'orders')}, sides AS (SELECT 'original' AS side, o_totalprice AS v FROM pair UNION ALL SELECT 'generated', coalesce(o_totalprice__dirty, 0) FROM pair)"
+
+
+@query(SIDES_SQL + """, p AS (SELECT side, unnest(['mean', 'min', 'max', 'q25', 'q50', 'q75', 'skew', 'kurt']) AS name, unnest([avg(v), min(v), max(v), quantile_cont(v, 0.25), quantile_cont(v, 0.5), quantile_cont(v, 0.75), skewness(v), kurtosis(v)]) AS x FROM sides GROUP BY side)
+SELECT 'stat_' || a.name AS "check", 'o_totalprice' AS "column", round(a.x, 4) AS expected, round(b.x, 4) AS actual, CAST(0.2 AS DOUBLE) AS tolerance, abs(b.x - a.x) <= 0.2 * greatest(abs(a.x), 1e-12) AS passed
+FROM p a JOIN p b ON a.name = b.name AND a.side = 'original' AND b.side = 'generated'""")
+def validate_profile_orders(spark, sf_dir):
+    """Moments and quartiles of the clean and the dirty side, within 20 %."""
+    full = lambda df: profile.moments(df, ["o_totalprice"]).join(profile.quantiles(df, ["o_totalprice"]), "column")
+    checks = validate.statistics(*map(full, _price_sides(spark, sf_dir)), ["mean", "min", "max", "q25", "q50", "q75", "skew", "kurt"])
+    return rounded(checks, "expected", "actual", digits=4)
+
+
+@query(SIDES_SQL + """, m AS (SELECT side, v, row_number() OVER (PARTITION BY side ORDER BY count(*) DESC, v) AS r FROM sides GROUP BY side, v)
+SELECT 'o_totalprice' AS "column", s.side, round(min(s.v), 4) AS min, round(max(s.v), 4) AS max, round(avg(s.v), 4) AS mean, round(var_samp(s.v) / 1e6, 2) AS var, round(quantile_cont(s.v, 0.25), 4) AS q25, round(quantile_cont(s.v, 0.5), 4) AS q50, round(quantile_cont(s.v, 0.75), 4) AS q75, round(any_value(m.v), 4) AS mode
+FROM sides s JOIN m ON s.side = m.side AND r = 1 GROUP BY s.side""")
+def validate_summary_orders(spark, sf_dir):
+    rows = validate.summary(*_price_sides(spark, sf_dir), ["o_totalprice"]).withColumn("var", F.round(F.col("var") / 1e6, 2))
+    return rounded(rows, "min", "max", "mean", "q25", "q50", "q75", "mode", digits=4)
+
+
+@query(SIDES_SQL + """, p AS (SELECT side, count(DISTINCT v) AS d, min(v) AS lo, max(v) AS hi, skewness(v) AS s, var_samp(v) AS var FROM sides GROUP BY side),
+l AS (SELECT side, unnest(['distinct', 'min', 'max', 'band', 'var']) AS name, unnest([CAST(d AS DOUBLE), lo, hi, CASE WHEN abs(s) < 0.5 THEN 0 WHEN abs(s) < 1 THEN 1 ELSE 2 END * sign(s), var]) AS x FROM p)
+SELECT 'same_' || a.name AS "check", 'o_totalprice' AS "column", round(CASE WHEN a.name = 'var' THEN a.x / 1e6 ELSE a.x END, 2) AS expected, round(CASE WHEN a.name = 'var' THEN b.x / 1e6 ELSE b.x END, 2) AS actual, CAST(CASE WHEN a.name = 'var' THEN 0.2 ELSE 0 END AS DOUBLE) AS tolerance,
+       CASE WHEN a.name = 'var' THEN abs(b.x - a.x) <= 0.2 * a.x ELSE a.x = b.x END AS passed
+FROM l a JOIN l b ON a.name = b.name AND a.side = 'original' AND b.side = 'generated'""")
+def compare_profiles_orders(spark, sf_dir):
+    def full(df):
+        distinct = profile.distinct_counts(df, ["o_totalprice"]).select("column", F.col("distinct_excl_null").alias("distinct"))
+        return profile.moments(df, ["o_totalprice"]).join(distinct, "column")
+
+    checks = validate.compare_profiles(*map(full, _price_sides(spark, sf_dir)))
+    shown = lambda c: F.round(F.when(F.col("check") == "same_var", F.col(c) / 1e6).otherwise(F.col(c)), 2)
+    return checks.withColumns({"expected": shown("expected"), "actual": shown("actual")})
+
+
+@query(ORDERS_CTE + """, replaced AS (
+  SELECT 'o_orderpriority' AS col, count(DISTINCT clean) AS d FROM texts WHERE known AND col = 'o_orderpriority' HAVING count(*) > 0
+  UNION ALL SELECT 'o_orderstatus', count(DISTINCT clean) FROM texts WHERE known AND col = 'o_orderstatus' HAVING count(*) > 0)
+SELECT 'distinct_replaced' AS "check", col AS "column", CAST(d AS DOUBLE) AS expected, CAST(d AS DOUBLE) AS actual, true AS passed FROM replaced
+UNION ALL SELECT 'population_' || lower(error_class), col, CAST(count(*) AS DOUBLE), CAST(round_even(count(*) * 2.0, 0) AS DOUBLE), true FROM classes WHERE error_class IN ('MV', 'OUTLIER', 'TYPO') GROUP BY col, error_class""")
+def validate_populations_orders_sf2(spark, sf_dir):
+    """Distinct replaced values stay, other classes are no fewer than before, in the table that a run generates."""
+    run = _run(spark, sf_dir)
+    again = pairs.classify(run.generated, ["_row_id"], ORDERS_KINDS, pairs.fences(derived.orders(spark, sf_dir), ["o_totalprice"]))
+    checks = validate.replaced_values(run.cells, again).unionByName(validate.error_populations(run.cells, again))
+    return checks.select("check", "column", "expected", "actual", "passed")
+
+
+@query()
+def validate_distincts_orders_sf2(spark, sf_dir):
+    """Distinct values of the generated columns against clean ones and those estimated for errors."""
+    run, columns = _run(spark, sf_dir), list(ORDERS_KINDS)
+    fof = lambda test: run.cells.where(test).groupBy("col", "dirty").agg(F.count("*").alias("i")).groupBy(F.col("col").alias("column"), "i").agg(F.count("*").alias("f"))
+    typos, missing = (estimators.estimates(fof(test), 2.0).select("column", F.col("estimate").alias(name)) for test, name in (("error_class = 'TYPO'", "typos"), ("error_class = 'MV'", "missing")))
+    outlying = run.cells.where("error_class = 'OUTLIER'").groupBy(F.col("col").alias("column")).agg(F.count_distinct("dirty").alias("outliers"))
+    estimates = typos.join(missing, "column", "full").join(outlying, "column", "full")
+    generated = run.generated.select(*[F.col(f"{c}__dirty").alias(c) for c in columns])
+    return validate.distincts(profile.distinct_counts(derived.orders(spark, sf_dir), columns), profile.distinct_counts(generated, columns), estimates, 2)
+
+
+@query(f"""
+WITH {cte(ORDERS, "orders")}, v AS (SELECT CASE WHEN o_totalprice__dirty IS NULL OR o_totalprice__dirty IN (-9999, 99999) THEN NULL ELSE o_totalprice__dirty END AS v FROM pair),
+q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM v)
+SELECT 'o_totalprice' AS "column", count(*) AS rows, count(DISTINCT v) AS "distinct", count(*) FILTER (WHERE v IS NULL) AS missing, count(*) FILTER (WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) AS outliers,
+       round(avg(v), 4) AS mean, round(var_pop(v) / 1e6, 2) AS var, round(skewness(v) * (count(v) - 2) / sqrt(count(v) * (count(v) - 1.0)), 6) AS skew, round(kurtosis_pop(v), 6) AS kurt
+FROM v, q
+""")
+def data_stats_orders(spark, sf_dir):
+    """Size, distinct values, missing values, outliers and moments of a dirty column, in one table."""
+    rows = derived.orders(spark, sf_dir).select(F.col("o_totalprice__dirty").alias("o_totalprice"))
+    found = profile.bundle(rows, ["o_totalprice"], values.missing_number).withColumn("var", F.round(F.col("var") / 1e6, 2))
+    return rounded(rounded(found, "mean", digits=4), "skew", "kurt")
+
+
+@query("SELECT 'user_id' AS \"column\", count(DISTINCT user_id) AS exact, true AS close FROM events UNION ALL SELECT 'event_type', count(DISTINCT event_type), true FROM events")
+def distinct_approx_error_events(spark, sf_dir):
+    """Approximate distinct counts are within three standard errors of the exact ones."""
+    rows = table(spark, sf_dir, "events")
+    both = profile.approximate_distinct_counts(rows, ["user_id", "event_type"]).join(profile.distinct_counts(rows, ["user_id", "event_type"]), "column")
+    exact = F.col("distinct_excl_null")
+    return both.select("column", exact.alias("exact"), (F.abs(F.col("distinct_approx") - exact) <= 0.3 * exact).alias("close"))
+
+
+@query(_each("round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, true AS close", MEASURES, "lineitem"))
+def approx_quantiles_error_lineitem(spark, sf_dir):
+    """Approximate quartiles are within a thousandth of the range of the exact ones."""
+    rows = table(spark, sf_dir, "lineitem")
+    near = profile.approximate_quantiles(rows, MEASURES).select("column", *[F.col(q).alias(f"a{q}") for q in ("q25", "q50", "q75")])
+    both = profile.quantiles(rows, MEASURES).join(near, "column").join(profile.moments(rows, MEASURES).select("column", (F.col("max") - F.col("min")).alias("range")), "column")
+    close = F.lit(True)
+    for q in ("q25", "q50", "q75"):
+        close = close & (F.abs(F.col(q) - F.col(f"a{q}")) <= 0.001 * F.col("range"))
+    return rounded(both.select("column", "q25", "q50", "q75", close.alias("close")), "q25", "q50", "q75")
 
 
 # --- dependencies, repairs, similarity --------------------------------------------------------------
@@ -739,6 +848,67 @@ def sample_customer(spark, sf_dir):
     return rows.where("rank < 100")
 
 
+@query(f"WITH {cte(ORDERS, 'orders')} SELECT o_orderkey, coalesce(o_totalprice__dirty, 0) AS price FROM pair")
+def fill_constant_orders(spark, sf_dir):
+    """Missing cells become 0."""
+    return derived.orders(spark, sf_dir).select("o_orderkey", F.col("o_totalprice__dirty").alias("price")).na.fill(0.0, ["price"])
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def table_roundtrip_customer(spark, sf_dir):
+    """Customers written as a Parquet table and read back."""
+    path = place(spark, "table")
+    tables.write_table(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), path)
+    return spark.read.parquet(path)
+
+
+FILED = [("l_linestatus", "l_returnflag"), ("l_linestatus", "l_suppkey"), ("l_returnflag", "l_linestatus")]
+
+
+@query(_dependency_sql(FILED, "lineitem"))
+def fd_files_lineitem(spark, sf_dir):
+    """Dependencies read from a text and a JSON file, tested on the table."""
+    columns = ["l_linestatus", "l_returnflag", "l_suppkey"]
+    text, json = place(spark, "fds"), place(spark, "fds")
+    spark.createDataFrame([("0 -> 1,2",)], "value string").write.text(text)
+    spark.createDataFrame([('{"fds": [{"key": ["l_returnflag"], "value": ["l_linestatus"]}]}',)], "value string").write.text(json)
+    both = tables.read_dependencies(spark, text, columns).union(tables.read_dependencies_json(spark, json))
+    return rounded(dependencies.confidences(table(spark, sf_dir, "lineitem"), [(r.lhs, r.rhs) for r in both.collect()]), "confidence")
+
+
+@query("SELECT round(avg(o_totalprice), 4) AS amount FROM orders GROUP BY o_orderpriority")
+def metric_log_orders(spark, sf_dir):
+    """Means by priority written as log lines and read back."""
+    path = place(spark, "log")
+    means = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("m"))
+    means.select(F.concat(F.lit("Mean original dirty: "), F.col("m").cast("string")).alias("value")).write.text(path)
+    return tables.read_metric_log(spark, path, "Mean original dirty").select(F.round("amount", 4).alias("amount"))
+
+
+def _plan_rank_sql(i: int) -> str:
+    return f"row_number() OVER (ORDER BY md5('{SEED}|{i}|' || CAST(o_orderkey AS VARCHAR))) - 1"
+
+
+@query(f"""
+WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders), f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q),
+r AS (SELECT *, {_plan_rank_sql(0)} AS r0, {_plan_rank_sql(1)} AS r1, {_plan_rank_sql(2)} AS r2, {_plan_rank_sql(3)} AS r3 FROM orders)
+SELECT o_orderkey AS row_id, 'o_totalprice' AS col, round(CASE WHEN r0 % 2 = 0 THEN hi + (b - a) * (r0 + 1) ELSE lo - (b - a) * (r0 + 1) END, 4) AS amount, NULL AS value, 'OUTLIER' AS error_class FROM r, f, q WHERE r0 < 14
+UNION ALL SELECT o_orderkey, unnest(['o_orderstatus', 'o_orderpriority']), NULL, unnest([o_orderpriority, o_orderstatus]), 'SWAP' FROM r WHERE r1 < 2
+UNION ALL SELECT x.o_orderkey, 'o_orderpriority', NULL, y.o_orderpriority, 'REPLACEMENT' FROM r x JOIN r y ON x.r2 + y.r2 = 1
+UNION ALL SELECT o_orderkey, 'o_orderstatus', NULL, rpad(o_orderstatus, CAST((SELECT max(len(o_orderstatus)) FROM orders) + 1 AS INTEGER), '~'), 'TYPO' FROM r WHERE r3 < 1
+""")
+def error_plan_orders(spark, sf_dir):
+    """A declarative error plan read from a file and carried out."""
+    path = place(spark, "plan")
+    plan = '{"transformations": [{"t_type": "OUTLIER", "type": "from_iqr", "cols": ["o_totalprice"], "num_outliers": 14}, {"t_type": "SWAP_BETWEEN_COLS", "col1": "1", "col2": "2", "type": "neighbors"}, {"t_type": "FLIP", "col": "2"}, {"t_type": "DISTINCT", "col": "1"}]}'
+    spark.createDataFrame([(plan,)], "value string").write.text(path)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_row_id"), "o_totalprice", "o_orderstatus", "o_orderpriority")
+    made = declared.edits(rows, tables.read_error_plan(spark, path), SEED)
+    outlying = F.col("error_class") == "OUTLIER"
+    amount, text = F.when(outlying, F.round(F.col("value").try_cast("double"), 4)), F.when(~outlying, F.col("value"))
+    return made.select(F.col("_row_id").alias("row_id"), "col", amount.alias("amount"), text.alias("value"), "error_class")
+
+
 # --- streaming (an extension) -----------------------------------------------------------------------
 
 
