@@ -62,7 +62,7 @@ def rendered(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end
 def format_chats(turns: DataFrame) -> DataFrame:
     """Rendered maximal conversations of ``turns`` (conv_id, turn, role, text).
 
-    Rows without conv_id form one conversation. An empty table gives no row. A conversation is rendered
+    Rows without conv_id form one conversation; other columns, whatever their names, are left out. An empty table gives no row. A conversation is rendered
     in one row, so its own length (not that of any group of conversations) bounds what a task holds.
     """
     return rendered(maximal(numbered(turns)))

@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each step is a grouped minimum and an equi-join, so a node with very many neighbours is reduced
     before the shuffle and split by adaptive execution after it. Steps are written to the shared
     folder; the number of steps grows with the logarithm of the longest chain. Loops and repeated
-    edges do no harm; an edge with a null end is left out.
+    edges do no harm; an edge with a null end is left out. An empty table of edges gives no row.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None

@@ -43,7 +43,8 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
     A rule fits its host and all subdomains if the path starts with the rule's path. The longest rule
     (host and path together) wins, ties go to the greater string; without one, rule is null and the
     verdict is ``otherwise``. A null url, or one without ``://``, has an empty host and path and matches
-    nothing but a rule of an empty host. Repeated rows are judged alike.
+    nothing but a rule of an empty host. Repeated rows are judged alike, URLs are read whole, and other
+    columns of ``pages``, whatever their names, are left out. Empty tables give no row, or no rule.
 
     Distinct URLs are expanded once, however many rows have them. Path lengths of rules are read first:
     there are at most as many as the longest rule path has characters.

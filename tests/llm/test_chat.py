@@ -46,3 +46,10 @@ def test_many_copies_of_one_talk(spark):
     rows = [(c, t, "user", f"t{t}") for c in range(2000) for t in range(3 if c else 4)]
     got = result(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert [(r[0], r[1], r[2]) for r in got] == [(0, 4, 1)]
+
+
+def test_clashing_columns_and_a_very_long_talk(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"turn {t} " * 20) for t in range(4000)] + [(2, t, "user" if t % 2 else "assistant", f"turn {t} " * 20) for t in range(3999)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as at", "1 as one", "2 as two", "3 as turns", "4 as copies", "5 as chat", "6 as kept", "7 as fresh")
+    got = chat.format_chats(df).collect()
+    assert [(r.conv_id, r.n_turns, r.copies, r.chat.count("<|im_end|>")) for r in got] == [(1, 4000, 1, 4000)]

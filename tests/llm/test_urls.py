@@ -43,3 +43,12 @@ def test_equal_rules_and_empty_tables(spark):
     none = spark.createDataFrame([], "verdict string, host string, path string")
     pages = spark.createDataFrame([(1, "http://a.net/"), (None, None)], "page_id long, url string")
     assert {r.verdict for r in urls.judge(pages, none).collect()} == {"allow"}
+
+
+def test_very_long_urls_and_clashing_columns(spark):
+    some = ["http://" + "a." * 300 + "net/" + "x/" * 5000, "http://example.net/en/" + "y" * 20_000 + "?q", "x" * 50_000]
+    assert run(spark, some, URL_RULES) == {i: brute(u, URL_RULES) for i, u in enumerate(some)}
+    pages = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/")], "page_id long, url string").selectExpr("*", "1 as known", "2 as rule", "3 as host", "4 as verdict", "5 as best", "6 as short")
+    got = urls.judge(pages, spark.createDataFrame(URL_RULES, "verdict string, host string, path string"))
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert [(r.host, r.verdict) for r in got.collect()] == [("a.net", "block")] * 2
