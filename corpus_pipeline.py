@@ -26,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: some letters, and a posterior of at least one half.
 
-    If there is no labelled document to learn a language from, all documents with letters.
+    If there is no labelled document to learn a language from, all documents with letters. A null text has
+    none and goes; repeated rows are judged alike; a null doc_id makes no difference.
     """
     model = langid.fit(docs)
     if not model.languages:
@@ -55,7 +56,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens, with their tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens, with their tokens.
+
+    A null or empty text is the end token alone; each repeated row is packed; a null doc_id stays null.
+    """
     path = public_tokenizers.path("byte_bpe_50k.json")
     vocabulary, added = bpe.Vocabulary.of_json(path)
     return packing.pack(docs, vocabulary, added, path, most=1024)
