@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import gathered, packed, partitions, record, unpacked, written
+from .shared import gathered, packed, partitions, record, records, unpacked, written
 from .words import gram_sets, mixed
 
 _META = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
@@ -156,7 +156,7 @@ def _shared(parts: int, many: int, keep: bool):
         c = unpacked(batches, {"node": np.uint64, "size": u4, "n": u4, "token": np.uint64, "own_node": np.uint64, "own_size": u4, "own_count": u4, "own_n": u4, "own_token": np.uint64})
         if len(c["own_node"]):
             rate = np.full(len(c["own_token"]), many, np.uint8)
-            yield record(packed((c["own_node"] % np.uint64(parts)).astype(np.int64), {"node": c["own_node"], "size": c["own_size"], "count": c["own_count"], "n": c["own_n"]}, c["own_n"].astype(np.int64), {"token": c["own_token"], "rate": rate}), _FOUND)
+            yield from records((c["own_node"] % np.uint64(parts)).astype(np.int64), {"node": c["own_node"], "size": c["own_size"], "count": c["own_count"], "n": c["own_n"]}, c["own_n"].astype(np.int64), {"token": c["own_token"], "rate": rate}, _FOUND)
         if not len(c["node"]):
             return
         run = np.repeat(np.arange(len(c["n"])), c["n"])
@@ -174,7 +174,7 @@ def _shared(parts: int, many: int, keep: bool):
         count = np.bincount(run[answer], minlength=len(c["n"]))
         have = np.flatnonzero(count)
         n, which = (count[have], answer) if keep else (np.zeros(len(have), np.int64), np.zeros(len(token), bool))
-        yield record(packed((c["node"][have] % np.uint64(parts)).astype(np.int64), {"node": c["node"][have], "size": c["size"][have], "count": count[have].astype(u4), "n": n.astype(u4)}, n, {"token": token[which], "rate": of[which]}), _FOUND)
+        yield from records((c["node"][have] % np.uint64(parts)).astype(np.int64), {"node": c["node"][have], "size": c["size"][have], "count": count[have].astype(u4), "n": n.astype(u4)}, n, {"token": token[which], "rate": of[which]}, _FOUND)
 
     return shared
 

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from ..functions.folder import written
 
-__all__ = ["gathered", "packed", "partitions", "record", "unpacked", "written"]
+__all__ = ["gathered", "packed", "partitions", "record", "records", "unpacked", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -53,6 +53,19 @@ def record(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)).cast(f.type) for f in schema], schema=schema)
 
 
+def records(part: np.ndarray, columns: dict[str, np.ndarray], lengths: np.ndarray, items: dict[str, np.ndarray], schema: pa.Schema, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs packed by ``part`` as batches of about ``most`` runs and items: a batch's binary columns end at 2 GB."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    weights = ends + np.arange(1, len(lengths) + 1)
+    lo = 0
+    while lo < len(lengths):
+        before = int(weights[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(weights, before + most, "right")))
+        first, last = int(ends[lo - 1]) if lo else 0, int(ends[hi - 1])
+        yield record(packed(part[lo:hi], {n: v[lo:hi] for n, v in columns.items()}, lengths[lo:hi], {n: v[first:last] for n, v in items.items()}), schema)
+        lo = hi
+
+
 def unpacked(batches: Iterable[pa.RecordBatch], dtypes: dict[str, type]) -> dict[str, np.ndarray]:
     """All packed values of a partition, column by column."""
     found: dict[str, list[np.ndarray]] = {name: [] for name in dtypes}
