@@ -168,13 +168,22 @@ class Vocabulary:
             raise ValueError(f"{path}: ids of merged tokens do not ascend")
         return cls({bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}), added
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Bytes of a sequence of ids."""
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> np.ndarray:
+        """Bytes of a sequence of ids, each id's where its offset says: ids may be any stretch of a text's, in any order."""
+        if not len(ids):
+            return np.empty(0, np.uint8)
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
-        if not len(ends):
-            return np.empty(0, np.uint8)
-        return self.data[np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - lengths), lengths)]
+        each = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+        data = self.data[each + np.repeat(self.starts[ids], lengths)]
+        if offsets is None:
+            return data
+        at = offsets.astype(np.int64) - int(offsets.min())
+        if int((at + lengths).max()) != len(data):
+            raise ValueError("offsets leave gaps between tokens, or tokens overlap")
+        out = np.empty(len(data), np.uint8)
+        out[each + np.repeat(at, lengths)] = data
+        return out
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -442,15 +451,20 @@ def _decoded(shared):
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 out = []
-                for x in part.column(part.schema.get_field_index("ids")):
-                    out.append(v.decode(x.values.to_numpy()).tobytes() if x.is_valid else b"")
+                offsets = part.column("offsets") if "offsets" in part.schema.names else pa.nulls(part.num_rows)
+                for x, at in zip(part.column("ids"), offsets, strict=True):
+                    out.append(v.decode(x.values.to_numpy(), at.values.to_numpy() if at.is_valid else None).tobytes() if x.is_valid else b"")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     return decoded
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``tokens`` with the bytes that its ids stand for, as ``decoded``; null ids give no bytes."""
+    """``tokens`` with the bytes that its ids stand for, as ``decoded``; null ids give no bytes.
+
+    If there is a column ``offsets``, each id's bytes go where it says, counted from the least: ids of any
+    stretch of a text may then come in any order. Without it, or where it is null, ids are in order.
+    """
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
     ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema] + ["decoded binary"])
     return tokens.mapInArrow(_decoded(shared), ddl)

@@ -24,7 +24,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and what they decode to, as digests."""
     vocabulary = bpe.Vocabulary.of_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary).select("doc_id", "ids")
+    encoded = bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary).select("doc_id", "ids", "offsets")
     return bpe.digests(bpe.decode(encoded, vocabulary))
 
 

@@ -85,6 +85,18 @@ def test_round_trip_and_offsets(spark, docs, texts, empty, library):
     assert bpe.encode(empty, v).collect() == []
 
 
+def test_offsets_decode_a_stretch_in_any_order():
+    v = bpe.Vocabulary.of_ranks(RANKS)
+    data = ("Ünï çödé — 文字 it's  x " * 9).encode()
+    ids, _ = bpe.Encoder(v).encode([data.decode()])
+    offsets = np.cumsum(v.lengths[ids]) - v.lengths[ids]
+    order = np.random.default_rng(5).permutation(np.arange(7, 40))
+    assert v.decode(ids[order], offsets[order]).tobytes() == data[offsets[7] : offsets[40]]
+    assert v.decode(ids[:0], offsets[:0]).tobytes() == b""
+    with pytest.raises(ValueError):
+        v.decode(ids[[1, 5]], offsets[[1, 5]])
+
+
 def check_pieces(rows, want, most=1024):
     pieces, sequences = {}, {}
     for r in rows:
