@@ -17,6 +17,9 @@ one, so that a large group of near copies becomes a star; only sets of a key tha
 different components, and whose sizes, private shingles and bitmaps allow a link, are then compared
 pairwise. (A set's bitmap has 2048 bits, of which each shingle sets one: where two bitmaps differ, so
 do the sets. The join condition sees it, so pairs that it rules out are never made.)
+
+A key that holds more than its share of all rows is dealt over several tasks in every join by key: its
+rows get a salt from their node, and what they are joined with is repeated for each salt.
 """
 
 from __future__ import annotations
@@ -289,6 +292,29 @@ def _linked(pairs: DataFrame, sets: DataFrame, ends: DataFrame, share: Share) ->
     return met.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_checked(share), "a long, b long")
 
 
+class Salts:
+    """Numbers of parts in which joins deal the rows of hot keys.
+
+    ``sizes`` (key, many) has each key once; ``total`` is the sum of many. A key is hot with more than a quarter of
+    an even partition's rows, so there are at most 4 * parts hot keys, whatever the data: they are broadcast.
+    """
+
+    def __init__(self, sizes: DataFrame, total: int, parts: int) -> None:
+        even = max(1, total // (4 * parts))
+        self.hot = F.broadcast(sizes.where(F.col("many") > even).select("key", F.ceil(F.col("many") / even).cast("int").alias("salts")))
+
+    def _known(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.hot, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (key, node, ...), each with one of its key's salts."""
+        return self._known(rows).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
+
+    def repeated(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (key, ...), each once with every salt of its key."""
+        return self._known(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, most_bytes: int = 8_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -321,22 +347,25 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, most_byt
         need = F.ceil(F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100 + percent))
         return (F.col(f"{a}.n") - F.col(f"{a}.own") >= need) & (F.col(f"{b}.n") - F.col(f"{b}.own") >= need)
 
-    hubs = keys.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own")).alias("hub")).select("key", "hub.*")
-    first = keys.alias("x").join(hubs.alias("h"), "key").where((F.col("x.node") != F.col("h.node")) & possible("x", "h"))
+    central = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own")).alias("hub")
+    hubs = written(keys.groupBy("key").agg(central, F.count("*").alias("many")).where("many > 1").select("key", "hub.node", "hub.n", "hub.own", "many"), "hubs")
+    salts = Salts(hubs, keys.count(), parts)
+    dealt = salts.dealt(keys)
+    first = dealt.alias("x").join(salts.repeated(hubs.drop("many")).alias("h"), ["key", "salt"]).where((F.col("x.node") != F.col("h.node")) & possible("x", "h"))
     tried = written(first.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b")).distinct(), "pairs")
     links = written(_linked(tried, sets, ends, share), "links")
     stars = written(components(links), "stars")
-    placed = keys.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = dealt.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = placed.groupBy("key", "root").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots"))
-    placed = placed.join(roots.where("roots > 1").select("key", "main"), "key")
+    placed = placed.join(salts.repeated(roots.where("roots > 1").select("key", "main")), ["key", "salt"])
     open_nodes = placed.select("node").distinct()
     bitmaps = sets.select("node", "tokens").join(open_nodes, "node", "left_semi").mapInArrow(_bitmaps, "node long, " + ", ".join(f"m{k} long" for k in range(LIMBS)))
     placed = placed.join(bitmaps, "node")
     differ = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(1, LIMBS)), F.bit_count(F.col("x.m0").bitwiseXOR(F.col("y.m0"))))
     fits = (100 + percent) * (F.col("x.n") + F.col("y.n") - differ) >= 2 * percent * (F.col("x.n") + F.col("y.n"))
     # of a key's components the largest is not compared within itself: only sets outside it look for partners
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    second = placed.where("root <> main").alias("x").join(placed.alias("y"), apart & possible("x", "y") & fits)
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    second = salts.repeated(placed.where("root <> main").drop("salt")).alias("x").join(placed.alias("y"), apart & possible("x", "y") & fits)
     found = second.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = written(found, "pairs").join(tried, ["a", "b"], "left_anti")
     more = written(_linked(rest, sets, ends, share), "links")

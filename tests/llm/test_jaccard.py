@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from murkwater.llm.components import components
-from murkwater.llm.jaccard import jaccard_classes
+from murkwater.llm.jaccard import Salts, jaccard_classes
 
 
 def brute(texts, percent=80):
@@ -62,6 +62,31 @@ def test_empty_repeated_and_without_id(spark, empty):
     assert got == [(False, 3, 5, 3), (False, 7, 4, 3), (False, 7, 4, 3), (False, 9, 0, 9), (True, 0, 1, None), (True, 0, 4, 3)]
 
 
+def test_a_key_of_most_rows_is_dealt(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("key"), F.col("id").alias("node"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("many"))
+    salts = Salts(sizes, 3000, 8)
+    assert salts.hot.count() == 1
+    dealt = salts.dealt(rows)
+    assert dealt.groupBy("key", "salt").count().agg(F.max("count")).first()[0] < 200
+    assert dealt.join(salts.repeated(sizes), ["key", "salt"]).count() == 3000
+
+
+def test_near_copies_of_one_text_and_sets_apart_in_one_key(spark):
+    rng = np.random.default_rng(3)
+    base = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(400):  # most rows in the same keys: near copies, and some that share a part but do not link
+        w = list(base)
+        for k in rng.choice(60, 1 if i % 4 else rng.integers(2, 9), replace=False):
+            w[k] = f"m{i}_{k}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute(dict(rows))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (None, 3), (200, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
