@@ -40,17 +40,23 @@ def population_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long(clean, columns, {"var": F.var_pop, "skew": F.skewness, "kurt": F.kurtosis})
 
 
-def values_at(df: DataFrame, columns: list[str], ranks, ranges: int = 200) -> DataFrame:
+def values_below(ends: Column, v: Column, size: int) -> Column:
+    """How many of the ascending array ``ends`` are below ``v``, by halving; its length is ``size`` - 1, a power of two less one."""
+    halves = F.array(*[F.lit(size >> i) for i in range(1, size.bit_length())])
+    return F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(F.element_at(ends, at + step) < v, step).otherwise(F.lit(0)))
+
+
+def values_at(df: DataFrame, columns: list[str], ranks, ranges: int = 256) -> DataFrame:
     """(column, total, at): each column's number of values and, as a map, the value at each of the 1-based ``ranks(total)``.
 
-    Distinct values are counted first and dealt into ranges by a sketch of them; sizes of ranges tell which
+    ``ranges`` is a power of two. Distinct values are counted first and dealt into ranges by a sketch of them; sizes of ranges tell which
     ones hold the wanted ranks, and only these few are sorted. So no task holds a column's distinct values.
     """
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_double(F.col(c)).alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
     counted = written(cells.groupBy("column", "v").agg(F.count("*").alias("n")), "counted")
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     ends = counted.groupBy("column").agg(F.percentile_approx("v", steps, F.lit(20 * ranges)).alias("ends"), F.sum("n").alias("total"))
-    rows = counted.join(F.broadcast(ends), "column").withColumn("range", F.size(F.filter("ends", lambda e: e < F.col("v"))))
+    rows = counted.join(F.broadcast(ends), "column").withColumn("range", values_below(F.col("ends"), F.col("v"), ranges))
     sizes = rows.groupBy("column", "range").agg(F.sum("n").alias("size"))
     before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)))
