@@ -214,3 +214,11 @@ def test_validation_flags_what_is_off(spark):
     b = spark.createDataFrame([("c", "SWAP", 9), ("c", "REPLACEMENT", 215), ("c", "TYPO", 1)], "col string, error_class string, n long")
     got = {r.check: r.passed for r in validate.counts(a, b, 2).collect()}
     assert got == {"count_swap": False, "count_replacement": True, "count_mv": False, "count_typo": True}
+
+
+def test_values_below_counts_smaller_ends_with_ties(spark):
+    ends = [1.0, 1.0, 2.0, 2.0, 2.0, 5.0, 9.0]
+    wanted = [0.0, 1.0, 1.5, 2.0, 3.0, 5.0, 9.0, 10.0]
+    rows = spark.createDataFrame([(ends, v) for v in wanted], "ends array<double>, v double")
+    found = {r.v: r.n for r in rows.select("v", profile.values_below(F.col("ends"), F.col("v"), 8).alias("n")).collect()}
+    assert found == {v: sum(e < v for e in ends) for v in wanted}
