@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html, langid, packing, quality, urls
+from . import bpe, chat, fingerprint, html, langid, packing, quality, trie, urls
 from .jaccard import jaccard_classes
 from .substring import remove_duplicate_spans
 
@@ -136,6 +136,41 @@ SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(k.n,
 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations as a node of their trie."""
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, a bit at a time."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda l: ord(l)::BIGINT)), lambda c, b: {step}))"
+
+
+OP11_SQL = f"""
+WITH plain AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT *, md5(length(role) || ':' || role || text) AS id FROM plain),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS p FROM turns),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+mixed AS (
+  SELECT c.conv_id, 0 AS part, p, id, text FROM c JOIN t ON t.conv_id = c.base AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, id, text FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d, id, length(text) AS chars FROM mixed),
+paths AS (
+  SELECT conv_id, d, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d) AS path, chars FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM paths GROUP BY path, d),
+sizes AS (SELECT conv_id, max(d) AS d FROM paths GROUP BY conv_id),
+ends AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha FROM paths JOIN sizes USING (conv_id, d) GROUP BY path),
+kids AS (SELECT left(path, 32 * (d - 1)) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (SELECT left(path, 32 * i) AS path, (n_convs - 1) * chars AS saved, path NOT IN (SELECT path FROM kids) AS leaf FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM nodes)),
+sums AS (SELECT path, sum(saved) AS saved, count_if(leaf) AS leaves FROM below GROUP BY path)
+SELECT nodes.conv_id, nodes.d::BIGINT AS depth, up.conv_id AS parent_conv_id, nodes.n_convs::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+       sums.leaves::BIGINT AS n_leaves, sums.saved::BIGINT AS saved_tokens, coalesce(ends.sha, sha256('')) AS ends_sha256
+FROM nodes JOIN sums USING (path) LEFT JOIN kids USING (path) LEFT JOIN ends USING (path)
+LEFT JOIN nodes up ON nodes.d > 0 AND up.path = left(nodes.path, 32 * (nodes.d - 1))
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -147,10 +182,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
     "op7_url_filter": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
