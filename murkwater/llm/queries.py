@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html, langid, packing, quality, trie, urls
+from . import bpe, chat, fingerprint, html, langid, packing, quality, repair, trie, urls
 from .jaccard import jaccard_classes
 from .substring import remove_duplicate_spans
 
@@ -171,6 +171,62 @@ FROM nodes JOIN sums USING (path) LEFT JOIN kids USING (path) LEFT JOIN ends USI
 LEFT JOIN nodes up ON nodes.d > 0 AND up.path = left(nodes.path, 32 * (nodes.d - 1))
 """
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest edits, and a digest of what they leave."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.audit_conversations(repair.damaged(talks), talks)
+
+
+OP12_SQL = f"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM source WHERE f <> 0),
+numbered AS (
+  SELECT *, left(role, 1) AS initial, md5(length(role) || ':' || role || text) AS digest,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS occurrence
+  FROM damaged),
+rows_ AS (
+  SELECT *, lead(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS following,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN occurrence > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault
+  FROM numbered),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+         count_if(fault = 'truncated') AS truncated, count_if(following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv_id),
+inserted(q, label, r, cost) AS (VALUES (0, '', 0, 0), (1, '', 1, 0), (2, '', 2, 0), (3, '', 3, 0), (0, 'I', 2, 5), (1, 'I', 2, 5), (2, 'I', 3, 5), (3, 'I', 2, 5), (0, 'II', 3, 10), (1, 'II', 3, 10)),
+arcs(q, label, initial, r, cost) AS (
+  VALUES (0, 'D', '', 0, 2), (1, 'D', '', 1, 2), (2, 'D', '', 2, 2), (3, 'D', '', 3, 2), (0, 'R', '', 2, 1), (1, 'R', '', 2, 1), (2, 'R', '', 3, 1), (3, 'R', '', 2, 1),
+         (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0)),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS pos, 0 AS q, 0 AS cost, '' AS audit FROM counts
+  UNION ALL
+  SELECT conv_id, pos, q, cost, audit
+  FROM (
+    SELECT p.conv_id, t.pos, a.r AS q, p.cost + i.cost + a.cost + CASE WHEN a.label <> 'D' AND t.fault = 'truncated' THEN 5 ELSE 0 END AS cost, p.audit || i.label || a.label AS audit
+    FROM paths p JOIN inserted i ON i.q = p.q JOIN arcs a ON a.q = i.r JOIN rows_ t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.pos = p.pos + 1
+    WHERE a.label = 'D' OR (t.fault NOT IN ('blank', 'duplicate') AND (a.label = 'R' OR a.initial = t.initial)))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+ended AS (
+  SELECT c.conv_id, p.cost + i.cost AS cost, p.audit || i.label AS audit
+  FROM counts c JOIN paths p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.pos = c.n JOIN inserted i ON i.q = p.q AND i.r IN (0, 3)),
+best AS (SELECT conv_id, cost, audit FROM ended QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+labels AS (SELECT conv_id, j, substr(audit, j, 1) AS label FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM best)),
+edits AS (SELECT *, count_if(label <> 'I') OVER w AS pos, count_if(label <> 'D') OVER w AS o FROM labels WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+lines AS (SELECT e.conv_id, j, label, o, role, initial, CASE WHEN label = 'I' THEN '' ELSE text END AS text FROM edits e JOIN rows_ t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.pos = greatest(e.pos, 1) WHERE label <> 'D'),
+started AS (SELECT *, max(CASE WHEN o = 1 AND label = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS s FROM lines),
+fixed AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN label = 'K' THEN role WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS sha FROM started GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN fixed f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -183,6 +239,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -190,4 +247,5 @@ ORACLES: dict[str, str] = {
     "op7_url_filter": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_structure_repair": OP12_SQL,
 }
