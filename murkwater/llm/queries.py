@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html, langid, packing, quality, repair, trie, urls
+from . import bpe, chat, fingerprint, html, langid, packing, quality, repair, trie, urls, warc
 from .jaccard import jaccard_classes
 from .substring import remove_duplicate_spans
 
@@ -227,6 +227,24 @@ FROM (SELECT DISTINCT conv_id FROM conversations) e
 LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN fixed f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
 """
 
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say of each record when they are read back."""
+    out = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP13_SQL = """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, strlen(html) AS payload_bytes, list_transform(range(8), lambda i: ('0x' || substr(sha1(html), 5 * i + 1, 5))::BIGINT) AS fives,
+         first_value(r) OVER w AS first_r, first_value(page_id) OVER w AS first_id, r
+  FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST, r DESC))
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(fives, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> k::INTEGER) & 31)::INTEGER + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN r = first_r THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r <> first_r THEN first_id END AS refers_to
+FROM d
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -240,6 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_structure_repair": op12_structure_repair,
+    "op13_warc_archives": op13_warc_archives,
 }
 
 ORACLES: dict[str, str] = {
@@ -248,4 +267,5 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": OP8_SQL,
     "op11_prefix_trie": OP11_SQL,
     "op12_structure_repair": OP12_SQL,
+    "op13_warc_archives": OP13_SQL,
 }

@@ -25,11 +25,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
 from ..functions.folder import place
+from .shared import partitions, written
 
 INDEX = "indexes/index.jsonl"
 #: Bytes of records after which a member is closed (a longer record has one to itself), and of members after which an archive is.
@@ -49,7 +49,7 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, digest, refers_to, revisit) of ``pages``: which record holds a payload and which only refer to it.
+    """(page_id, url, html, sha1, payload_bytes, refers_to, revisit) of ``pages``: which record holds a payload and which only refer to it.
 
     Of payloads that are equal and of at least ``least_bytes`` the one with the largest page_id (nulls first) is
     kept; of rows that repeat it one. ``pages`` must split alike whenever it is read, as files do. Payloads are told apart by SHA-1 and
@@ -195,7 +195,7 @@ def directory(source: pa.NativeFile) -> list[Member]:
         raise ValueError("no ZIP archive")
     count, size, start = struct.unpack_from("<HII", tail, at + 10)
     end_at = tail_at + at
-    if 0xFFFF in (count,) or 0xFFFFFFFF in (size, start):
+    if count == 0xFFFF or 0xFFFFFFFF in (size, start):
         locator = _range(source, end_at - LOCATOR_SIZE, LOCATOR_SIZE)
         if not locator.startswith(LOCATOR):
             raise ValueError("no ZIP64 locator")
