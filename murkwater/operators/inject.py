@@ -2,7 +2,7 @@
 
 Edits are rows (_row_id, col, value, error_class). Cells are chosen by rank lines: rows are ranked by a
 seeded digest, and consecutive intervals of the line go to the planned errors, so no cell is hit twice.
-Replacements and swaps, which need a given clean value, come first, ranked within that value; the other
+Swaps, broken dependencies and replacements, which need given clean values, come first, ranked within that value; the other
 classes share the line of the rows that are left.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import MISSING_TEXTS, canonical
 from .allocate import allocate, intervals, new_count
+from .dependencies import Dependency, left_columns, left_name, left_value
 from .pairs import Fences
 from .ranks import digits_for, hashed, ranked
 
@@ -50,6 +51,23 @@ def replacements(scaled: DataFrame, kinds: dict[str, str], histogram: DataFrame,
     return place(rows, plan, seed, ["col", "_was"]).select("_row_id", "col", "value", F.lit("REPLACEMENT").alias("error_class"))
 
 
+def broken(scaled: DataFrame, kinds: dict[str, str], dependencies: list[Dependency], histogram: DataFrame, factor: float, seed: int) -> DataFrame:
+    """Edits that break dependencies, from (lhs, col, x, value, n): the same left values get the same wrong right values, round(n * factor) times.
+
+    So as many groups break as before, and no other. Rows of a group are chosen by rank; most of a group keep their value, as
+    before. A cell that several dependencies claim gets one edit.
+    """
+    keys = ["lhs", "col", "x"]
+    plan = histogram.select(*keys, "value", new_count(F.col("n"), factor).alias("planned"))
+    form = lambda c: canonical(F.col(c), kinds.get(c, "num" if dict(scaled.dtypes)[c] != "string" else "str") == "num")
+    cells = F.array(*[F.struct(F.lit(left_name(a)).alias("lhs"), F.lit(b).alias("col"), left_value([form(c) for c in left_columns(a)]).alias("x")) for a, b in dependencies])
+    rows = scaled.select("_row_id", F.explode(cells).alias("c")).select("_row_id", "c.*").join(plan.select(*keys).distinct(), keys, "left_semi")
+    hit = place(rows, plan, seed, keys)
+    if len({b for _, b in dependencies}) < len(dependencies):
+        hit = hit.groupBy("_row_id", "col").agg(F.min(F.struct("lhs", "value")).alias("h")).select("_row_id", "col", "h.value")
+    return hit.select("_row_id", "col", "value", F.lit("FD").alias("error_class"))
+
+
 def swaps(scaled: DataFrame, kinds: dict[str, str], histogram: DataFrame, factor: float, seed: int) -> DataFrame:
     """Edits from (col1, col2, clean1, dirty1, n): rows with both values in place get them exchanged, two edits a row.
 

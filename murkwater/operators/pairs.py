@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.values import as_double, canonical, differs, missing_number, missing_text, number
 from . import profile
+from .dependencies import Dependency, breaking
 
 DIRTY = "__dirty"
 #: Classes in order of precedence.
-CLASSES = ("MV", "SWAP", "OUTLIER", "REPLACEMENT", "TYPO", "RESIDUAL")
+CLASSES = ("MV", "SWAP", "OUTLIER", "FD", "REPLACEMENT", "TYPO", "RESIDUAL")
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,13 @@ def fences(pair: DataFrame, numeric: list[str]) -> dict[str, Fences]:
     return out
 
 
+def differing(pair: DataFrame, c: str, kind: str) -> Column:
+    """Whether a row's clean and dirty values of a column differ, by the column's kind."""
+    stored = dict(pair.dtypes)
+    as_kind = lambda name: F.col(name) if kind != "num" else number(F.col(name)) if stored[name] == "string" else as_double(F.col(name))
+    return differs(as_kind(c), as_kind(c + DIRTY))
+
+
 def diff_cells(pair: DataFrame, key: list[str], kinds: dict[str, str], limits: dict[str, Fences] | None = None, blank_is_missing: bool = True) -> DataFrame:
     """One row for each differing cell: key, ord, col, clean, dirty (text), mv, outside, swap_with.
 
@@ -95,12 +103,10 @@ def diff_cells(pair: DataFrame, key: list[str], kinds: dict[str, str], limits: d
         is_text = stored[c + DIRTY] == "string"
         if kind == "num":
             missing = missing_text(dirty, True, blank_is_missing) if is_text else missing_number(as_double(dirty))
-            value = number(dirty) if is_text else as_double(dirty)
-            differ = differs(number(clean) if stored[c] == "string" else as_double(clean), value)
-            outside = ~missing & limits[c].outside(value)
+            outside = ~missing & limits[c].outside(number(dirty) if is_text else as_double(dirty))
         else:
             missing, outside = missing_text(dirty, False, blank_is_missing), F.lit(False)
-            differ = differs(clean, dirty)
+        differ = differing(pair, c, kind)
         any_differ = any_differ | differ
         cells.append(
             F.struct(
@@ -121,9 +127,13 @@ def diff_cells(pair: DataFrame, key: list[str], kinds: dict[str, str], limits: d
     return rows.select(*key, F.explode(swapped).alias("_cell")).select(*key, "_cell.*")
 
 
-def classify(pair: DataFrame, key: list[str], kinds: dict[str, str], limits: dict[str, Fences] | None = None, strict: bool = False) -> DataFrame:
+def classify(pair: DataFrame, key: list[str], kinds: dict[str, str], limits: dict[str, Fences] | None = None, strict: bool = False, dependencies: list[Dependency] | None = None) -> DataFrame:
     """``diff_cells`` with known (dirty value is among the column's clean values), error_class and typo.
 
+    With ``dependencies``, which the clean table is meant to keep, a cell that would be a replacement or RESIDUAL is FD if it
+    breaks one: it differs from what most dirty rows with the same left value have. fd_lhs and fd_x tell the
+    first such left side and its value. A misspelling stays one, whatever it breaks.
+
     Classes follow the precedence of CLASSES. typo is also true of a missing text outside the clean
     values unless ``strict``. Clean values are reduced to those that some differing cell has before they
     are made distinct, so the membership test shuffles little.
@@ -134,19 +144,35 @@ def classify(pair: DataFrame, key: list[str], kinds: dict[str, str], limits: dic
     clean = pair.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), canonical(F.col(c), k == "num" and stored[c] != "string").alias("now")) for c, k in kinds.items()])).alias("x")).select("x.*")
     known = clean.join(wanted, ["col", "now"], "left_semi").distinct().withColumn("known", F.lit(True))
     found = cells.join(known, ["col", "now"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    broken = F.lit(False)
+    if dependencies:
+        only = {b: differing(pair, b, kinds[b]) for _, b in dependencies}
+        found, broken = _with_broken(found, pair, key, dependencies, only), F.col("fd_lhs").isNotNull() & (F.col("known") | (F.col("kind") == "num"))
     swapped = F.col("swap_with").isNotNull()
     novel = (F.col("kind") == "str") & ~F.col("known") & ~swapped
-    tag = F.when(F.col("mv"), "MV").when(swapped, "SWAP").when(F.col("outside"), "OUTLIER").when(F.col("known"), "REPLACEMENT").when(F.col("kind") == "str", "TYPO").otherwise("RESIDUAL")
+    tag = F.when(F.col("mv"), "MV").when(swapped, "SWAP").when(F.col("outside"), "OUTLIER").when(broken, "FD").when(F.col("known"), "REPLACEMENT").when(F.col("kind") == "str", "TYPO").otherwise("RESIDUAL")
     return found.withColumn("error_class", tag).withColumn("typo", novel & ~F.col("mv") if strict else novel)
 
 
+def _with_broken(cells: DataFrame, pair: DataFrame, key: list[str], dependencies: list[Dependency], only: dict[str, Column]) -> DataFrame:
+    """``cells`` with fd_lhs and fd_x: the first dependency that a cell breaks; null where there is none."""
+    hit = breaking(pair, key, dependencies, DIRTY, only).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("col").alias("_col"))
+    hit = hit.agg(F.min(F.struct("lhs", "x")).alias("_fd"))
+    same = F.col("col") == F.col("_col")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return cells.join(hit, same, "left").withColumns({"fd_lhs": F.col("_fd.lhs"), "fd_x": F.col("_fd.x")}).drop("_col", "_fd", *[f"_k{i}" for i in range(len(key))])
+
+
 def class_counts(cells: DataFrame) -> DataFrame:
     """(col, error_class, n)."""
     return cells.groupBy("col", "error_class").agg(F.count("*").alias("n"))
 
 
 def histogram(cells: DataFrame, what: str) -> DataFrame:
-    """Value counts of one class: (col, value, n) of mv, outlier or typo; (col, clean, dirty, n) of replacement."""
+    """Value counts of one class: (col, value, n) of mv, outlier or typo; (col, clean, dirty, n) of replacement; (lhs, col, x, value, n) of fd."""
+    if what == "fd":
+        return cells.where("error_class = 'FD'").groupBy(F.col("fd_lhs").alias("lhs"), "col", F.col("fd_x").alias("x"), F.col("dirty").alias("value")).agg(F.count("*").alias("n"))
     if what == "replacement":
         return cells.where("error_class = 'REPLACEMENT'").groupBy("col", "clean", "dirty").agg(F.count("*").alias("n"))
     test = {"mv": "mv", "typo": "typo", "outlier": "error_class = 'OUTLIER'"}[what]

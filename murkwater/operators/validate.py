@@ -15,13 +15,13 @@ COLUMNS = ["check", "column", "expected", "actual", "tolerance", "passed"]
 
 
 def counts(original: DataFrame, generated: DataFrame, factor: float) -> DataFrame:
-    """Class counts (col, error_class, n): swaps exact, replacements within 10 %, others at least as many as before."""
+    """Class counts (col, error_class, n): swaps exact, replacements and broken dependencies within 10 %, others at least as many as before."""
     both = original.withColumnRenamed("n", "before").join(generated.withColumnRenamed("n", "after"), ["col", "error_class"], "full").na.fill(0, ["before", "after"])
     expected = new_count(F.col("before"), factor).cast("double")
     actual = F.col("after").cast("double")
     near = (actual >= F.bround(expected * 0.9)) & (actual <= F.bround(expected * 1.1))
-    passed = F.when(F.col("error_class") == "SWAP", expected == actual).when(F.col("error_class") == "REPLACEMENT", near).when(F.col("error_class") == "RESIDUAL", F.lit(None).cast("boolean")).otherwise(F.col("before") <= F.col("after"))
-    tolerance = F.when(F.col("error_class") == "SWAP", 0.0).when(F.col("error_class") == "REPLACEMENT", 0.1)
+    passed = F.when(F.col("error_class") == "SWAP", expected == actual).when(F.col("error_class").isin("REPLACEMENT", "FD"), near).when(F.col("error_class") == "RESIDUAL", F.lit(None).cast("boolean")).otherwise(F.col("before") <= F.col("after"))
+    tolerance = F.when(F.col("error_class") == "SWAP", 0.0).when(F.col("error_class").isin("REPLACEMENT", "FD"), 0.1)
     return both.select(F.concat(F.lit("count_"), F.lower("error_class")).alias("check"), F.col("col").alias("column"), expected.alias("expected"), actual.alias("actual"), tolerance.alias("tolerance"), passed.alias("passed"))
 
 
@@ -47,6 +47,13 @@ def correlation_drift(original: DataFrame, generated: DataFrame, tolerance: floa
     return both.select(F.lit("correlation").alias("check"), F.concat_ws("~", "a", "b").alias("column"), "expected", "actual", F.lit(tolerance).alias("tolerance"), (F.abs(F.col("actual") - F.col("expected")) <= tolerance).alias("passed"))
 
 
+def confidences(original: DataFrame, generated: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Confidences (lhs, rhs, confidence) of dependencies differ by at most ``tolerance``."""
+    both = original.select("lhs", "rhs", F.col("confidence").alias("expected")).join(generated.select("lhs", "rhs", F.col("confidence").alias("actual")), ["lhs", "rhs"])
+    near = F.abs(F.col("actual") - F.col("expected")) <= tolerance
+    return both.select(F.lit("dependency").alias("check"), F.concat_ws("->", "lhs", "rhs").alias("column"), "expected", "actual", F.lit(tolerance).alias("tolerance"), near.alias("passed"))
+
+
 def distincts(clean: DataFrame, generated: DataFrame, estimates: DataFrame, factor: float) -> DataFrame:
     """Distinct values of each generated column against clean ones plus those estimated for errors.
 

@@ -26,6 +26,19 @@ LINEITEM = [
 ]
 LINEITEM_KINDS = {"l_discount": "num", "l_tax": "num"}
 
+#: Zones that depend on the supplier, and areas that depend on the zone; some rows break that, others are misspelt or missing.
+ZONES = [
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    "concat('zone-', CAST(l_suppkey % 25 AS STRING)) AS l_zone",
+    "concat('area-', CAST(l_suppkey % 25 % 4 AS STRING)) AS l_area",
+    "l_suppkey AS l_suppkey__dirty",
+    "CASE WHEN l_orderkey % 211 = 9 THEN concat('zone-', CAST((l_suppkey + 3) % 25 AS STRING)) WHEN l_orderkey % 223 = 4 THEN concat('zone-', CAST(l_suppkey % 25 AS STRING), 'x') WHEN l_orderkey % 227 = 5 THEN NULL ELSE concat('zone-', CAST(l_suppkey % 25 AS STRING)) END AS l_zone__dirty",
+    "CASE WHEN l_orderkey % 229 = 6 THEN concat('area-', CAST((l_suppkey % 25 + 1) % 4 AS STRING)) WHEN l_orderkey % 233 = 7 THEN 'NA' ELSE concat('area-', CAST(l_suppkey % 25 % 4 AS STRING)) END AS l_area__dirty",
+]
+ZONES_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+ZONES_KINDS = {"l_zone": "str", "l_area": "str"}
+ZONES_DEPENDENCIES = [("l_suppkey", "l_zone"), ("l_zone", "l_area")]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +56,10 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*LINEITEM)
 
 
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*ZONES)
+
+
 def cte(expressions: list[str], source: str) -> str:
     """The pair as a common table expression."""
     return f"pair AS (SELECT {', '.join(expressions)} FROM {source})"

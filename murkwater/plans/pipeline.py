@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.folder import written
 from ..functions.values import as_double, number
+from ..operators import dependencies as fd
 from ..operators import estimators, inject, pairs, profile, scale, validate
 from ..operators.allocate import allocate, new_count
+from ..operators.dependencies import Dependency
 
 
 @dataclass
@@ -36,10 +38,10 @@ def dirty_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[(number(F.col(c + pairs.DIRTY)) if stored[c + pairs.DIRTY] == "string" else F.col(c + pairs.DIRTY)).alias(c) for c in columns])
 
 
-def plan_edits(scaled: DataFrame, cells: DataFrame, pair: DataFrame, kinds: dict[str, str], limits: dict[str, pairs.Fences], factor: float, seed: int) -> DataFrame:
+def plan_edits(scaled: DataFrame, cells: DataFrame, pair: DataFrame, kinds: dict[str, str], limits: dict[str, pairs.Fences], factor: float, seed: int, dependencies: list[Dependency] | None = None) -> DataFrame:
     """Edits for all columns and classes; what the driver learns are counts and means of each column, a few numbers.
 
-    Rows of a swap are taken out of all later lines, replaced cells out of their column's; missing values,
+    Rows of a swap or of a broken dependency are taken out of all later lines, replaced cells out of their column's; missing values,
     outliers and typos then share one line per column. Each step is one plan for all columns.
     """
     counts = [F.count_if(F.col("error_class") == c).alias(c) for c in pairs.CLASSES]
@@ -48,6 +50,10 @@ def plan_edits(scaled: DataFrame, cells: DataFrame, pair: DataFrame, kinds: dict
     of = lambda *classes: {c: k for c, k in kinds.items() if c in summary and any(summary[c][x] for x in classes)}
     swapped = written(inject.swaps(scaled, kinds, pairs.swap_histogram(cells, kinds), factor, seed), "edits") if of("SWAP") else None
     replaced = None
+    if dependencies and of("FD"):
+        free = scaled if swapped is None else scaled.join(swapped.select("_row_id").distinct(), "_row_id", "left_anti")
+        broken = written(inject.broken(free, kinds, dependencies, pairs.histogram(cells, "fd"), factor, seed), "edits")
+        swapped = broken if swapped is None else swapped.unionByName(broken)
     if of("REPLACEMENT"):
         free = scaled if swapped is None else scaled.join(swapped.select("_row_id").distinct(), "_row_id", "left_anti")
         replaced = written(inject.replacements(free, of("REPLACEMENT"), pairs.histogram(cells, "replacement"), factor, seed), "edits")
@@ -118,7 +124,7 @@ def typo_plan(cells: DataFrame, pair: DataFrame, columns: list[str], factor: flo
     return allocate(both, total, ["col"]).select("col", "value", "planned")
 
 
-def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, seed: int = 3215) -> Run:
+def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, seed: int = 3215, dependencies: list[Dependency] | None = None) -> Run:
     """Profile ``pair`` (aligned, see operators.pairs), scale, inject, profile again and validate.
 
     Differing cells, the scaled table and the edits are used by several later steps and are written to
@@ -126,10 +132,13 @@ def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, s
 
     Small tables and fractional factors repeat groups of equal rows (see scale.strategy), others whole rows.
 
+    ``dependencies`` (left columns, right column) that the clean table keeps make cells that break them a class of
+    their own, and their confidence in the dirty table is validated. All their columns are among ``kinds``.
+
     With a factor of 1 the dirty side stands as it is; below 1 the pair is cut and nothing is injected.
     """
     limits = pairs.fences(pair, numeric(kinds))
-    cells = written(pairs.classify(pair, key, kinds, limits), "cells")
+    cells = written(pairs.classify(pair, key, kinds, limits, dependencies=dependencies), "cells")
     original = pairs.class_counts(cells)
     columns = list(kinds)
     if factor <= 1:
@@ -138,12 +147,15 @@ def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, s
         generated = scaled
     else:
         scaled = written(scale.scaled(pair.select(*key, *columns), key, columns, factor, seed), "scaled")
-        edits = written(plan_edits(scaled, cells, pair, kinds, limits, factor, seed), "edits")
+        edits = written(plan_edits(scaled, cells, pair, kinds, limits, factor, seed, dependencies), "edits")
         generated = inject.apply(scaled, edits, columns)
-    again = pairs.class_counts(pairs.classify(generated, ["_row_id"], kinds, limits))
+    again = pairs.class_counts(pairs.classify(generated, ["_row_id"], kinds, limits, dependencies=dependencies))
     dirty = lambda df: dirty_numbers(df, numeric(kinds))
     checks = validate.counts(original, again, factor)
     if numeric(kinds):
         stats = validate.statistics(profile.moments(dirty(pair), numeric(kinds), True), profile.moments(dirty(generated), numeric(kinds), True), ["mean", "var", "min", "max"])
         checks = checks.unionByName(stats)
+    if dependencies:
+        kept = lambda df: fd.confidences(df.select(*[F.col(c + pairs.DIRTY).alias(c) for c in columns]), dependencies)
+        checks = checks.unionByName(validate.confidences(kept(pair), kept(generated)))
     return Run(cells, original, scaled, edits, generated, again, checks)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..operators import allocate, dependencies, estimators, inject, pairs, profi
 from ..sources import tables
 from ..streaming import profiles
 from . import declared, derived, pipeline
-from .derived import CUSTOMER, CUSTOMER_KINDS, LINEITEM, LINEITEM_KINDS, ORDERS, ORDERS_KINDS, cte, table
+from .derived import CUSTOMER, CUSTOMER_KINDS, LINEITEM, LINEITEM_KINDS, ORDERS, ORDERS_KINDS, ZONES, ZONES_DEPENDENCIES, ZONES_KEY, ZONES_KINDS, cte, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -764,6 +765,102 @@ def fd_exact_nation(spark, sf_dir):
     return rounded(dependencies.confidences(table(spark, sf_dir, "nation"), dependencies.all_pairs(["n_nationkey", "n_name", "n_regionkey"])), "confidence")
 
 
+LATTICE = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def _lattice_sql(columns: list[str], most: int, source: str) -> str:
+    """Minimal dependencies from the group counts of all sets of columns; a set is a number with a bit for each column."""
+    sets = [s for size in range(most + 2) for s in itertools.combinations(range(len(columns)), size)]
+    bits = lambda s: sum(1 << i for i in s)
+    counted = " UNION ALL ".join(f"SELECT {bits(s)} AS b, '{','.join(columns[i] for i in s)}' AS name, {len(s)} AS size, count(*) AS n FROM (SELECT DISTINCT {', '.join(columns[i] for i in s) or '1'} FROM {source})" for s in sets)
+    rights = ", ".join(f"({1 << i}, '{c}')" for i, c in enumerate(columns))
+    return f"""
+WITH counts AS ({counted}), rights(bit, rhs) AS (VALUES {rights}),
+held AS (
+  SELECT x.b, x.name, x.size, r.rhs FROM counts x JOIN rights r ON x.b & r.bit = 0 JOIN counts y ON y.b = x.b + r.bit
+  WHERE x.size <= {most} AND x.n = y.n)
+SELECT name AS lhs, rhs, size AS columns FROM held h
+WHERE NOT EXISTS (SELECT 1 FROM held s WHERE s.rhs = h.rhs AND s.b <> h.b AND s.b & h.b = s.b)
+"""
+
+
+@query(_lattice_sql(LATTICE, 3, "orders"))
+def fd_lattice_orders(spark, sf_dir):
+    """Minimal dependencies of orders with up to three columns on the left."""
+    found = dependencies.lattice(table(spark, sf_dir, "orders"), LATTICE, 3)
+    rows = [(dependencies.left_name(lhs), rhs, len(lhs)) for lhs, rhs in found]
+    return spark.createDataFrame(rows, "lhs string, rhs string, columns int")
+
+
+FD_CTE = f"""
+WITH {cte(ZONES, "lineitem")},
+votes AS (
+  SELECT 'l_zone' AS col, CAST(l_suppkey__dirty AS VARCHAR) AS x, l_zone__dirty AS y, count(*) AS n FROM pair WHERE l_zone__dirty IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'l_area', l_zone__dirty, l_area__dirty, count(*) FROM pair WHERE l_area__dirty <> 'NA' GROUP BY ALL),
+most AS (SELECT col, x, y FROM votes QUALIFY row_number() OVER (PARTITION BY col, x ORDER BY n DESC, y) = 1),
+cells AS (
+  SELECT 'l_zone' AS col, CAST(l_suppkey__dirty AS VARCHAR) AS x, l_zone AS clean, l_zone__dirty AS dirty, l_zone__dirty IN (SELECT l_zone FROM pair) AS known FROM pair WHERE l_zone__dirty IS DISTINCT FROM l_zone
+  UNION ALL SELECT 'l_area', l_zone__dirty, l_area, l_area__dirty, l_area__dirty IN (SELECT l_area FROM pair) FROM pair WHERE l_area__dirty <> l_area),
+classed AS (
+  SELECT c.*, CASE WHEN dirty IS NULL OR dirty = 'NA' THEN 'MV' WHEN NOT known THEN 'TYPO' WHEN m.y <> dirty THEN 'FD' ELSE 'REPLACEMENT' END AS error_class
+  FROM cells c LEFT JOIN most m ON m.col = c.col AND m.x IS NOT DISTINCT FROM c.x)
+"""
+
+
+def _zone_cells(spark, sf_dir):
+    return pairs.classify(derived.zones(spark, sf_dir), ZONES_KEY, ZONES_KINDS, dependencies=ZONES_DEPENDENCIES)
+
+
+@query(FD_CTE + "SELECT col, error_class, count(*) AS n FROM classed GROUP BY ALL")
+def fd_errors_lineitem(spark, sf_dir):
+    """Error classes where zones depend on suppliers and areas on zones."""
+    return pairs.class_counts(_zone_cells(spark, sf_dir))
+
+
+@query(FD_CTE + "SELECT CASE col WHEN 'l_zone' THEN 'l_suppkey' ELSE 'l_zone' END AS lhs, col, count(DISTINCT x) AS groups, count(*) AS n FROM classed WHERE error_class = 'FD' GROUP BY ALL")
+def fd_broken_groups_lineitem(spark, sf_dir):
+    """How many left values of each dependency have cells that break it, and how many cells."""
+    return pairs.histogram(_zone_cells(spark, sf_dir), "fd").groupBy("lhs", "col").agg(F.count_distinct("x").alias("groups"), F.sum("n").alias("n"))
+
+
+@query(FD_CTE + f""",
+plan AS (SELECT col, x, dirty AS value, CAST(round_even(count(*) * 2.0, 0) AS BIGINT) AS planned FROM classed WHERE error_class = 'FD' GROUP BY ALL),
+lines AS (SELECT *, sum(planned) OVER (PARTITION BY col, x ORDER BY value) AS hi FROM plan),
+n AS (SELECT count(*) AS n FROM lineitem),
+base AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}|' || {" || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in ZONES_KEY)})) - 1 AS k FROM pair),
+scaled AS (SELECT copy * n + k AS row_id, l_suppkey, l_zone FROM (SELECT *, unnest([0, 1]) AS copy FROM base, n)),
+sides AS (SELECT row_id, 'l_zone' AS col, CAST(l_suppkey AS VARCHAR) AS x FROM scaled UNION ALL SELECT row_id, 'l_area', l_zone FROM scaled),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY col, x ORDER BY md5('{SEED}|' || CAST(row_id AS VARCHAR))) - 1 AS place FROM sides)
+SELECT row_id, r.col, value FROM ranked r JOIN lines l ON l.col = r.col AND l.x = r.x AND place >= hi - planned AND place < hi
+""")
+def inject_fd_lineitem(spark, sf_dir):
+    """Edits of the doubled table that break the same groups as before, and no other."""
+    pair = derived.zones(spark, sf_dir)
+    scaled = scale.replicate(pair.select(*ZONES_KEY, "l_zone", "l_area"), ZONES_KEY, 2)
+    edits = inject.broken(scaled, ZONES_KINDS, ZONES_DEPENDENCIES, pairs.histogram(_zone_cells(spark, sf_dir), "fd"), 2, SEED)
+    return edits.select(F.col("_row_id").alias("row_id"), "col", "value")
+
+
+@query(f"""
+WITH {cte(ZONES, "lineitem")},
+c AS (
+  SELECT 'l_suppkey->l_zone' AS "column", CAST(l_suppkey AS VARCHAR) AS x, l_zone AS clean, l_zone__dirty AS dirty FROM pair
+  UNION ALL SELECT 'l_zone->l_area', l_zone, l_area, l_area__dirty FROM pair),
+d AS (SELECT "column", x, dirty, count(*) AS n FROM (SELECT "column", CASE "column" WHEN 'l_zone->l_area' THEN NULL ELSE x END AS x, dirty FROM c WHERE "column" <> 'l_zone->l_area' UNION ALL SELECT 'l_zone->l_area', l_zone__dirty, l_area__dirty FROM pair) GROUP BY ALL),
+e AS (SELECT "column", x, clean, count(*) AS n FROM c GROUP BY ALL),
+dm AS (SELECT "column", sum(most) / sum(n) AS actual FROM (SELECT "column", x, max(n) AS most, sum(n) AS n FROM d GROUP BY ALL) GROUP BY ALL),
+em AS (SELECT "column", sum(most) / sum(n) AS expected FROM (SELECT "column", x, max(n) AS most, sum(n) AS n FROM e GROUP BY ALL) GROUP BY ALL)
+SELECT 'dependency' AS "check", "column", round(expected, 6) AS expected, round(actual, 6) AS actual, 0.05 AS tolerance, abs(actual - expected) <= 0.05 AS passed FROM em JOIN dm USING ("column")
+""")
+def validate_dependencies_lineitem(spark, sf_dir):
+    """Confidence of the dependencies in the clean and the dirty table."""
+    pair = derived.zones(spark, sf_dir)
+    names = ["l_suppkey", *ZONES_KINDS]
+    dirty = pair.select(*[F.col(c + pairs.DIRTY).alias(c) for c in names])
+    found = [dependencies.confidences(df, ZONES_DEPENDENCIES) for df in (pair.select(*names), dirty)]
+    return rounded(validate.confidences(*found), "expected", "actual")
+
+
 @query(ORDERS_CTE + "SELECT o_orderkey, round(greatest(least(o_totalprice__dirty, q3 + 1.5 * (q3 - q1)), q1 - 1.5 * (q3 - q1)), 4) AS price FROM pair, st WHERE o_totalprice__dirty IS NOT NULL UNION ALL SELECT o_orderkey, NULL FROM pair WHERE o_totalprice__dirty IS NULL")
 def cap_outliers_orders(spark, sf_dir):
     pair = derived.orders(spark, sf_dir)
