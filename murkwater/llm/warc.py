@@ -1,7 +1,7 @@
 """Pages as WARC records in ZIP archives, and a reader that takes single records out of them by their ranges.
 
-An archive holds members that are stored, not compressed: ``archive/*.warc`` with records, and last
-``indexes/index.jsonl`` with a line for each record that tells its member, place and length. The reader looks only at an
+An archive holds members that are stored, not compressed: ``archive/*.warc.gz`` with records, each a gzip member of its own as
+is usual for WARC files, and last ``indexes/index.jsonl`` with a line for each record that tells its member, place and length. The reader looks only at an
 archive's end, its central directory (ZIP64 or not), the members' local headers and the index; records are then
 read as ranges of the archive, by other tasks than those that listed it.
 
@@ -13,6 +13,7 @@ never read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -117,14 +118,15 @@ class Archive:
         self.index, self.member, self.members, self.bytes = io.StringIO(), io.BytesIO(), 0, 0
 
     def add(self, data: bytes) -> None:
+        data = gzip.compress(data, mtime=0)
         if self.member.tell() and self.member.tell() + len(data) > MEMBER_BYTES:
             self._close_member()
-        line = {"member": f"archive/data-{self.members:05}.warc", "offset": self.member.tell(), "length": len(data)}
+        line = {"member": f"archive/data-{self.members:05}.warc.gz", "offset": self.member.tell(), "length": len(data)}
         self.index.write(json.dumps(line) + "\n")
         self.member.write(data)
 
     def _close_member(self) -> None:
-        self._store(f"archive/data-{self.members:05}.warc", self.member.getvalue())
+        self._store(f"archive/data-{self.members:05}.warc.gz", self.member.getvalue())
         self.bytes += self.member.tell()
         self.members, self.member = self.members + 1, io.BytesIO()
 
@@ -246,7 +248,7 @@ def data_start(source: pa.NativeFile, member: Member) -> int:
 def listed(source: pa.NativeFile, index: str = INDEX) -> Iterator[tuple[int, int]]:
     """(start, length) of each record in an archive, from its index, which is read in pieces."""
     members = {m.name: m for m in directory(source)}
-    starts = {name: data_start(source, m) for name, m in members.items() if name.endswith(".warc")}
+    starts = {name: data_start(source, m) for name, m in members.items() if name.endswith(".warc.gz")}
     at, left, rest = data_start(source, members[index]), members[index].size, b""
     while left or rest:
         piece = _range(source, at, min(left, READ_BYTES))
@@ -317,7 +319,7 @@ def read(ranges: DataFrame, folder: str, with_payload: bool = False) -> DataFram
                     opened, source = near[0][0], system.open_input_file(f"{base}/{near[0][0]}")
                 first = near[0][1]
                 data = _range(source, first, near[-1][1] + near[-1][2] - first)
-                found = [parsed(data[start - first : start - first + length]) for _, start, length in near]
+                found = [parsed(gzip.decompress(data[start - first : start - first + length])) for _, start, length in near]
                 yield pa.RecordBatch.from_pydict({n: [x[n] for x in found] for n in names}, schema=schema)
             if source:
                 source.close()
