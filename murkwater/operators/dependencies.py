@@ -114,7 +114,7 @@ def _implied(found: list[tuple[tuple[str, ...], str]], lhs: tuple[str, ...], rhs
     return any(r == rhs and set(x) < set(lhs) for x, r in found)
 
 
-def _missing(value: Column, kind: str) -> Column:
+def missing(value: Column, kind: str) -> Column:
     """Whether a cell, a number or a text, is missing."""
     return missing_number(as_double(value)) if kind != "string" else missing_text(value)
 
@@ -137,7 +137,7 @@ def _cells(df: DataFrame, pairs: list[Dependency], suffix: str = "", keep: tuple
     form = lambda c: canonical(F.col(c + suffix), kinds[c + suffix] != "string")
     made = []
     for a, b in pairs:
-        cell = F.struct(F.lit(left_name(a)).alias("lhs"), F.lit(b).alias("rhs"), left_value([form(c) for c in left_columns(a)]).alias("x"), form(b).alias("y"), _missing(F.col(b + suffix), kinds[b + suffix]).alias("missing"))
+        cell = F.struct(F.lit(left_name(a)).alias("lhs"), F.lit(b).alias("rhs"), left_value([form(c) for c in left_columns(a)]).alias("x"), form(b).alias("y"), missing(F.col(b + suffix), kinds[b + suffix]).alias("missing"))
         made.append(F.when(only[b], cell) if only else cell)
     return df.select(*keep, F.explode(F.filter(F.array(*made), lambda c: c.isNotNull())).alias("_c")).select(*keep, "_c.*")
 

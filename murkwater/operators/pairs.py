@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.values import as_double, canonical, differs, missing_number, missing_text, number
 from . import profile
 from .dependencies import Dependency, breaking
+from .ranks import hashed, ranked
 
 DIRTY = "__dirty"
 #: Classes in order of precedence.
@@ -186,3 +187,22 @@ def swap_histogram(cells: DataFrame, kinds: dict[str, str]) -> DataFrame:
     one = cells.where("error_class = 'SWAP' and ord < swap_with")
     other = lookup(types, F.col("swap_with"))
     return one.groupBy(F.col("col").alias("col1"), lookup(names, F.col("swap_with")).alias("col2"), F.col("clean").alias("clean1"), F.col("dirty").alias("dirty1"), F.when((F.col("kind") == "num") & (other == "num"), "nums").otherwise("with_str").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def flips(cells: DataFrame, key: list[str], seed: int = 3215) -> DataFrame:
+    """(col, one, other, <key>, <key>__other): pairs of rows whose cells of a column hold each other's clean values.
+
+    ``one`` is the lesser of the two values in canonical form; the first row has it where ``other`` belongs, the
+    second the reverse. Both sides are ranked by a seeded digest of their keys and meet by rank, each
+    cell in one pair at most; what one side has more stays alone. Missing cells and cells of a swap within their row
+    take no part. Pairs are joined by rank as well, so a pair of values that very many cells exchange is spread
+    over many tasks.
+    """
+    free = cells.where(~F.col("mv") & F.col("swap_with").isNull() & F.col("was").isNotNull() & F.col("now").isNotNull() & (F.col("was") != F.col("now")))
+    sides = free.select(*key, "col", F.least("was", "now").alias("one"), F.greatest("was", "now").alias("other"), (F.col("now") < F.col("was")).alias("_low"))
+    within = ["col", "one", "other"]
+    both = sides.groupBy(*within).agg(F.count_if("_low").alias("_n"), F.count_if(~F.col("_low")).alias("_m")).select(*within, F.least("_n", "_m").alias("most")).where("most > 0")
+    most = both.crossJoin(F.broadcast(cells.sparkSession.range(2).select((F.col("id") == 1).alias("_low"))))
+    line = ranked(sides, hashed(seed, *[F.col(k) for k in key]), [*within, "_low"], most=most).join(both, within).where("rank < most").drop("most")
+    second = line.where(~F.col("_low")).select(*within, "rank", *[F.col(k).alias(f"{k}__other") for k in key])
+    return line.where("_low").drop("_low").join(second, [*within, "rank"]).drop("rank")

@@ -1,11 +1,14 @@
-"""Simple repairs: imputation by mean, median or mode, capping of outliers, nearest other values."""
+"""Repairs: imputation by mean, median, mode or dependencies, capping of outliers, nearest other values and nearest clean texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folder import written
 from . import profile
+from .dependencies import Dependency, left_columns, left_name, left_value, missing
+from .graph import contracted
 
 
 def impute(df: DataFrame, column: str, how: str, missing: Column) -> DataFrame:
@@ -44,3 +47,111 @@ def nearest_others(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
     rows = dealt.join(F.broadcast(ends), "b").withColumn("down", F.coalesce(F.lag("value").over(own), "before")).withColumn("up", F.coalesce(F.lead("value").over(own), "after"))
     nearest = F.when(F.col("up").isNull() | (F.col("value") - F.col("down") <= F.col("up") - F.col("value")), F.col("down")).otherwise(F.col("up"))
     return rows.select("value", nearest.alias("nearest")).withColumn("distance", F.abs(F.col("value") - F.col("nearest")))
+
+
+def in_order(dependencies: list[Dependency]) -> list[str]:
+    """Right columns so that each comes after those that its left sides need; raises ValueError if they form a circle."""
+    needs: dict[str, set[str]] = {}
+    for a, b in dependencies:
+        needs.setdefault(b, set()).update(left_columns(a))
+    done: list[str] = []
+    while len(done) < len(needs):
+        ready = [b for b, n in needs.items() if b not in done and not any(x in needs and x not in done for x in n)]
+        if not ready:
+            raise ValueError(f"dependencies form a circle among {sorted(set(needs) - set(done))}")
+        done += ready
+    return done
+
+
+def by_dependencies(df: DataFrame, key: list[str], dependencies: list[Dependency], conflicts: bool = True) -> DataFrame:
+    """(key, col, was, value): the cells that dependencies set, and to what.
+
+    Cells of a right column whose rows share a left value must be equal; several left sides of one column join
+    such groups where a row is in both, and what they connect is one component. Its value is that of most of its
+    cells (ties: the least), so that fewest cells change; missing cells have no vote, and a component of
+    missing cells alone stays as it is. Missing cells are filled and, with ``conflicts``, others set right. Columns
+    are repaired in the order in which they depend on each other, left sides by their repaired values; a missing left
+    value determines nothing.
+
+    Only the columns that dependencies name move; values are counted by group before they are shuffled, and
+    groups without a missing or differing cell don't meet the rows.
+    """
+    kinds = dict(df.dtypes)
+    rights = in_order(dependencies)
+    names = sorted({c for a, b in dependencies for c in (*left_columns(a), b)})
+    work = df.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)], *[F.col(c).alias(c) for c in names], *[F.col(c).alias(f"_was_{c}") for c in rights])
+    for b in rights:
+        lefts = [a for a, right in dependencies if right == b]
+        absent = [F.aggregate(F.array(*[missing(F.col(c), kinds[c]) for c in left_columns(a)]), F.lit(False), lambda x, y: x | y) for a in lefts]
+        nodes = [F.when(~no, F.concat(F.lit(left_name(a) + "="), left_value([F.col(c) for c in left_columns(a)]))) for a, no in zip(lefts, absent, strict=True)]
+        work = work.withColumn("_node", F.coalesce(*nodes))
+        gone = missing(F.col(b), kinds[b])
+        if len(lefts) > 1:  # a row's nodes are in one component
+            edges = work.select(F.explode(F.array(*[F.struct(F.col("_node").alias("a"), n.alias("b")) for n in nodes])).alias("e")).select("e.*").distinct()
+            roots = contracted(edges)
+            counted = work.where("_node is not null").groupBy("_node", F.when(~gone, F.col(b)).alias("v")).agg(F.count("*").alias("n"))
+            counted = counted.join(roots, F.col("_node") == F.col("node")).groupBy("root", "v").agg(F.sum("n").alias("n"))
+        else:
+            roots = None
+            counted = work.where("_node is not null").groupBy(F.col("_node").alias("root"), F.when(~gone, F.col(b)).alias("v")).agg(F.count("*").alias("n"))
+        best = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("less"), "v")))
+        chosen = counted.groupBy("root").agg(best["v"].alias("_to"), F.count("*").alias("ways")).where("_to is not null and ways > 1").drop("ways")
+        chosen = chosen if roots is None else chosen.join(roots, "root").select(F.col("node").alias("root"), "_to")
+        change = F.col("_to").isNotNull() & (F.lit(conflicts) | gone)
+        work = work.join(chosen, F.col("_node") == F.col("root"), "left").withColumn(b, F.when(change, F.col("_to")).otherwise(F.col(b))).drop("_to", "root", "_node")
+    cells = F.array(*[F.when(~F.col(b).eqNullSafe(F.col(f"_was_{b}")), F.struct(F.lit(b).alias("col"), F.col(f"_was_{b}").cast("string").alias("was"), F.col(b).cast("string").alias("value"))) for b in rights])
+    changed = work.select(*[F.col(f"_key{i}").alias(k) for i, k in enumerate(key)], F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("_c"))
+    return changed.select(*key, "_c.*")
+
+
+def grams(text: Column, q: int = 2) -> Column:
+    """The text's pieces of ``q`` characters with its ends marked; repeated ones are told apart by their number."""
+    padded = F.concat(F.lit("\x02" * (q - 1)), text, F.lit("\x03" * (q - 1)))
+    plain = F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substring(padded, i, F.lit(q)))
+    return F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, 1, i + 1), lambda h: h == g)).cast("string")))
+
+
+def deletions(text: Column, most: int) -> Column:
+    """The text and what is left of it when up to ``most`` characters are taken out."""
+    found = F.array(text)
+    for _ in range(most):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))))))
+    return found
+
+
+def nearest_clean(values: DataFrame, clean: DataFrame, most: int = 2, q: int = 2) -> DataFrame:
+    """(col, value, nearest, distance): for each text of ``values`` (col, value) the clean text of its column (col, value) at the least edit distance, up to ``most``.
+
+    Of several the least. A value without a clean text so near has no row; one that is clean is its own nearest;
+    nulls have none; repeated rows count once.
+
+    An edit changes at most ``q`` grams, so texts within ``most`` edits share one of the first ``q * most + 1`` grams of
+    either in any common order; the rarest come first, so that common grams join nothing. Texts too short for so
+    many grams meet through what is left of them after up to ``most`` deletions, which near texts share. Candidates must also
+    agree in length, up to ``most``; what is left is verified. All joins are equi-joins on such keys.
+    """
+    first = q * most + 1
+    short_below = first - (q - 1)  # a text of fewer characters has fewer than ``first`` grams
+    texts = {"v": values.select("col", "value").distinct(), "c": clean.select("col", "value").distinct()}
+    texts = {k: df.where("value is not null") for k, df in texts.items()}
+    wanted = written(texts["v"], "texts")
+    every = written(texts["c"], "texts")
+    pieces = {k: df.select("col", "value", F.explode(grams(F.col("value"), q)).alias("gram")) for k, df in (("v", wanted), ("c", every))}
+    counts = pieces["c"].groupBy("col", "gram").agg(F.count("*").alias("n"))
+
+    def prefixes(side: str) -> DataFrame:
+        """The first grams of each long text; grams that no clean text has come first of all."""
+        long = pieces[side].where(F.length("value") >= short_below).join(counts, ["col", "gram"], "left")
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))
+        heads = long.groupBy("col", "value").agg(F.slice(ordered, 1, first).alias("head"))
+        return heads.select("col", F.col("value").alias(f"_{side}"), F.explode("head.gram").alias("gram"))
+
+    by_gram = prefixes("v").join(prefixes("c"), ["col", "gram"]).select("col", "_v", "_c")
+    # a short text on either side: the other has at most ``most`` characters more
+    few = lambda df, name: df.where(F.length("value") < short_below + most).select("col", F.col("value").alias(name), F.explode(deletions(F.col("value"), most)).alias("left"))
+    is_short = (F.length("_v") < short_below) | (F.length("_c") < short_below)
+    by_rest = few(wanted, "_v").join(few(every, "_c"), ["col", "left"]).where(is_short).select("col", "_v", "_c")
+    pairs = by_gram.unionByName(by_rest).where(F.abs(F.length("_v") - F.length("_c")) <= most).distinct()
+    near = pairs.withColumn("distance", F.levenshtein("_v", "_c", most)).where("distance >= 0")
+    best = near.groupBy("col", F.col("_v").alias("value")).agg(F.min(F.struct("distance", F.col("_c").alias("nearest"))).alias("b"))
+    return best.select("col", "value", "b.nearest", "b.distance")

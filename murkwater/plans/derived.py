@@ -39,6 +39,18 @@ ZONES_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 ZONES_KINDS = {"l_zone": "str", "l_area": "str"}
 ZONES_DEPENDENCIES = [("l_suppkey", "l_zone"), ("l_zone", "l_area")]
 
+#: Priorities that some orders exchange, more to one side than to the other.
+FLIPPED = [
+    "o_orderkey", "o_orderpriority",
+    "CASE WHEN o_orderkey % 9 = 3 AND o_orderpriority = '1-URGENT' THEN '5-LOW' WHEN o_orderkey % 13 = 4 AND o_orderpriority = '5-LOW' THEN '1-URGENT' WHEN o_orderkey % 17 = 5 AND o_orderpriority = '2-HIGH' THEN '3-MEDIUM' WHEN o_orderkey % 7 = 6 AND o_orderpriority = '3-MEDIUM' THEN '2-HIGH' WHEN o_orderkey % 19 = 7 THEN '4-NOT SPECIFIED' ELSE o_orderpriority END AS o_orderpriority__dirty",
+]
+
+#: Names with a letter dropped, put in or exchanged with the next, at a place that depends on the row.
+MISSPELT = [
+    "c_custkey", "c_name",
+    "CASE WHEN c_custkey % 37 = 3 THEN concat(substring(c_name, 1, 1 + CAST(c_custkey % 16 AS INT)), substring(c_name, 3 + CAST(c_custkey % 16 AS INT), 40)) WHEN c_custkey % 41 = 5 THEN concat(substring(c_name, 1, 2 + CAST(c_custkey % 15 AS INT)), 'q', substring(c_name, 3 + CAST(c_custkey % 15 AS INT), 40)) WHEN c_custkey % 43 = 7 THEN concat(substring(c_name, 1, 3), substring(c_name, 5, 1), substring(c_name, 4, 1), substring(c_name, 6, 40)) ELSE c_name END AS c_name__dirty",
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,6 +68,14 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*LINEITEM)
 
 
+def flipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*FLIPPED)
+
+
+def misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr(*MISSPELT)
+
+
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*ZONES)
 

@@ -14,7 +14,7 @@ from ..operators import allocate, dependencies, estimators, inject, pairs, profi
 from ..sources import tables
 from ..streaming import profiles
 from . import declared, derived, pipeline
-from .derived import CUSTOMER, CUSTOMER_KINDS, LINEITEM, LINEITEM_KINDS, ORDERS, ORDERS_KINDS, ZONES, ZONES_DEPENDENCIES, ZONES_KEY, ZONES_KINDS, cte, table
+from .derived import CUSTOMER, CUSTOMER_KINDS, FLIPPED, LINEITEM, LINEITEM_KINDS, MISSPELT, ORDERS, ORDERS_KINDS, ZONES, ZONES_DEPENDENCIES, ZONES_KEY, ZONES_KINDS, cte, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -861,6 +861,52 @@ def validate_dependencies_lineitem(spark, sf_dir):
     return rounded(validate.confidences(*found), "expected", "actual")
 
 
+@query(f"""
+WITH {cte(ZONES, "lineitem")},
+zv AS (SELECT l_suppkey, l_zone__dirty AS v, count(*) AS n FROM pair WHERE l_zone__dirty IS NOT NULL GROUP BY ALL),
+zm AS (SELECT l_suppkey, v AS zone FROM zv QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, v) = 1),
+z AS (SELECT pair.*, coalesce(zone, l_zone__dirty) AS zone FROM pair LEFT JOIN zm USING (l_suppkey)),
+av AS (SELECT zone, l_area__dirty AS v, count(*) AS n FROM z WHERE l_area__dirty <> 'NA' GROUP BY ALL),
+am AS (SELECT zone, v AS area FROM av QUALIFY row_number() OVER (PARTITION BY zone ORDER BY n DESC, v) = 1),
+a AS (SELECT z.*, coalesce(area, l_area__dirty) AS area FROM z LEFT JOIN am USING (zone))
+SELECT {", ".join(ZONES_KEY)}, 'l_zone' AS col, l_zone__dirty AS was, zone AS "value", zone = l_zone AS "right" FROM a WHERE zone IS DISTINCT FROM l_zone__dirty
+UNION ALL SELECT {", ".join(ZONES_KEY)}, 'l_area', l_area__dirty, area, area = l_area FROM a WHERE area IS DISTINCT FROM l_area__dirty
+""")
+def impute_fd_lineitem(spark, sf_dir):
+    """Dirty zones and areas set by chained dependencies, areas by two left sides, and whether they are what was clean."""
+    pair = derived.zones(spark, sf_dir)
+    dirty = pair.select(*ZONES_KEY, *[F.col(c + pairs.DIRTY).alias(c) for c in ZONES_KINDS], *[F.col(c).alias(f"clean_{c}") for c in ZONES_KINDS])
+    cells = repair.by_dependencies(dirty, ZONES_KEY, [*ZONES_DEPENDENCIES, ("l_suppkey", "l_area")])
+    was_clean = F.when(F.col("col") == "l_zone", F.col("clean_l_zone")).otherwise(F.col("clean_l_area"))
+    return cells.join(dirty.drop(*ZONES_KINDS), ZONES_KEY).withColumn("right", F.col("value") == was_clean).drop("clean_l_zone", "clean_l_area")
+
+
+@query(f"""
+WITH {cte(FLIPPED, "orders")},
+d AS (SELECT o_orderkey, least(o_orderpriority, o_orderpriority__dirty) AS one, greatest(o_orderpriority, o_orderpriority__dirty) AS other, o_orderpriority__dirty < o_orderpriority AS low FROM pair WHERE o_orderpriority <> o_orderpriority__dirty),
+r AS (SELECT *, row_number() OVER (PARTITION BY one, other, low ORDER BY md5('{SEED}|' || CAST(o_orderkey AS VARCHAR))) AS k FROM d)
+SELECT 'o_orderpriority' AS col, a.one, a.other, a.o_orderkey, b.o_orderkey AS o_orderkey__other FROM r a JOIN r b ON a.one = b.one AND a.other = b.other AND a.k = b.k AND a.low AND NOT b.low
+""")
+def flip_pairs_orders(spark, sf_dir):
+    """Orders that exchanged their priorities, in pairs."""
+    cells = pairs.diff_cells(derived.flipped(spark, sf_dir), ["o_orderkey"], {"o_orderpriority": "str"})
+    return pairs.flips(cells, ["o_orderkey"], SEED)
+
+
+@query(f"""
+WITH {cte(MISSPELT, "customer")},
+v AS (SELECT DISTINCT c_name__dirty AS value FROM pair WHERE c_name__dirty <> c_name AND c_name__dirty NOT IN (SELECT c_name FROM pair)),
+near AS (SELECT value, c_name AS nearest, levenshtein(value, c_name) AS distance FROM v, pair WHERE levenshtein(value, c_name) <= 2)
+SELECT 'c_name' AS col, value, nearest, CAST(distance AS INT) AS distance FROM near QUALIFY row_number() OVER (PARTITION BY value ORDER BY distance, nearest) = 1
+""")
+def repair_typos_customer(spark, sf_dir):
+    """The clean name nearest to each misspelt one."""
+    pair = derived.misspelt(spark, sf_dir)
+    cells = pairs.classify(pair, ["c_custkey"], {"c_name": "str"})
+    typos = cells.where("error_class = 'TYPO'").select("col", F.col("dirty").alias("value"))
+    return repair.nearest_clean(typos, pair.select(F.lit("c_name").alias("col"), F.col("c_name").alias("value")))
+
+
 @query(ORDERS_CTE + "SELECT o_orderkey, round(greatest(least(o_totalprice__dirty, q3 + 1.5 * (q3 - q1)), q1 - 1.5 * (q3 - q1)), 4) AS price FROM pair, st WHERE o_totalprice__dirty IS NOT NULL UNION ALL SELECT o_orderkey, NULL FROM pair WHERE o_totalprice__dirty IS NULL")
 def cap_outliers_orders(spark, sf_dir):
     pair = derived.orders(spark, sf_dir)
