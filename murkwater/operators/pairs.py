@@ -61,24 +61,19 @@ def positioned(df: DataFrame, name: str = "_row_id") -> DataFrame:
 
 
 def fences(pair: DataFrame, numeric: list[str]) -> dict[str, Fences]:
-    """All limits from one aggregation and the quartiles; a few numbers for each column come to the driver."""
+    """All limits: moments come with the first pass of the quartiles; a few numbers for each column come to the driver."""
     if not numeric:
         return {}
-    made, stored = [], dict(pair.dtypes)
+    stored = dict(pair.dtypes)
     values = pair.select(*[(number(F.col(c)) if stored[c] == "string" else as_double(F.col(c))).alias(c) for c in numeric])
-    for c in numeric:
-        made += [F.avg(c).alias(f"{c}_m"), F.stddev_samp(c).alias(f"{c}_s"), F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi")]
-    row = values.agg(*made).first()
-    quartiles = {r["column"]: (r.q25, r.q75) for r in profile.quantiles(values, numeric).collect()}
     out = {}
-    for c in numeric:
-        if row[f"{c}_lo"] is None:
+    for c, (row, (q1, _, q3)) in profile.quartiles(values, numeric, also={"mean": F.avg, "sd": F.stddev_samp, "lo": F.min, "hi": F.max}).items():
+        if not row.n:
             out[c] = Fences((None, None), (None, None), (None, None))
             continue
-        q1, q3 = quartiles[c]
-        reach, sd = 1.5 * (q3 - q1), row[f"{c}_s"]
-        sigma = (None, None) if sd is None else (row[f"{c}_m"] - 3 * sd, row[f"{c}_m"] + 3 * sd)
-        out[c] = Fences((q1 - reach, q3 + reach), sigma, (row[f"{c}_lo"], row[f"{c}_hi"]))
+        reach = 1.5 * (q3 - q1)
+        sigma = (None, None) if row.sd is None else (row.mean - 3 * row.sd, row.mean + 3 * row.sd)
+        out[c] = Fences((q1 - reach, q3 + reach), sigma, (row.lo, row.hi))
     return out
 
 

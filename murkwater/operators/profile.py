@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.folder import written
 from ..functions.values import as_double
 
 
@@ -40,50 +43,145 @@ def population_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long(clean, columns, {"var": F.var_pop, "skew": F.skewness, "kurt": F.kurtosis})
 
 
-def values_below(ends: Column, v: Column, size: int) -> Column:
-    """How many of the ascending array ``ends`` are below ``v``, by halving; its length is ``size`` - 1, a power of two less one."""
-    halves = F.array(*[F.lit(size >> i) for i in range(1, size.bit_length())])
-    return F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(F.element_at(ends, at + step) < v, step).otherwise(F.lit(0)))
+#: Sketches that narrow ranges down are off by one in SKETCH ranks; columns of a few values need none; so many values of a range are sorted at most.
+SKETCH = 1_000
+FEW = 20_000
+SORTED = 1_000_000
+
+
+@dataclass
+class _Range:
+    """Where a column's wanted ranks are looked for: between two values, with so many below and inside."""
 
+    column: str
+    ranks: list[int]
+    lo: float = -math.inf
+    hi: float = math.inf
+    below: int = 0
+    inside: int = 0
+    narrow: bool = False
 
-def values_at(df: DataFrame, columns: list[str], ranks, ranges: int = 256) -> DataFrame:
-    """(column, total, at): each column's number of values and, as a map, the value at each of the 1-based ``ranks(total)``.
+    def holds(self, v: Column) -> Column:
+        return (v >= self.lo) & (v <= self.hi)
 
-    ``ranges`` is a power of two. Distinct values are counted first and dealt into ranges by a sketch of them; sizes of ranges tell which
-    ones hold the wanted ranks, and only these few are sorted. So no task holds a column's distinct values.
+
+def values_at(df: DataFrame, columns: list[str], points: list[float], ranks: Callable[[int, float], list[int]], also: dict[str, Callable] | None = None) -> dict[str, tuple[Row, dict[int, float]]]:
+    """For each column its number of values and what ``also`` aggregates, and the value at each of the 1-based ``ranks(total, point)``.
+
+    A first pass counts and sketches all columns. Each point then has a range of values around it; a pass counts what
+    lies below and inside, and while a range holds more than SORTED values it is narrowed by a sketch of these alone, unless
+    nearly all are repeats of its ends. What is left is counted by value and sorted. So values are scanned a few times and few move. The driver learns a few numbers for each column.
     """
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_double(F.col(c)).alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    counted = written(cells.groupBy("column", "v").agg(F.count("*").alias("n")), "counted")
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    ends = counted.groupBy("column").agg(F.percentile_approx("v", steps, F.lit(20 * ranges)).alias("ends"), F.sum("n").alias("total"))
-    rows = counted.join(F.broadcast(ends), "column").withColumn("range", values_below(F.col("ends"), F.col("v"), ranges))
-    sizes = rows.groupBy("column", "range").agg(F.sum("n").alias("size"))
-    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    wanted = ends.select("column", F.explode(F.array_distinct(ranks(F.col("total")))).alias("k"))
-    hit = wanted.join(sizes, "column").where("first < k and k <= first + size").groupBy("column", "range", "first").agg(F.collect_list("k").alias("ks"))
-    upto = Window.partitionBy("column", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.join(F.broadcast(hit), ["column", "range"]).withColumn("hi", F.col("first") + F.sum("n").over(upto))
-    found = inside.select("column", "total", "v", F.explode(F.filter("ks", lambda k: (k <= F.col("hi")) & (k > F.col("hi") - F.col("n")))).alias("k"))
-    return found.groupBy("column").agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("at"))
-
-
-def _quartiles(df: DataFrame, columns: list[str], position) -> DataFrame:
-    """(column, q25, q50, q75): values at fractional 1-based positions, between those of the ranks around them."""
-    points = (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
-    around = lambda total, p: (F.floor(position(total, p)).cast("long"), F.least(F.floor(position(total, p)).cast("long") + 1, total))
-    found = values_at(df, columns, lambda total: F.array(*[k for _, p in points for k in around(total, p)]))
+    values = df.select(*[as_double(F.col(c)).alias(c) for c in columns])
+    near = [x for p in points for x in (max(0.0, p - 3 / SKETCH), min(1.0, p + 3 / SKETCH))]
+    of = {"n": F.count, "near": lambda v: F.percentile_approx(v, F.array(*map(F.lit, near)), F.lit(SKETCH)), **(also or {})}
+    first = values.agg(*[F.struct(*[f(F.col(c)).alias(k) for k, f in of.items()]).alias(c) for c in columns]).first()
+    every: list[_Range] = []
+    for c in columns:
+        n, bounds = first[c].n, first[c].near
+        for i, p in enumerate(points if n else []):
+            span = _Range(c, sorted(set(ranks(n, p))), inside=n)
+            if n > FEW:
+                span.lo, span.hi = bounds[2 * i], bounds[2 * i + 1]
+            every.append(span)
+    open_ = [r for r in every if r.inside > FEW]
+    _count(values, open_)
+    while open_ := [r for r in open_ if r.inside > SORTED and r.lo < r.hi and not r.narrow]:
+        _narrow(values, open_)
+    found = {(r.column, k): r.lo for r in every if r.lo == r.hi for k in r.ranks}
+    found |= _sorted_out(values, [r for r in every if r.lo < r.hi])
+    return {c: (first[c], {k: v for (name, k), v in found.items() if name == c}) for c in columns}
+
+
+def _count(values: DataFrame, spans: list[_Range]) -> None:
+    """What lies below and inside each range; one that misses its ranks, which a sketch may do, is opened to that side."""
+    todo = spans
+    while todo:
+        row = values.agg(*[F.struct(F.count_if(F.col(r.column) < r.lo), F.count_if(r.holds(F.col(r.column)))).alias(f"r{i}") for i, r in enumerate(todo)]).first()
+        again = []
+        for r, (below, inside) in zip(todo, row, strict=True):
+            r.below, r.inside = below, inside
+            if r.ranks[0] <= below or r.ranks[-1] > below + inside:
+                r.lo = -math.inf if r.ranks[0] <= below else r.lo
+                r.hi = math.inf if r.ranks[-1] > below + inside else r.hi
+                again.append(r)
+        todo = again
+
+
+def _narrow(values: DataFrame, spans: list[_Range]) -> None:
+    """Ranges drawn together around their ranks by sketches of the values inside."""
     made = []
-    for name, p in points:
-        lo, hi = (F.element_at("at", k) for k in around(F.col("total"), p))
-        made.append((lo + (hi - lo) * (position(F.col("total"), p) - F.floor(position(F.col("total"), p)))).alias(name))
-    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return every.join(found.select("column", *made), "column", "left")
+    for i, r in enumerate(spans):
+        share = lambda k, r=r: (k - r.below) / r.inside
+        around = [max(0.0, share(r.ranks[0] - 1) - 3 / SKETCH), min(1.0, share(r.ranks[-1] + 1) + 3 / SKETCH)]
+        made.append(F.percentile_approx(F.when(r.holds(F.col(r.column)), F.col(r.column)), F.array(*map(F.lit, around)), F.lit(SKETCH)).alias(f"r{i}"))
+    before = [r.inside for r in spans]
+    for r, bounds in zip(spans, values.agg(*made).first(), strict=True):
+        r.lo, r.hi = bounds
+    _count(values, spans)
+    for r, inside in zip(spans, before, strict=True):
+        r.narrow = r.inside > inside / 2  # nearly all of it are repeats of the values at its ends
+
+
+def _sorted_out(values: DataFrame, spans: list[_Range]) -> dict[tuple[str, int], float]:
+    """The values at the ranks of ranges that hold few values; only values inside a range leave their row."""
+    if not spans:
+        return {}
+    cells = F.filter(F.array(*[F.when(r.holds(F.col(r.column)), F.struct(F.lit(i).alias("i"), F.col(r.column).alias("v"))) for i, r in enumerate(spans)]), lambda x: x.isNotNull())
+    some = F.lit(False)
+    for r in spans:
+        some = some | r.holds(F.col(r.column))
+    inside = values.where(some).select(F.explode(cells).alias("x")).select("x.*").groupBy("i", "v").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.lit(False)
+    ranked = inside.withColumn("hi", F.sum("n").over(upto))
+    for i, r in enumerate(spans):
+        hit = hit | ((F.col("i") == i) & F.exists(F.array(*[F.lit(k - r.below) for k in r.ranks]), lambda k: (k <= F.col("hi")) & (k > F.col("hi") - F.col("n"))))
+    out: dict[tuple[str, int], float] = {}
+    for row in ranked.where(hit).collect():
+        r = spans[row.i]
+        out |= {(r.column, k): row.v for k in r.ranks if row.hi - row.n < k - r.below <= row.hi}
+    return out
+
+
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _around(position: float, total: int) -> list[int]:
+    """The ranks on both sides of a fractional position."""
+    return [math.floor(position), min(math.floor(position) + 1, total)]
+
+
+def linear(total: int, p: float) -> float:
+    """The 1-based position of a quantile by linear interpolation."""
+    return (total - 1) * p + 1
+
+
+def quartiles(df: DataFrame, columns: list[str], position: Callable[[int, float], float] = linear, also: dict[str, Callable] | None = None) -> dict[str, tuple[Row, list[float | None]]]:
+    """For each column what ``also`` aggregates and its exact quartiles, on the driver; null without values."""
+    found = values_at(df, columns, list(QUARTILES), lambda n, p: _around(position(n, p), n), also)
+    out = {}
+    for c, (row, at) in found.items():
+        points: list[float | None] = []
+        for p in QUARTILES:
+            if not row.n:
+                points.append(None)
+                continue
+            k = position(row.n, p)
+            lo, hi = (at[x] for x in _around(k, row.n))
+            points.append(lo + (hi - lo) * (k - math.floor(k)) if hi != lo else lo)
+        out[c] = (row, points)
+    return out
+
+
+def _quartiles(df: DataFrame, columns: list[str], position: Callable[[int, float], float]) -> DataFrame:
+    rows = [(c, *points) for c, (_, points) in quartiles(df, columns, position).items()]
+    return df.sparkSession.createDataFrame(rows, "column string, q25 double, q50 double, q75 double")
 
 
 def quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, q25, q50, q75) by linear interpolation, exact."""
-    return _quartiles(df, columns, lambda total, p: (total - 1) * p + 1)
+    return _quartiles(df, columns, linear)
 
 
 def approximate_quantiles(df: DataFrame, columns: list[str], accuracy: int = 10000) -> DataFrame:
@@ -96,8 +194,8 @@ def approximate_quantiles(df: DataFrame, columns: list[str], accuracy: int = 100
 def plotting_quantiles(df: DataFrame, columns: list[str], alpha: float = 0.4, beta: float = 0.4) -> DataFrame:
     """(column, q25, q50, q75) with plotting positions ``alpha``, ``beta``, exact."""
 
-    def position(total: Column, p: float) -> Column:
-        return F.greatest(F.lit(1.0), F.least(total * p + alpha + p * (1 - alpha - beta), total.cast("double")))
+    def position(total: int, p: float) -> float:
+        return max(1.0, min(total * p + alpha + p * (1 - alpha - beta), float(total)))
 
     return _quartiles(df, columns, position)
 
@@ -151,7 +249,7 @@ def bundle(df: DataFrame, columns: list[str], missing) -> DataFrame:
     1.5 interquartile ranges) nor in moments, which are those of the rows as a population.
     """
     clean = df.select(*[F.when(~missing(F.col(c)), as_double(F.col(c))).alias(c) for c in columns])
-    limits = {r["column"]: (r.q25, r.q75) for r in quantiles(clean, columns).collect()}
+    limits = {c: (q[0], q[2]) for c, (_, q) in quartiles(clean, columns).items()}
     parts = _long(clean, columns, {"rows": lambda v: F.count("*"), "distinct": F.count_distinct, "missing": lambda v: F.count_if(v.isNull()), "mean": F.avg, "var": F.var_pop, "skew": F.skewness, "kurt": F.kurtosis})
     beyond = []
     for c in columns:

@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,9 +218,18 @@ def test_validation_flags_what_is_off(spark):
     assert got == {"count_swap": False, "count_replacement": True, "count_mv": False, "count_typo": True}
 
 
-def test_values_below_counts_smaller_ends_with_ties(spark):
-    ends = [1.0, 1.0, 2.0, 2.0, 2.0, 5.0, 9.0]
-    wanted = [0.0, 1.0, 1.5, 2.0, 3.0, 5.0, 9.0, 10.0]
-    rows = spark.createDataFrame([(ends, v) for v in wanted], "ends array<double>, v double")
-    found = {r.v: r.n for r in rows.select("v", profile.values_below(F.col("ends"), F.col("v"), 8).alias("n")).collect()}
-    assert found == {v: sum(e < v for e in ends) for v in wanted}
+@pytest.mark.parametrize(("sketch", "held"), [(10_000, 50_000), (50, 40), (10, 5)])
+def test_quartiles_narrow_down_to_exact_ones(spark, monkeypatch, sketch, held):
+    """Rough sketches and small ranges, so that ranges are narrowed several times and missed ranks are found again."""
+    monkeypatch.setattr(profile, "SKETCH", sketch)
+    monkeypatch.setattr(profile, "SORTED", held)
+    monkeypatch.setattr(profile, "FEW", held)
+    rng = np.random.default_rng(sketch)
+    n = 2003
+    data = pd.DataFrame({"u": rng.normal(size=n), "ties": rng.integers(0, 4, n) * 1.0, "two": (np.arange(n) < n // 4 + 1) * 1.0, "one": 7.0, "far": np.where(np.arange(n) % 2, 1e300, -1e300), "some": np.where(np.arange(n) < 3, np.arange(n) * 1.0, np.nan)})
+    df = spark.createDataFrame(data).withColumn("none", F.lit(None).cast("double")).repartition(3)
+    columns = [*data.columns, "none"]
+    got = {r["column"]: (r.q25, r.q50, r.q75) for r in profile.quantiles(df, columns).collect()}
+    assert got.pop("none") == (None, None, None)
+    for c, quartiles in got.items():
+        assert quartiles == pytest.approx(tuple(data[c].quantile([0.25, 0.5, 0.75])))
