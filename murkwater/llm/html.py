@@ -30,6 +30,8 @@ BLOCK = frozenset(
 )
 #: Elements whose content is not read as text of a page.
 UNREAD = frozenset("head button select option menu svg canvas object audio video label".split()) | RAW
+#: Controls whose text is read where they stand inside a paragraph.
+INLINE_CONTROLS = frozenset("label button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Lists, tables and quotes: what they hold is smoothed with the blocks around them.
 WITHIN = frozenset("ul ol li dl dt dd table tbody thead tfoot tr td th caption figure figcaption blockquote".split())
@@ -42,8 +44,8 @@ MARKS = frozenset(
 #: First and last words of a class that tell how a page is laid out, such as with-sidebar or comments-open.
 LAYOUT = (frozenset("with without has no hide show".split()), frozenset("open closed on off enabled disabled".split()))
 MARKED, LOOSELY_MARKED = 0.005, {"widget": 0.1, "share": 0.1, "related": 0.1}
-#: Characters of text outside links without which a page has no content if all it has is marked.
-LEAST_MARKED = 100
+#: The sum of fused ratios without which a page has no content if its best block is marked; an unmarked block of two characters has as much.
+LEAST_MARKED = 2.0
 #: The factor of blocks inside an article or main element against the page's highest ratio, and that of
 #: marked blocks outside it on a page that has one.
 NAMED, OUTSIDE = 20.0, 0.05
@@ -54,20 +56,22 @@ NESTED = 0.5
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 _SPACE = re.compile(r"\s+")
 
 
 def _evidence(tag: str, attributes: str) -> dict[str, float] | None:
     """Factors by name of an element; None if its content is not read."""
-    if tag in UNREAD or _HIDDEN.search(attributes):
+    if tag in UNREAD:
+        return None
+    said = {m[0].lower(): m[1] or m[2] or m[3] for m in reversed(_ATTRIBUTE.findall(attributes))} if attributes.strip(" /") else {}
+    if "hidden" in said:
         return None
     found = {tag: WEIGHT[tag]} if tag in WEIGHT else {}
     if tag not in ("body", "html", "article", "main"):
-        for m in _MARK.findall(attributes):
-            for name in "".join(m).lower().split():
+        for value in ("class", "id", "role"):
+            for name in said.get(value, "").lower().split():
                 parts = re.findall(r"[a-z]+", name)
                 if parts and parts[0] not in LAYOUT[0] and parts[-1] not in LAYOUT[1]:
                     found |= {x: LOOSELY_MARKED.get(x, MARKED) for x in (parts[0], parts[-1]) if x in MARKS}
@@ -83,8 +87,13 @@ class Block:
     texts: list[str] = field(default_factory=list)
     size: int = 0
     linked: int = 0
+    links: set[int] = field(default_factory=set)
     points: int = 0
 
+    def only_links(self) -> bool:
+        """Whether it is a row of links, as menus are."""
+        return not self.size and len(self.links) > 1
+
 
 def _blocks(page: str) -> list[Block]:
     """Blocks of text in page order; blank ones are left out."""
@@ -108,6 +117,7 @@ def _blocks(page: str) -> list[Block]:
         now.texts.append(chunk)
         if links:
             now.linked += len(chunk.strip())
+            now.links.update(x[1] for x in path if x[0] == "a" and not blank)
         elif not blank:
             now.size += len(chunk.strip())
             now.points += len(_PUNCTUATION.findall(chunk))
@@ -164,7 +174,8 @@ def _blocks(page: str) -> list[Block]:
         if m[3].endswith("/") and tag not in BLOCK:
             continue
         number += 1
-        found = _evidence(tag, m[3])
+        spoken = tag in INLINE_CONTROLS and any(x[0] == "p" for x in path)
+        found = _evidence("span" if spoken else tag, m[3])
         if found and tag != "form" and any(x[0] in ("article", "main") for x in path):
             found = {k: v for k, v in found.items() if k != "header"}  # headers of articles are their own
         factors = path[-1][3] if path else {}
@@ -215,7 +226,7 @@ def _fused(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     for i, h in enumerate(homes):  # elements that hold both the block and the rest of an article
         if h and (h[-1][0] not in ("body", "html") or h == blocks[i].elements):
             share[i] = max(share[i], NESTED * total[h[-1]])
-    free = (size / np.maximum(size + linked, 1))[of]
+    free = (size / np.maximum(size + linked, 1))[of] * np.array([not b.only_links() for b in blocks])
     fused = ratio * np.sqrt(1 + point) * share / max(share.max(), 1) * free
     named = np.array([any(t in ("article", "main") for t, _ in b.elements) for b in blocks])
     evidence = np.array([float(np.prod(list(b.factors.values()))) for b in blocks])
@@ -241,7 +252,7 @@ def main_text(page: str | None, threshold: float = 0.25) -> str:
         return ""
     fused, favoured = _fused(blocks)
     top = fused.max()
-    if blocks[int(fused.argmax())].factors and sum(b.size for b in blocks) < LEAST_MARKED:
+    if blocks[int(fused.argmax())].factors and fused.sum() < LEAST_MARKED:
         return ""
     lines = (_SPACE.sub(" ", "".join(b.texts)).strip() for b, x in zip(blocks, favoured.tolist(), strict=True) if x > 0 and x >= threshold * top)
     return "\n".join(x for x in lines if x)

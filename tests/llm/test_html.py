@@ -124,3 +124,30 @@ def test_extra_columns_and_very_long_pages(spark):
     long = "<body><div>" + "".join(f"<p>{x}</p>" for x in PROSE * 3000) + "</div></body>"
     rows = spark.createDataFrame([(1, "u", long, "x", 5)], "page_id long, url string, html string, text string, n_chars int")
     assert html.extract(rows).first().text == "\n".join(PROSE * 3000)
+
+
+def test_words_inside_attribute_values_hide_nothing():
+    assert html.main_text('<article title="The hidden city"><p>Some text of it.</p></article>') == "Some text of it."
+    assert html.main_text('<div data-title="A hidden gem, class=menu in town"><p>Some text of it.</p></div>') == "Some text of it."
+    assert html.main_text('<article><p>One.</p><p class="mt-2 hidden md:block">Two, on wide screens.</p></article>') == "One.\nTwo, on wide screens."
+    for mark in ("hidden", "hidden=''", 'class="x" hidden', "HIDDEN=hidden", 'hidden="until-found" id=a'):
+        assert html.main_text(f"<article><p>One sentence.</p><p {mark}>Two.</p></article>") == "One sentence."
+
+
+@pytest.mark.parametrize("length", [30, 99, 101, 400])
+def test_a_mark_weighs_the_same_at_every_length(length):
+    text = ("word " * 100)[: length - 1].strip() + "."
+    assert html.main_text(f'<div class="share-of-voice"><p>{text}</p></div>') == text
+
+
+def test_rows_of_links_go_and_linked_sentences_stay():
+    assert html.main_text("<article><div><a>Home</a> <a>News</a></div><div>A long text, which goes on and on.</div></article>") == "A long text, which goes on and on."
+    assert html.main_text("<article><p>A long text, which goes on.</p><p><a href=x>All of this is a link.</a></p></article>") == "A long text, which goes on.\nAll of this is a link."
+
+
+def test_controls_inside_a_paragraph_are_read():
+    assert html.main_text("<article><p>Press the <button>Go</button> key, or <label>the other</label>.</p><button>Like</button></article>") == "Press the Go key, or the other."
+
+
+def test_equal_scores_keep_both_blocks():
+    assert html.main_text("<div><p>Twins are alike.</p></div><div><p>Twins are alike.</p></div>") == "Twins are alike.\nTwins are alike."
