@@ -18,10 +18,12 @@ def main() -> None:
     p.add_argument("-edc", "--original-report", help="folder of the original profile's report")
     p.add_argument("-edd", "--generated-report", help="folder of the generated profile's report")
     p.add_argument("-k", "--key", action="append", help="key column; without any, rows are matched by position")
+    p.add_argument("-fd", "--dependencies", help="file of functional dependencies, lines of column numbers such as 0,1->2")
+    p.add_argument("--composite", action="store_true", help="take the left columns of a dependency together")
     a = p.parse_args()
     spark = SparkSession.builder.appName("murkwater").getOrCreate()
     paths = Paths(a.output, a.original_report or f"{a.output}_original_report", a.generated_report or f"{a.output}_generated_report")
-    run_files(spark, a.clean, a.dirty, a.factor, paths, a.key).orderBy("check", "column").show(1000, truncate=False)
+    run_files(spark, a.clean, a.dirty, a.factor, paths, a.key, dependencies=a.dependencies, composite=a.composite).orderBy("check", "column").show(1000, truncate=False)
 
 
 if __name__ == "__main__":

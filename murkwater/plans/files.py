@@ -41,14 +41,34 @@ def read_pair(spark: SparkSession, clean_path: str, dirty_path: str, key: list[s
     return both.withColumns({c: number(F.col(c)) for c, k in kinds.items() if k == "num"}), kinds, key
 
 
-def run_files(spark: SparkSession, clean_path: str, dirty_path: str, factor: float, paths: Paths, key: list[str] | None = None, seed: int = 3215) -> DataFrame:
-    """Run the engine and write its results; returns the validation table."""
+def dirty_statistics(table: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(column, distincts, moments, quartiles) of a pair's dirty side; what a text column lacks is null. Null numbers count as 0."""
+    numeric = pipeline.numeric(kinds)
+    counts = profile.distinct_counts(table.select(*[F.col(c + pairs.DIRTY).alias(c) for c in kinds]), list(kinds))
+    if not numeric:
+        return counts
+    values = pipeline.dirty_numbers(table, numeric).na.fill(0.0)
+    return counts.join(profile.moments(values, numeric), "column", "left").join(profile.quantiles(values, numeric), "column", "left")
+
+
+def run_files(
+    spark: SparkSession, clean_path: str, dirty_path: str, factor: float, paths: Paths, key: list[str] | None = None, seed: int = 3215, dependencies: str | None = None, composite: bool = False
+) -> DataFrame:
+    """Run the engine and write its results; returns the validation table, with all checks.
+
+    ``dependencies`` is a file of dependencies between columns of the clean table (see sources.tables). Reports hold class counts,
+    distincts, moments and quartiles of the dirty side, and histograms of erroneous values.
+    """
     pair, kinds, key = read_pair(spark, clean_path, dirty_path, key)
+    declared = None
+    if dependencies:
+        found = tables.read_dependencies(spark, dependencies, list(tables.read_csv(spark, clean_path).columns), composite)
+        declared = [(tuple(r.lhs.split(",")), r.rhs) for r in found.distinct().collect() if r.rhs in kinds and set(r.lhs.split(",")) <= set(kinds)]  # a line or so for each column
     pair = written(pair.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(key)}), "pair")
-    done = pipeline.run(pair, [f"_key{i}" for i in range(len(key))], kinds, factor, seed)
+    done = pipeline.run(pair, [f"_key{i}" for i in range(len(key))], kinds, factor, seed, declared, full=True)
     tables.write_table(done.generated.select(*[F.col(c + pairs.DIRTY).alias(c) for c in kinds]), paths.output)
-    numeric = pipeline.numeric(kinds)
-    for counts, table, path in ((done.original, pair, paths.original_report), (done.regenerated, done.generated, paths.generated_report)):
-        stats = profile.quantiles(pipeline.dirty_numbers(table, numeric), numeric) if numeric else spark.createDataFrame([], "column string, q50 double")
-        tables.write_report(tables.report_lines(counts, stats), path)
+    sides = ((done.original, done.cells, pair, paths.original_report), (done.regenerated, done.again, done.generated, paths.generated_report))
+    for counts, cells, table, path in sides:
+        lines = tables.report_lines(counts, dirty_statistics(table, kinds)).unionByName(tables.histogram_lines(cells.select("col", "error_class", "dirty")))
+        tables.write_report(lines, path)
     return done.validation

@@ -26,6 +26,7 @@ class Run:
     generated: DataFrame
     regenerated: DataFrame
     validation: DataFrame
+    again: DataFrame
 
 
 def numeric(kinds: dict[str, str]) -> list[str]:
@@ -124,7 +125,38 @@ def typo_plan(cells: DataFrame, pair: DataFrame, columns: list[str], factor: flo
     return allocate(both, total, ["col"]).select("col", "value", "planned")
 
 
-def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, seed: int = 3215, dependencies: list[Dependency] | None = None) -> Run:
+def distinct_estimates(cells: DataFrame, factor: float) -> DataFrame:
+    """(column, typos, missing, outliers): estimated distinct erroneous values of a table ``factor`` times as large; outliers as they are."""
+
+    def estimated(error_class: str, name: str) -> DataFrame:
+        some = cells.where(F.col("error_class") == error_class).groupBy(F.col("col").alias("column"), "dirty").agg(F.count("*").alias("i"))
+        return estimators.estimates(some.groupBy("column", "i").agg(F.count("*").alias("f")), factor).select("column", F.col("estimate").alias(name))
+
+    outlying = cells.where("error_class = 'OUTLIER'").groupBy(F.col("col").alias("column")).agg(F.count_distinct("dirty").alias("outliers"))
+    return estimated("TYPO", "typos").join(estimated("MV", "missing"), "column", "full").join(outlying, "column", "full")
+
+
+def profile_checks(cells: DataFrame, again: DataFrame, pair: DataFrame, generated: DataFrame, kinds: dict[str, str], factor: float) -> DataFrame:
+    """What a run checks beside class counts and dependencies: populations, replaced values, distincts, moments, quartiles and correlations.
+
+    ``cells`` and ``again`` are the differing cells of the original and the generated pair. Nulls of dirty numbers count as 0.
+    """
+    checks = validate.replaced_values(cells, again).unionByName(validate.error_populations(cells, again))
+    distinct = lambda df, suffix: profile.distinct_counts(df.select(*[F.col(c + suffix).alias(c) for c in kinds]), list(kinds))
+    checks = checks.unionByName(validate.distincts(distinct(pair, ""), distinct(generated, pairs.DIRTY), distinct_estimates(cells, factor), factor))
+    names = numeric(kinds)
+    if not names:
+        return checks
+    sides = [dirty_numbers(df, names).na.fill(0.0) for df in (pair, generated)]
+    quartiles = [profile.quantiles(df, names) for df in sides]
+    stats = [profile.moments(df, names).join(q, "column") for df, q in zip(sides, quartiles, strict=True)]
+    checks = checks.unionByName(validate.statistics(*stats, ["mean", "var", "min", "max", "skew", "kurt", "q25", "q50", "q75"])).unionByName(validate.inside_band(*quartiles))
+    if len(names) > 1:
+        checks = checks.unionByName(validate.correlation_drift(*[profile.correlations(df, names) for df in sides]))
+    return checks
+
+
+def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, seed: int = 3215, dependencies: list[Dependency] | None = None, full: bool = False) -> Run:
     """Profile ``pair`` (aligned, see operators.pairs), scale, inject, profile again and validate.
 
     Differing cells, the scaled table and the edits are used by several later steps and are written to
@@ -135,6 +167,9 @@ def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, s
     ``dependencies`` (left columns, right column) that the clean table keeps make cells that break them a class of
     their own, and their confidence in the dirty table is validated. All their columns are among ``kinds``.
 
+    Class counts and, of numeric columns, means, variances and ends are validated; with ``full`` all that
+    ``profile_checks`` knows.
+
     With a factor of 1 the dirty side stands as it is; below 1 the pair is cut and nothing is injected.
     """
     limits = pairs.fences(pair, numeric(kinds))
@@ -149,13 +184,17 @@ def run(pair: DataFrame, key: list[str], kinds: dict[str, str], factor: float, s
         scaled = written(scale.scaled(pair.select(*key, *columns), key, columns, factor, seed), "scaled")
         edits = written(plan_edits(scaled, cells, pair, kinds, limits, factor, seed, dependencies), "edits")
         generated = inject.apply(scaled, edits, columns)
-    again = pairs.class_counts(pairs.classify(generated, ["_row_id"], kinds, limits, dependencies=dependencies))
+    found = pairs.classify(generated, ["_row_id"], kinds, limits, dependencies=dependencies)
+    found = written(found, "cells") if full else found
+    again = pairs.class_counts(found)
     dirty = lambda df: dirty_numbers(df, numeric(kinds))
     checks = validate.counts(original, again, factor)
-    if numeric(kinds):
+    if full:
+        checks = checks.unionByName(profile_checks(cells, found, pair, generated, kinds, factor))
+    elif numeric(kinds):
         stats = validate.statistics(profile.moments(dirty(pair), numeric(kinds), True), profile.moments(dirty(generated), numeric(kinds), True), ["mean", "var", "min", "max"])
         checks = checks.unionByName(stats)
     if dependencies:
         kept = lambda df: fd.confidences(df.select(*[F.col(c + pairs.DIRTY).alias(c) for c in columns]), dependencies)
         checks = checks.unionByName(validate.confidences(kept(pair), kept(generated)))
-    return Run(cells, original, scaled, edits, generated, again, checks)
+    return Run(cells, original, scaled, edits, generated, again, checks, found)

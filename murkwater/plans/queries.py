@@ -614,6 +614,25 @@ def generated_orders_sf2(spark, sf_dir):
     return _run(spark, sf_dir).generated
 
 
+@query(ORDERS_CTE + """,
+d AS (SELECT coalesce(o_totalprice__dirty, 0) AS v FROM pair),
+stats(name, expected) AS (
+  SELECT unnest(['stat_mean', 'stat_var', 'stat_min', 'stat_max', 'stat_skew', 'stat_kurt', 'stat_q25', 'stat_q50', 'stat_q75']),
+         unnest([avg(v), var_samp(v), min(v), max(v), skewness(v), kurtosis(v), quantile_cont(v, 0.25), quantile_cont(v, 0.5), quantile_cont(v, 0.75)]) FROM d),
+each AS (SELECT col, CASE WHEN known THEN 'REPLACEMENT' ELSE 'TYPO' END AS error_class, clean FROM texts UNION ALL SELECT 'o_totalprice', CASE WHEN mv THEN 'MV' WHEN iqr OR sigma OR span THEN 'OUTLIER' WHEN known THEN 'REPLACEMENT' ELSE 'RESIDUAL' END, CAST(clean AS VARCHAR) FROM price)
+SELECT name AS "check", 'o_totalprice' AS "column", round(expected, CASE name WHEN 'stat_var' THEN -6 ELSE 2 END) AS expected, CAST(NULL AS BOOLEAN) AS passed FROM stats
+UNION ALL SELECT 'quartile_in_band', 'o_totalprice', e, true FROM (SELECT round(quantile_cont(v, 0.25) - 1.5 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)), 2) AS e FROM d), range(2)
+UNION ALL SELECT 'population_' || lower(error_class), col, count(*), true FROM each WHERE error_class IN ('MV', 'OUTLIER', 'TYPO') GROUP BY ALL
+UNION ALL SELECT 'distinct_replaced', col, count(DISTINCT clean), true FROM each WHERE error_class = 'REPLACEMENT' GROUP BY ALL
+""")
+def validate_full_orders_sf2(spark, sf_dir):
+    """All checks of a run but class counts and distincts: what is expected, and of populations, replaced values and quartiles whether it holds."""
+    run = pipeline.run(derived.orders(spark, sf_dir), ["o_orderkey"], ORDERS_KINDS, 2, full=True)
+    rows = run.validation.where("check not like 'count_%' and check <> 'distinct'")
+    expected = F.when(F.col("check") == "stat_var", F.round("expected", -6)).otherwise(F.round("expected", 2))
+    return rows.select("check", "column", expected.alias("expected"), F.when(~F.col("check").like("stat_%"), F.col("passed")).alias("passed"))
+
+
 @query("SELECT 'count_swap' AS \"check\", c AS \"column\", CAST(2 * n AS DOUBLE) AS expected, true AS passed FROM (SELECT count(*) AS n FROM customer WHERE c_custkey % 89 = 2), (VALUES ('c_name'), ('c_mktsegment')) t(c)")
 def validate_swaps_customer_sf2(spark, sf_dir):
     run = pipeline.run(derived.customer(spark, sf_dir), ["c_custkey"], CUSTOMER_KINDS, 2)
@@ -701,10 +720,7 @@ def validate_populations_orders_sf2(spark, sf_dir):
 def validate_distincts_orders_sf2(spark, sf_dir):
     """Distinct values of the generated columns against clean ones and those estimated for errors."""
     run, columns = _run(spark, sf_dir), list(ORDERS_KINDS)
-    fof = lambda test: run.cells.where(test).groupBy("col", "dirty").agg(F.count("*").alias("i")).groupBy(F.col("col").alias("column"), "i").agg(F.count("*").alias("f"))
-    typos, missing = (estimators.estimates(fof(test), 2.0).select("column", F.col("estimate").alias(name)) for test, name in (("error_class = 'TYPO'", "typos"), ("error_class = 'MV'", "missing")))
-    outlying = run.cells.where("error_class = 'OUTLIER'").groupBy(F.col("col").alias("column")).agg(F.count_distinct("dirty").alias("outliers"))
-    estimates = typos.join(missing, "column", "full").join(outlying, "column", "full")
+    estimates = pipeline.distinct_estimates(run.cells, 2.0)
     generated = run.generated.select(*[F.col(f"{c}__dirty").alias(c) for c in columns])
     return validate.distincts(profile.distinct_counts(derived.orders(spark, sf_dir), columns), profile.distinct_counts(generated, columns), estimates, 2)
 

@@ -36,11 +36,18 @@ def write_table(df: DataFrame, path: str, name: str | None = None) -> None:
     writer.saveAsTable(name) if name else writer.save()
 
 
-def read_dependencies(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """(lhs, rhs) column names from lines ``i,j->k,l`` of 0-based column numbers; other lines are left out."""
+def read_dependencies(spark: SparkSession, path: str, columns: list[str], composite: bool = False) -> DataFrame:
+    """(lhs, rhs) column names from lines ``i,j->k,l`` of 0-based column numbers; other lines are left out.
+
+    Each left column stands alone, or with ``composite`` they are one left side, named by its columns joined by commas.
+    """
     sides = F.split(F.regexp_replace("value", r"\s", ""), "->")
     lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*\d+(\s*,\s*\d+)*\s*->\s*\d+(\s*,\s*\d+)*\s*$"))
     name = lambda c: F.try_element_at(F.array(*map(F.lit, columns)), c.cast("int") + 1)
+    if composite:
+        lefts = F.transform(F.split(sides[0], ","), name)
+        whole = lines.select(F.array_join(lefts, ",").alias("lhs"), F.exists(lefts, lambda c: c.isNull()).alias("gone"), F.explode(F.split(sides[1], ",")).alias("r"))
+        return whole.where("not gone").select("lhs", name(F.col("r")).alias("rhs")).where("rhs is not null")
     pairs = lines.select(F.explode(F.split(sides[0], ",")).alias("l"), sides[1].alias("r")).select("l", F.explode(F.split("r", ",")).alias("r"))
     return pairs.select(name(F.col("l")).alias("lhs"), name(F.col("r")).alias("rhs")).where("lhs is not null and rhs is not null")
 
@@ -64,14 +71,29 @@ def report_lines(counts: DataFrame, stats: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
+def histogram_lines(values: DataFrame) -> DataFrame:
+    """Lines ``label<TAB>column<TAB>count<TAB>value`` of the erroneous values in (col, error_class, dirty); a value is written as JSON, so that it stays on its line."""
+    counted = values.groupBy("col", "error_class", "dirty").agg(F.count("*").alias("n"))
+    value = F.to_json(F.array("dirty"), {"ignoreNullFields": "false"})
+    return counted.select(F.concat_ws("\t", F.concat(F.lit("Dirty "), F.lower("error_class"), F.lit("_values")), "col", F.col("n").cast("string"), value).alias("value"))
+
+
+def read_histograms(spark: SparkSession, path: str) -> DataFrame:
+    """(error_class, col, value, n) from a report's histogram lines."""
+    part = lambda k: F.regexp_extract("value", r"^Dirty (\S+)_values\t([^\t]*)\t(\d+)\t(.*)$", k)
+    rows = spark.read.text(path).select(part(1).alias("label"), part(2).alias("col"), part(3).alias("n"), part(4).alias("text")).where("label <> ''")
+    return rows.select(F.upper("label").alias("error_class"), "col", F.from_json("text", "array<string>")[0].alias("value"), F.col("n").cast("long").alias("n"))
+
+
 def write_report(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """(label, column, amount) from report lines; amounts that are no numbers are null."""
+    """(label, column, amount) from report lines other than histograms; amounts that are no numbers are null."""
     part = lambda k: F.regexp_extract("value", r"^Dirty (\S+)\t([^\t]*)\t(.*)$", k)
-    rows = spark.read.text(path).select(part(1).alias("label"), part(2).alias("column"), part(3).alias("text")).where("label <> ''")
+    rows = spark.read.text(path).where(~F.col("value").rlike(r"^Dirty \S+_values\t"))
+    rows = rows.select(part(1).alias("label"), part(2).alias("column"), part(3).alias("text")).where("label <> ''")
     return rows.select("label", "column", F.col("text").try_cast("double").alias("amount"))
 
 
