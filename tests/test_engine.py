@@ -233,3 +233,16 @@ def test_quartiles_narrow_down_to_exact_ones(spark, monkeypatch, sketch, held):
     assert got.pop("none") == (None, None, None)
     for c, quartiles in got.items():
         assert quartiles == pytest.approx(tuple(data[c].quantile([0.25, 0.5, 0.75])))
+
+
+def test_equal_counts_and_common_prefixes_spread_over_buckets(spark):
+    """20,000 values of one count and one prefix: shares and intervals are exact, and no bucket holds many of them."""
+    h = spark.range(20_000).selectExpr("'c' as col", "concat('Customer#', lpad(id, 9, '0')) as value", "1L as n")
+    total = spark.createDataFrame([("c", 30_011)], "col string, total long")
+    plan = allocate.allocate(h, total, ["col"])
+    counts = {r.planned: r.k for r in plan.groupBy("planned").agg(F.count("*").alias("k")).collect()}
+    assert counts == {1: 9_989, 2: 10_011}
+    cut = allocate.intervals(plan, ["col"], ["value"]).select("lo", "hi").orderBy("lo").collect()
+    assert cut[0].lo == 0 and cut[-1].hi == 30_011 and all(a.hi == b.lo for a, b in zip(cut, cut[1:], strict=False))
+    buckets = h.groupBy(F.substring(allocate._digest("value"), 1, ranks.digits_for(spark))).count().collect()
+    assert len(buckets) >= 16 * 4 and max(r["count"] for r in buckets) < 20_000 / 64
