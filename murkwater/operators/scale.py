@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_EVEN, Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import profile
 from .ranks import hashed, ranked
 
 
@@ -65,19 +66,37 @@ def pick(draw: Column, n: int, seed: int) -> Column:
     return F.pmod(F.conv(F.substring(hashed(f"{seed}|draw", draw), 1, 15), 16, 10).cast("long"), F.lit(n))
 
 
+def head(df: DataFrame, order: str, rows: int, total: int) -> DataFrame:
+    """The first ``rows`` of ``total`` rows by a unique ``order`` column without nulls.
+
+    By a number, rows up to the value at that rank are kept, which exact ranks find without a sort (see profile.values_at), so
+    that a slice of most of a table is a filter. Others are a top-k.
+    """
+    if rows <= 0 or not total:
+        return df.limit(0)
+    kind = dict(df.dtypes)[order]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return df.orderBy(order).limit(rows)
+    row, at = profile.values_at(df, [order], [min(rows / total, 1.0)], lambda n, _: [min(rows, n)])[order]
+    if not row.n:
+        return df.limit(0)
+    kept = df.where(F.col(order) <= F.lit(next(iter(at.values()))).cast(kind))
+    # numbers beyond 2 ** 53 may share a double; they are few, so a top-k takes the last of them
+    return kept if kind in ("tinyint", "smallint", "int") or abs(next(iter(at.values()))) < 2**53 else kept.orderBy(order).limit(rows)
+
+
 def with_slice(df: DataFrame, order: str, factor: float, inclusive: bool = False) -> DataFrame:
     """floor(factor) copies of all rows and the first round(n * factor) - floor(factor) * n by a unique ``order`` column.
 
-    ``inclusive`` takes one row more, as label slices do. The slice is a top-k, not a global sort. Adds _copy.
+    ``inclusive`` takes one row more, as label slices do. Adds _copy.
     """
     n, copies = df.count(), int(factor)
     whole = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))) if copies else df.limit(0).withColumn("_copy", F.lit(0))
-    part = df.orderBy(order).limit(rounded(n, factor) - copies * n + inclusive).withColumn("_copy", F.lit(copies))
+    part = head(df, order, rounded(n, factor) - copies * n + inclusive, n).withColumn("_copy", F.lit(copies))
     return whole.unionByName(part)
 
 
 def shrink(df: DataFrame, order: str, factor: float) -> DataFrame:
     """For factors below 1: int(factor * n) rows by a unique ``order`` column, without the first."""
-    n = int(Decimal(str(factor)) * df.count())
-    head = df.orderBy(order).limit(n + 1)
-    return head.join(df.agg(F.min(order).alias("_first")), F.col(order) != F.col("_first")).drop("_first")
+    n = df.count()
+    return head(df, order, int(Decimal(str(factor)) * n) + 1, n).join(df.agg(F.min(order).alias("_first")), F.col(order) != F.col("_first")).drop("_first")

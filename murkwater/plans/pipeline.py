@@ -7,12 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folder import written
+from ..functions.folder import place, written
 from ..functions.values import as_double, number
 from ..operators import dependencies as fd
 from ..operators import estimators, inject, pairs, profile, scale, validate
 from ..operators.allocate import allocate, new_count
 from ..operators.dependencies import Dependency
+from ..sources import tables
+
+
+def bucketed(df: DataFrame, name: str, by: str = "_row_id", buckets: int | None = None) -> DataFrame:
+    """``df`` written in buckets by row id in the shared folder, as many as the session has shuffle partitions; a catalog table of a name of its own."""
+    path = place(df.sparkSession, name)
+    count = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tables.write_bucketed(df, path, path.rsplit("/", 1)[-1].replace("-", "_"), by, count)
 
 
 @dataclass

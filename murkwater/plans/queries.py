@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.folder import place
-from ..operators import allocate, dependencies, estimators, inject, pairs, profile, ranks, repair, scale, schema, validate
+from ..operators import allocate, dependencies, estimators, frequent, inject, pairs, profile, ranks, repair, scale, schema, sketches, validate
 from ..sources import tables
 from ..streaming import profiles
 from . import declared, derived, pipeline
@@ -38,6 +38,10 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _rank_sql(source: str, key: str, name: str = "rank") -> str:
+    return f"row_number() OVER (ORDER BY md5('{SEED}|' || CAST({key} AS VARCHAR))) - 1 AS {name}"
+
+
 # --- schema and differences -------------------------------------------------------------------------
 
 _NUMERIC_TEXT = r"'^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$'"
@@ -267,6 +271,59 @@ def distinct_approx_events(spark, sf_dir):
     return profile.approximate_distinct_counts(table(spark, sf_dir, "events"), ["user_id", "event_type"])
 
 
+SKETCHED = ["user_id", "event_type", "value"]
+
+
+@query("""
+WITH c AS (
+  SELECT 'user_id' AS "column", CAST(user_id AS DOUBLE) AS v, CAST(user_id AS VARCHAR) AS t FROM events
+  UNION ALL SELECT 'value', value, CAST(value AS VARCHAR) FROM events UNION ALL SELECT 'event_type', NULL, event_type FROM events)
+SELECT "column", count(t) AS n, count(*) - count(t) AS missing, min(v) AS least, max(v) AS most, round(avg(v), 5) AS mean, round(var_samp(v), 3) AS var,
+       true AS distinct_close, CASE WHEN "column" <> 'event_type' THEN true END AS quantiles_close
+FROM c GROUP BY "column"
+""")
+def sketch_profile_events(spark, sf_dir):
+    """The profile of all events from the states of four batches, and whether its estimates are as near as stated: distincts within 5 %, ranks of quartiles within 1 %."""
+    rows, path = table(spark, sf_dir, "events"), place(spark, "states")
+    for batch in range(4):
+        sketches.save(rows.where(F.col("event_id") % 4 == batch), SKETCHED, path, batch)
+    found = sketches.merged(sketches.load(spark, path))
+    exact = profile.distinct_counts(rows, SKETCHED).select("column", F.col("distinct_excl_null").alias("exact"))
+    points = {r["column"]: r.quantiles_approx for r in found.where("quantiles_approx is not null").collect()}
+    at = [F.array(*[F.abs((F.count_if(F.col(c) < q) + F.count_if(F.col(c) <= q)) / 2 / F.count(c) - p) - F.count_if(F.col(c) == q) / 2 / F.count(c) for q, p in zip(qs, profile.QUARTILES, strict=True)]).alias(c) for c, qs in points.items()]
+    off = rows.agg(*at).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.array_max(c).alias("off")) for c in points])).alias("x")).select("x.*")
+    both = found.join(exact, "column").join(off, "column", "left").withColumn("distinct_close", F.abs(F.col("distinct_approx") - F.col("exact")) <= 0.05 * F.col("exact")).withColumn("quantiles_close", F.col("off") <= 0.01)
+    return both.select("column", "n", "missing", "least", "most", F.round("mean", 5).alias("mean"), F.round("var", 3).alias("var"), "distinct_close", "quantiles_close")
+
+
+FREQUENT = ["l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice", "l_shipdate"]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {'CAST(l_shipdate AS DATE)::VARCHAR' if c == 'l_shipdate' else f'CAST({c} AS VARCHAR)'} AS value, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 0.015 * (SELECT count({c}) FROM lineitem)" for c in FREQUENT
+))
+def frequent_values_lineitem(spark, sf_dir):
+    """Values with more than 1.5 % of the rows, of columns with few and with very many values."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    return frequent.frequent_values(rows, FREQUENT, 0.015)
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS n FROM orders), base AS (SELECT *, {_rank_sql("orders", "o_orderkey", "k")} FROM orders),
+scaled AS (SELECT copy * n + k AS row_id, o_orderstatus, o_orderpriority FROM (SELECT *, unnest([0, 1, 2]) AS copy FROM base, n))
+SELECT row_id, CASE WHEN row_id % 10 = 3 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN row_id % 15 = 3 THEN NULL ELSE o_orderpriority END AS priority FROM scaled WHERE row_id % 5 = 3
+""")
+def inject_bucketed_orders(spark, sf_dir):
+    """Edits applied to the tripled table, both in buckets by row id: each fifth row."""
+    columns = ["o_orderstatus", "o_orderpriority"]
+    base = table(spark, sf_dir, "orders").select("o_orderkey", *columns)
+    scaled = pipeline.bucketed(scale.replicate(base, ["o_orderkey"], 3).drop("_copy"), "scaled")
+    edits = scaled.where("_row_id % 10 = 3").selectExpr("_row_id", "'o_orderstatus' as col", "'X' as value", "'TYPO' as error_class")
+    edits = pipeline.bucketed(edits.union(scaled.where("_row_id % 15 = 3").selectExpr("_row_id", "'o_orderpriority'", "null", "'MV'")), "edits")
+    done = inject.apply(scaled, edits, columns).where("_row_id % 5 = 3")
+    return done.select(F.col("_row_id").alias("row_id"), F.col("o_orderstatus__dirty").alias("status"), F.col("o_orderpriority__dirty").alias("priority"))
+
+
 @query("SELECT 'user_id' AS \"column\", i, count(*) AS f FROM (SELECT count(*) AS i FROM events WHERE user_id IS NOT NULL GROUP BY user_id) GROUP BY i")
 def freq_of_freq_events(spark, sf_dir):
     return profile.frequency_of_frequencies(table(spark, sf_dir, "events"), ["user_id"])
@@ -367,10 +424,6 @@ def stacked_errors_orders(spark, sf_dir):
 # --- scaling ----------------------------------------------------------------------------------------
 
 
-def _rank_sql(source: str, key: str, name: str = "rank") -> str:
-    return f"row_number() OVER (ORDER BY md5('{SEED}|' || CAST({key} AS VARCHAR))) - 1 AS {name}"
-
-
 @query(f"""
 WITH r AS (SELECT *, {_rank_sql("orders", "o_orderkey", "k")} FROM orders), n AS (SELECT count(*) AS n FROM orders),
 c AS (SELECT r.*, n.n, unnest(CASE WHEN k < round_even(n.n * 2.5, 0) - 2 * n.n THEN [0, 1, 2] ELSE [0, 1] END) AS copy FROM r, n)

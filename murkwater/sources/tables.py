@@ -36,6 +36,15 @@ def write_table(df: DataFrame, path: str, name: str | None = None) -> None:
     writer.saveAsTable(name) if name else writer.save()
 
 
+def write_bucketed(df: DataFrame, path: str, name: str, by: str, buckets: int) -> DataFrame:
+    """``df`` as the catalog's table ``name`` at ``path``, in buckets by a column and sorted by it within them; read back.
+
+    Tables with equal numbers of buckets by equal columns meet without an exchange.
+    """
+    df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_dependencies(spark: SparkSession, path: str, columns: list[str], composite: bool = False) -> DataFrame:
     """(lhs, rhs) column names from lines ``i,j->k,l`` of 0-based column numbers; other lines are left out.
 
