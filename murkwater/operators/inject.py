@@ -148,16 +148,16 @@ def outlier_row(column: str, total: int, distinct: int, centre: float, mean: flo
     return column, total, max(1, min(distinct, total)), float(centre), float(mean), float(reach), float(limits.span[1] - limits.span[0]), float(deviation), float(limits.span[0]), whole
 
 
-def outliers(columns: DataFrame, seed: int) -> DataFrame:
+def outliers(columns: DataFrame, seed: int, most: int | None = None) -> DataFrame:
     """(col, value, planned) of values outside the fences, with counts that add up to ``total``, from rows of OUTLIERS.
 
     Values come in pairs at equal distance above and below ``centre``, so the mean of what is injected is that
     of the outliers there were, and the column's mean grows as it should; an odd one out lies above. Distances
     come from seven generators in turn: the range beyond the shift of the mean (above and below), a number
     times ten until it is outside, a number beyond either fence, and three deviations beyond the least value
-    (above and below). Each is at least the fences' reach and the shift, so both values are outside.
+    (above and below). ``most`` is the largest number of distinct values of a column, if it is known. Each is at least the fences' reach and the shift, so both values are outside.
     """
-    most = columns.agg(F.max("distinct")).first()[0] or 0
+    most = max(most, 1) if most is not None else columns.agg(F.max("distinct")).first()[0] or 0
     rows = columns.sparkSession.range(most).withColumnRenamed("id", "k").crossJoin(F.broadcast(columns)).where("total > 0 and k < distinct")
     draw = F.floor(F.col("k") / 2)
     number = F.conv(F.substring(hashed(seed, F.lit("outlier"), F.col("col"), draw), 1, 8), 16, 10).cast("long")

@@ -22,11 +22,12 @@ CLASSES = ("MV", "SWAP", "OUTLIER", "FD", "REPLACEMENT", "TYPO", "RESIDUAL")
 
 @dataclass(frozen=True)
 class Fences:
-    """Limits of a clean numeric column; a dirty value outside any of them is an outlier."""
+    """Limits of a clean numeric column, and its mean; a dirty value outside any of the limits is an outlier."""
 
     iqr: tuple[float, float]
     sigma: tuple[float, float]
     span: tuple[float, float]
+    mean: float | None = None
 
     def outside(self, value: Column, which: str = "all") -> Column:
         limits = [self.iqr, self.sigma, self.span] if which == "all" else [getattr(self, which)]
@@ -73,7 +74,7 @@ def fences(pair: DataFrame, numeric: list[str]) -> dict[str, Fences]:
             continue
         reach = 1.5 * (q3 - q1)
         sigma = (None, None) if row.sd is None else (row.mean - 3 * row.sd, row.mean + 3 * row.sd)
-        out[c] = Fences((q1 - reach, q3 + reach), sigma, (row.lo, row.hi))
+        out[c] = Fences((q1 - reach, q3 + reach), sigma, (row.lo, row.hi), row.mean)
     return out
 
 

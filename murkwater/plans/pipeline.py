@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folder import place, written
-from ..functions.values import as_double, number
+from ..functions.values import number
 from ..operators import dependencies as fd
 from ..operators import estimators, inject, pairs, profile, scale, validate
 from ..operators.allocate import allocate, new_count
@@ -100,7 +100,8 @@ def line_plan(cells: DataFrame, pair: DataFrame, kinds: dict[str, str], summary:
         wanted = estimators.estimates(fof, factor).select(F.col("column").alias("col"), "estimate")
         parts.append(inject.missing_values(old, wanted, has("MV"), factor).withColumn("error_class", F.lit("MV")))
     if has("OUTLIER"):
-        parts.append(inject.outliers(outlier_columns(pair, list(has("OUTLIER")), summary, limits, factor), seed).withColumn("error_class", F.lit("OUTLIER")))
+        most = max(scale.rounded(summary[c]["seen"], factor) for c in has("OUTLIER"))
+        parts.append(inject.outliers(outlier_columns(pair, list(has("OUTLIER")), summary, limits, factor), seed, most).withColumn("error_class", F.lit("OUTLIER")))
     if has("TYPO"):
         parts.append(typo_plan(cells, pair, list(has("TYPO")), factor).withColumn("error_class", F.lit("TYPO")))
     plan = None
@@ -112,11 +113,10 @@ def line_plan(cells: DataFrame, pair: DataFrame, kinds: dict[str, str], summary:
 def outlier_columns(pair: DataFrame, columns: list[str], summary: dict, limits: dict[str, pairs.Fences], factor: float) -> DataFrame:
     """What new outliers of these columns need: a few numbers for each."""
     stored = dict(pair.dtypes)
-    means = pair.agg(*[F.avg(number(F.col(c)) if stored[c] == "string" else as_double(F.col(c))).alias(c) for c in columns]).first()
     rows = []
     for c in columns:
         whole = stored[c] in ("tinyint", "smallint", "int", "bigint")
-        rows.append(inject.outlier_row(c, scale.rounded(summary[c]["OUTLIER"], factor), scale.rounded(summary[c]["seen"], factor), summary[c]["centre"], means[c], limits[c], whole))
+        rows.append(inject.outlier_row(c, scale.rounded(summary[c]["OUTLIER"], factor), scale.rounded(summary[c]["seen"], factor), summary[c]["centre"], limits[c].mean, limits[c], whole))
     return pair.sparkSession.createDataFrame(rows, inject.OUTLIERS)
 
 
