@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.folder import place
-from ..operators import allocate, dependencies, estimators, frequent, inject, pairs, profile, ranks, repair, scale, schema, sketches, validate
+from ..operators import allocate, dependencies, estimators, frequent, inject, pairs, profile, ranks, repair, scale, schema, shifted, sketches, validate
 from ..sources import tables
 from ..streaming import profiles
 from . import declared, derived, pipeline
@@ -950,6 +950,26 @@ def impute_fd_lineitem(spark, sf_dir):
     return cells.join(dirty.drop(*ZONES_KINDS), ZONES_KEY).withColumn("right", F.col("value") == was_clean).drop("clean_l_zone", "clean_l_area")
 
 
+#: Orders of which some are lost, some came in behind others, and some have other values.
+SHIFTED = "SELECT 2 * o_orderkey AS place, o_custkey, CASE WHEN o_orderkey % 31 = 8 THEN -1.0 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM {t} WHERE o_orderkey % 97 NOT IN (5, 6) UNION ALL SELECT 2 * o_orderkey + 1, o_custkey, o_totalprice, 'NEW' FROM {t} WHERE o_orderkey % 89 = 7"
+
+
+@query(f"""
+WITH c AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_custkey, o_totalprice, o_orderpriority FROM orders),
+d AS (SELECT row_number() OVER (ORDER BY place) - 1 AS pos, * EXCLUDE (place) FROM ({SHIFTED.format(t="orders")})),
+u AS (SELECT 0 AS side, pos, (o_custkey, o_totalprice, o_orderpriority) AS v FROM c UNION ALL SELECT 1, pos, (o_custkey, o_totalprice, o_orderpriority) FROM d),
+a AS (SELECT max(pos) FILTER (WHERE side = 0) AS a, max(pos) FILTER (WHERE side = 1) AS b FROM u GROUP BY v HAVING count(*) FILTER (WHERE side = 0) = 1 AND count(*) FILTER (WHERE side = 1) = 1),
+cs AS (SELECT pos, max(a) OVER (ORDER BY pos) AS gap, pos - coalesce(max(a) OVER (ORDER BY pos), -1) AS o FROM c LEFT JOIN a ON a = pos),
+ds AS (SELECT pos, max(a) OVER (ORDER BY pos) AS gap, pos - coalesce(max(b) OVER (ORDER BY pos), -1) AS o FROM d LEFT JOIN a ON b = pos)
+SELECT cs.pos AS clean_at, ds.pos AS dirty_at FROM cs FULL JOIN ds ON coalesce(cs.gap, -1) = coalesce(ds.gap, -1) AND cs.o = ds.o
+""")
+def align_shifted_orders(spark, sf_dir):
+    """Places of orders that belong together after rows were lost, added and changed."""
+    rows, columns = table(spark, sf_dir, "orders"), ["o_custkey", "o_totalprice", "o_orderpriority"]
+    dirty = spark.sql(SHIFTED.format(t="{orders}"), orders=rows)
+    return shifted.places(shifted.in_order(rows.select("o_orderkey", *columns), ["o_orderkey"]), shifted.in_order(dirty, ["place"]), columns)
+
+
 @query(f"""
 WITH {cte(FLIPPED, "orders")},
 d AS (SELECT o_orderkey, least(o_orderpriority, o_orderpriority__dirty) AS one, greatest(o_orderpriority, o_orderpriority__dirty) AS other, o_orderpriority__dirty < o_orderpriority AS low FROM pair WHERE o_orderpriority <> o_orderpriority__dirty),
