@@ -15,7 +15,8 @@ def estimates(fof: DataFrame, scale: float, compat: bool = False) -> DataFrame:
 
     The sample is a 1/``scale`` share of the table; estimate is the larger of the two. With ``compat``
     sums leave out the greatest frequency and the squared coefficient of variation is updated term by
-    term, as a known implementation has it; by default published formulas hold. Where a formula divides
+    term, as a known implementation has it (over gaps between frequencies by powers, so a value that occurs very
+    often costs no more than others); by default published formulas hold. Where a formula divides
     by zero the sample's distinct count stands. All sums are one aggregate over (column, i, f).
     """
     q = 1.0 / scale
@@ -39,10 +40,21 @@ def estimates(fof: DataFrame, scale: float, compat: bool = False) -> DataFrame:
     base = 1 - (1 - q) * f1 / n
     duj1 = F.when(base == 0, d).otherwise(d / F.when(base == 0, 1.0).otherwise(base))
     if compat:
-        # each step, also of a frequency that does not occur, scales what has been summed so far
-        total = n * scale
-        step = lambda s, k: (s + k * (k - 1) * F.coalesce(F.element_at(F.map_from_entries("freqs"), k), F.lit(0))) * duj1 / (n * n) + duj1 / total - 1
-        summed = F.aggregate(F.when(F.col("top") > 1, F.sequence(F.lit(1).cast("long"), F.col("top") - 1)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), step)
+        # each step, also of a frequency that does not occur, scales what has been summed so far by ``ratio`` and adds ``more``
+        ratio, more = duj1 / (n * n), duj1 / (n * scale) - 1
+
+        def idle(s: Column, steps: Column) -> Column:
+            """What is left of a sum after so many steps that add nothing else."""
+            power = F.pow(ratio, steps)
+            return s * power + F.when(ratio == 1, more * steps).otherwise(more * (power - 1) / F.when(ratio == 1, 1.0).otherwise(ratio - 1))
+
+        def step(state: Column, x: Column) -> Column:
+            summed = idle(state["s"], (x["i"] - state["at"] - 1).cast("double"))
+            return F.struct(((summed + x["i"] * (x["i"] - 1) * x["f"]) * ratio + more).alias("s"), x["i"].cast("long").alias("at"))
+
+        below = F.filter("freqs", lambda x: x["i"] < F.col("top"))
+        state = F.aggregate(below, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("at")), step)
+        summed = idle(state["s"], (F.col("top") - 1 - state["at"]).cast("double"))
         gamma = F.greatest(F.lit(0.0), summed)
     else:
         gamma = F.greatest(F.lit(0.0), duj1 / (n * n) * F.col("pairs") + duj1 / (n * scale) - 1)

@@ -366,7 +366,23 @@ def est_max_part(spark, sf_dir):
     return _estimates(spark, sf_dir).select("column", "estimate")
 
 
-@query()
+@query(ESTIMATES_SQL[: ESTIMATES_SQL.index("g AS (")] + """
+top AS (SELECT col, max(i) AS top FROM fof GROUP BY col),
+t AS (
+  SELECT col, max(top) AS top, sum(i * 0.25 * pow(0.75, i - 1) * f) FILTER (WHERE i < top) AS a, sum((pow(0.75, i) - pow(0.5, i)) * f) FILTER (WHERE i < top) AS b,
+         sum(pow(0.5, i) * f) FILTER (WHERE i < top) AS c, sum(i * 0.5 * pow(0.5, i - 1) * f) FILTER (WHERE i < top) AS e
+  FROM fof JOIN top USING (col) GROUP BY col),
+steps AS (
+  SELECT k.col, list(k.i * (k.i - 1) * coalesce(f, 0)::DOUBLE ORDER BY k.i) AS xs
+  FROM (SELECT col, unnest(range(1, top)) AS i FROM top) k LEFT JOIN fof ON fof.col = k.col AND fof.i = k.i GROUP BY k.col),
+g AS (SELECT s.* EXCLUDE (a, b), t.a, t.b, t.c, t.e, xs, d / (1 - 0.5 * f1 / n) AS duj1 FROM s JOIN t USING (col) LEFT JOIN steps USING (col)),
+h AS (SELECT *, greatest(0, coalesce(list_reduce(list_concat([0.0::DOUBLE], xs), lambda s, x: (s + x) * duj1 / (n * n) + duj1 / (2 * n) - 1), 0)) AS gamma FROM g),
+w AS (
+  SELECT col, CAST(d AS BIGINT) AS d, CAST(n AS BIGINT) AS n, CAST(round_even(d + f1 * up / down, 0) AS BIGINT) AS shlosser,
+         CAST(floor(CASE WHEN gamma < 0.9 THEN (d - 0.5 * f1 * ln(0.5) * gamma / 0.5) / (1 - 0.5 * f1 / n) WHEN b IS NULL OR b = 0 OR e = 0 THEN d ELSE d + f1 * a / b * pow(c / e, 2) END) AS BIGINT) AS haas_stokes
+  FROM h)
+SELECT col AS "column", d, n, shlosser, haas_stokes, greatest(shlosser, haas_stokes) AS estimate FROM w
+""")
 def est_compat_part(spark, sf_dir):
     return _estimates(spark, sf_dir, compat=True)
 

@@ -246,3 +246,26 @@ def test_equal_counts_and_common_prefixes_spread_over_buckets(spark):
     assert cut[0].lo == 0 and cut[-1].hi == 30_011 and all(a.hi == b.lo for a, b in zip(cut, cut[1:], strict=False))
     buckets = h.groupBy(F.substring(allocate._digest("value"), 1, ranks.digits_for(spark))).count().collect()
     assert len(buckets) >= 16 * 4 and max(r["count"] for r in buckets) < 20_000 / 64
+
+
+@pytest.mark.parametrize("counts", [[1], [7], [1, 1, 2], [50, 20, 5, 5, 1, 1, 1, 1, 1, 1], [1, 3, 3, 400, 401, 900], [2, 2, 2, 5]])
+def test_compat_estimates_step_over_gaps(spark, counts):
+    """Gaps between frequencies are closed by powers; here each step is taken."""
+    q, d, n, f = 0.5, len(counts), sum(counts), {c: counts.count(c) for c in counts}
+    base = 1 - (1 - q) * f.get(1, 0) / n
+    duj1 = d / base if base else d
+    gamma = 0.0
+    for k in range(1, max(counts)):
+        gamma = (gamma + k * (k - 1) * f.get(k, 0)) * duj1 / (n * n) + duj1 / (2 * n) - 1
+    gamma = max(0.0, gamma)
+    below = {i: x for i, x in f.items() if i < max(counts)}
+    a, b = sum(i * q * q * (1 - q * q) ** (i - 1) * x for i, x in below.items()), sum(((1 - q * q) ** i - (1 - q) ** i) * x for i, x in below.items())
+    c, e = sum((1 - q) ** i * x for i, x in below.items()), sum(i * q * (1 - q) ** (i - 1) * x for i, x in below.items())
+    small = (d - (1 - q) * f.get(1, 0) * math.log(1 - q) * gamma / q) / base if base else d
+    large = d + f.get(1, 0) * a / b * (c / e) ** 2 if b and e else d
+    assert estimators.estimates(fof(spark, counts), 2.0, compat=True).first().haas_stokes == math.floor(small if gamma < 0.9 else large)
+
+
+def test_compat_estimates_of_a_very_frequent_value(spark):
+    rows = spark.createDataFrame([("v", 1, 3), ("v", 10**12, 1), ("v", 10**15, 1)], "column string, i long, f long")
+    assert estimators.estimates(rows, 2.0, compat=True).first().d == 5
