@@ -100,14 +100,14 @@ def fit(docs: DataFrame, most_docs: int = 4000, smoothing: float = 0.5, most_lan
 
     At most about ``most_docs`` documents of each language are used, picked by a 62-bit hash of doc_id and
     text with a threshold from the language's number of documents; every document that is used counts whole.
-    Only the ``most_languages`` languages of most documents are learned (of equals the first by name), so
-    the model has a bounded size. Priors come from all labelled documents of these. Without any, the model
-    has no language. The languages, their sizes and the counts by bucket come to the driver, which holds the
+    More than ``most_languages`` languages are an error, so that the model has a bounded size and no language is
+    left out unseen. Priors come from all labelled documents. Without any, the model has no language. The languages, their sizes and the counts by bucket come to the driver, which holds the
     model anyway; texts are counted where they are read.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    largest = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    known = sorted((r["lang"], r["count"]) for r in largest.collect())
+    known = sorted((r["lang"], r["count"]) for r in labelled.groupBy("lang").count().limit(most_languages + 1).collect())
+    if len(known) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: raise most_languages, which bounds the model's size")
     if not known:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     least = F.create_map(*[F.lit(x) for lang, n in known for x in (lang, int(2**62 * min(1.0, most_docs / n)))])

@@ -93,6 +93,8 @@ def test_ties_repeated_rows_and_bounds(spark):
     got = langid.identify(docs.select("doc_id", "text"), langid.fit(docs)).collect()
     assert {(r.text, r.lang_pred) for r in got} == {("abc abc", "aa"), ("xyz", "cc")}
     assert len({(r.text, r.score) for r in got}) == 2 and len(got) == len(rows)
-    assert langid.fit(docs, most_languages=2).languages == ["aa", "bb"]
+    assert langid.fit(docs, most_languages=3).languages == ["aa", "bb", "cc"]
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs, most_languages=2)
     few = langid.fit(docs, most_docs=5)
     assert few.languages == ["aa", "bb", "cc"]
