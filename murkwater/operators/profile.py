@@ -242,12 +242,17 @@ def masked_mean(df: DataFrame, value: str, mask: Column) -> Column:
     return F.coalesce(F.avg(F.when(mask, F.col(value))), F.avg(value))
 
 
-def bundle(df: DataFrame, columns: list[str], missing) -> DataFrame:
-    """(column, rows, distinct, missing, outliers, mean, var, skew, kurt) of numeric columns in one table.
+def bundle(df: DataFrame, columns: list[str], missing: Callable[[Column], Column], texts: list[str] | None = None, missing_text: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(column, rows, distinct, missing, outliers, mean, var, skew, kurt) of numeric ``columns`` and of ``texts`` in one table.
 
-    ``missing`` tells of a column's cell whether it is missing; such cells count neither as outliers (beyond
-    1.5 interquartile ranges) nor in moments, which are those of the rows as a population.
+    ``missing`` and ``missing_text`` tell of a cell whether it is missing; such cells count neither as distinct values, nor as outliers (beyond
+    1.5 interquartile ranges), nor in moments, which are those of the rows as a population. Texts have neither outliers nor moments.
     """
+    if texts:
+        count = {"rows": lambda v: F.count("*"), "distinct": F.count_distinct, "missing": lambda v: F.count_if(v.isNull())}
+        words = _long(df.select(*[F.when(~missing_text(F.col(c)), F.col(c)).alias(c) for c in texts]), texts, count)
+        words = words.select("column", "rows", "distinct", "missing", F.lit(None).cast("long").alias("outliers"), *[F.lit(None).cast("double").alias(c) for c in ("mean", "var", "skew", "kurt")])
+        return bundle(df, columns, missing).select(words.columns).unionByName(words) if columns else words
     clean = df.select(*[F.when(~missing(F.col(c)), as_double(F.col(c))).alias(c) for c in columns])
     limits = {c: (q[0], q[2]) for c, (_, q) in quartiles(clean, columns).items()}
     parts = _long(clean, columns, {"rows": lambda v: F.count("*"), "distinct": F.count_distinct, "missing": lambda v: F.count_if(v.isNull()), "mean": F.avg, "var": F.var_pop, "skew": F.skewness, "kurt": F.kurtosis})

@@ -808,6 +808,22 @@ def data_stats_orders(spark, sf_dir):
     return rounded(rounded(found, "mean", digits=4), "skew", "kurt")
 
 
+@query(f"""
+WITH {cte(CUSTOMER, "customer")},
+v AS (SELECT 'c_name' AS "column", c_name__dirty AS v FROM pair UNION ALL SELECT 'c_mktsegment', c_mktsegment__dirty FROM pair),
+m AS (SELECT "column", CASE WHEN v IS NULL OR trim(v) = '' OR v IN ('NA', 'NaN', 'NAN', 'nan', '0-*') THEN NULL ELSE v END AS v FROM v),
+n AS (SELECT c_acctbal AS v FROM customer), q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM n)
+SELECT "column", count(*) AS rows, count(DISTINCT v) AS "distinct", count(*) - count(v) AS missing, CAST(NULL AS BIGINT) AS outliers, CAST(NULL AS DOUBLE) AS mean FROM m GROUP BY "column"
+UNION ALL SELECT 'c_acctbal', count(*), count(DISTINCT v), count(*) - count(v), count(*) FILTER (WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)), round(avg(v), 4) FROM n, q
+""")
+def data_stats_customer(spark, sf_dir):
+    """Statistics of a numeric and two text columns in one table."""
+    dirty = derived.customer(spark, sf_dir).select("c_custkey", F.col("c_name__dirty").alias("c_name"), F.col("c_mktsegment__dirty").alias("c_mktsegment"))
+    rows = dirty.join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    found = profile.bundle(rows, ["c_acctbal"], lambda v: values.missing_number(values.as_double(v)), ["c_name", "c_mktsegment"], values.missing_text)
+    return found.select("column", "rows", "distinct", "missing", "outliers", F.round("mean", 4).alias("mean"))
+
+
 @query("SELECT 'user_id' AS \"column\", count(DISTINCT user_id) AS exact, true AS close FROM events UNION ALL SELECT 'event_type', count(DISTINCT event_type), true FROM events")
 def distinct_approx_error_events(spark, sf_dir):
     """Approximate distinct counts are within three standard errors of the exact ones."""
