@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folder import written
 from ..functions.values import MISSING_TEXTS, canonical
 from .allocate import allocate, intervals, new_count
 from .dependencies import Dependency, left_columns, left_name, left_value
@@ -23,7 +24,7 @@ EDITS = "_row_id long, col string, value string, error_class string"
 def place(rows: DataFrame, plan: DataFrame, seed: int, within: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """``rows`` (with _row_id and ``within``) joined to the plan row whose interval holds their rank.
 
-    The plan has one row for each distinct erroneous value; only rows that its groups may need are ranked. It meets rows in an equi-join of unit
+    The plan, which is read several times and had better be written, has one row for each distinct erroneous value; only rows that its groups may need are ranked. It meets rows in an equi-join of unit
     blocks: an interval is cut at multiples of its group's block length, so no range join is needed.
     """
     within = within or []
@@ -46,6 +47,7 @@ def replacements(scaled: DataFrame, kinds: dict[str, str], histogram: DataFrame,
     value has too few rows, what is planned beyond them is not injected; validation shows it.
     """
     plan = histogram.where(F.col("col").isin(*kinds)).select("col", canonical(F.col("clean"), False).alias("_was"), F.col("dirty").alias("value"), new_count(F.col("n"), factor).alias("planned"))
+    plan = written(plan, "plan")  # it is read several times
     cells = F.array(*[F.struct(F.lit(c).alias("col"), canonical(F.col(c), k == "num").alias("_was")) for c, k in kinds.items()])
     rows = scaled.select("_row_id", F.explode(cells).alias("x")).select("_row_id", "x.*").join(plan.select("col", "_was").distinct(), ["col", "_was"], "left_semi")
     return place(rows, plan, seed, ["col", "_was"]).select("_row_id", "col", "value", F.lit("REPLACEMENT").alias("error_class"))
@@ -58,7 +60,7 @@ def broken(scaled: DataFrame, kinds: dict[str, str], dependencies: list[Dependen
     before. A cell that several dependencies claim gets one edit.
     """
     keys = ["lhs", "col", "x"]
-    plan = histogram.select(*keys, "value", new_count(F.col("n"), factor).alias("planned"))
+    plan = written(histogram.select(*keys, "value", new_count(F.col("n"), factor).alias("planned")), "plan")  # it is read several times
     form = lambda c: canonical(F.col(c), kinds.get(c, "num" if dict(scaled.dtypes)[c] != "string" else "str") == "num")
     cells = F.array(*[F.struct(F.lit(left_name(a)).alias("lhs"), F.lit(b).alias("col"), left_value([form(c) for c in left_columns(a)]).alias("x")) for a, b in dependencies])
     rows = scaled.select("_row_id", F.explode(cells).alias("c")).select("_row_id", "c.*").join(plan.select(*keys).distinct(), keys, "left_semi")
@@ -75,11 +77,12 @@ def swaps(scaled: DataFrame, kinds: dict[str, str], histogram: DataFrame, factor
     several pairs is used for the first.
     """
     names = list(kinds)
-    found = {(r.col1, r.col2) for r in histogram.select("col1", "col2").distinct().collect()}  # at most one for each two columns
+    plan = histogram.select("col1", "col2", canonical(F.col("clean1"), False).alias("_x"), canonical(F.col("dirty1"), False).alias("_y"), F.col("clean1").alias("value"), "dirty1", new_count(F.col("n"), factor).alias("planned"))
+    plan = written(plan, "plan")  # it is read several times
+    found = {(r.col1, r.col2) for r in plan.select("col1", "col2").distinct().collect()}  # at most one for each two columns
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if (a, b) in found]
     if not pairs:
         return scaled.sparkSession.createDataFrame([], EDITS)
-    plan = histogram.select("col1", "col2", canonical(F.col("clean1"), False).alias("_x"), canonical(F.col("dirty1"), False).alias("_y"), F.col("clean1").alias("value"), "dirty1", new_count(F.col("n"), factor).alias("planned"))
     keys = ["col1", "col2", "_x", "_y"]
     cells = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), canonical(F.col(a), kinds[a] == "num").alias("_x"), canonical(F.col(b), kinds[b] == "num").alias("_y")) for a, b in pairs])
     rows = scaled.select("_row_id", F.explode(cells).alias("x")).select("_row_id", "x.*").join(plan.select(*keys).distinct(), keys, "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..functions.folder import place
+from ..functions.folder import place, written
 from ..operators import allocate, dependencies, estimators, frequent, inject, pairs, profile, ranks, repair, scale, schema, shifted, sketches, validate
 from ..sources import tables
 from ..streaming import profiles
@@ -565,7 +565,7 @@ def _orders_line(which: str):
             plan = inject.outliers(columns, SEED)
         else:
             plan = pipeline.typo_plan(cells, pair, ["o_orderstatus"], 2)
-        return inject.place(scaled.select("_row_id"), plan, SEED).select(F.col("_row_id").alias("row_id"), "value")
+        return inject.place(scaled.select("_row_id"), written(plan, "plan"), SEED).select(F.col("_row_id").alias("row_id"), "value")
 
     return line
 
