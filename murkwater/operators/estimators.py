@@ -50,7 +50,8 @@ def estimates(fof: DataFrame, scale: float, compat: bool = False) -> DataFrame:
 
         def step(state: Column, x: Column) -> Column:
             summed = idle(state["s"], (x["i"] - state["at"] - 1).cast("double"))
-            return F.struct(((summed + x["i"] * (x["i"] - 1) * x["f"]) * ratio + more).alias("s"), x["i"].cast("long").alias("at"))
+            often = x["i"].cast("double")  # a product of long numbers ends at 2^63
+            return F.struct(((summed + often * (often - 1) * x["f"]) * ratio + more).alias("s"), x["i"].cast("long").alias("at"))
 
         below = F.filter("freqs", lambda x: x["i"] < F.col("top"))
         state = F.aggregate(below, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("at")), step)

@@ -269,3 +269,17 @@ def test_compat_estimates_step_over_gaps(spark, counts):
 def test_compat_estimates_of_a_very_frequent_value(spark):
     rows = spark.createDataFrame([("v", 1, 3), ("v", 10**12, 1), ("v", 10**15, 1)], "column string, i long, f long")
     assert estimators.estimates(rows, 2.0, compat=True).first().d == 5
+
+
+def test_compat_estimates_beyond_products_of_long_numbers(spark):
+    """Ten values so frequent that i * (i - 1) is beyond 2^63 count in the sums as they should."""
+    rows = [(1, 5), (4 * 10**9, 10), (4 * 10**9 + 1, 1)]
+    d, n = 16, sum(i * f for i, f in rows)
+    base = 1 - 0.5 * 5 / n
+    ratio, more = d / base / n / n, d / base / (2 * n) - 1
+    settled = more / (1 - ratio)  # in the gap each step leaves next to nothing of the sum before
+    gamma = (settled + 10 * 4e9 * (4e9 - 1)) * ratio + more
+    assert 0.3 < gamma < 0.9
+    small = (d - 0.5 * 5 * math.log(0.5) * gamma / 0.5) / base
+    frequencies = spark.createDataFrame([("v", i, f) for i, f in rows], "column string, i long, f long")
+    assert math.floor(small) > d and estimators.estimates(frequencies, 2.0, compat=True).first().haas_stokes == math.floor(small)
