@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,19 +107,55 @@ def by_dependencies(df: DataFrame, key: list[str], dependencies: list[Dependency
     return changed.select(*key, "_c.*")
 
 
-def grams(text: Column, q: int = 2) -> Column:
-    """The text's pieces of ``q`` characters with its ends marked; repeated ones are told apart by their number."""
-    padded = F.concat(F.lit("\x02" * (q - 1)), text, F.lit("\x03" * (q - 1)))
-    plain = F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substring(padded, i, F.lit(q)))
-    return F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, 1, i + 1), lambda h: h == g)).cast("string")))
+#: A value is cut finer where it shares a key with more clean texts than these for each value and these besides.
+SHARED = (50, 200)
+
+
+def without(texts: DataFrame, edits: int, cuts: int, moving: bool) -> DataFrame:
+    """(col, value, key): for every way to take ``edits`` of its ``cuts`` pieces out of a text (col, value, n, more), what is left, as a hash.
+
+    The pieces are those of a text of ``n`` characters, at most one for each; the text has ``more`` characters. With ``moving``,
+    what lies behind a piece is also looked for where up to so many edits inside the pieces before it move it.
+    """
+    ways = [w for w in itertools.product(range(-edits, edits + 1), repeat=edits) if sum(map(abs, w)) <= edits] if moving else [(0,) * edits]
+    moves = [tuple(itertools.accumulate(w, initial=0)) for w in ways]
+    taken = list(itertools.combinations(range(cuts), edits))
+    literal = lambda rows: F.expr(f"array({', '.join(f'array({str(list(r))[1:-1]})' for r in rows)})")
+    rows = texts.withColumn("cuts", F.least(F.lit(cuts), F.greatest("n", F.lit(edits)))).withColumn("move", F.explode(literal(moves))).where(F.col("move")[edits] == F.col("more"))
+    if edits:
+        rows = rows.select("*", F.posexplode(literal(taken)).alias("way", "out")).where(F.col("out")[edits - 1] < F.col("cuts"))
+    else:
+        rows = rows.withColumn("way", F.lit(0))
+    cut = lambda i: F.floor(i * F.col("n") / F.col("cuts")).cast("int")
+    left = []
+    for j in range(edits + 1):
+        start = cut(F.col("out")[j - 1] + 1) if j else F.lit(0)
+        end = cut(F.col("out")[j]) if j < edits else F.col("n")
+        left.append(F.substring("value", start + F.col("move")[j] + 1, end - start))
+    return rows.select("col", "value", F.xxhash64("n", "way", *left).alias("key"))
 
 
-def deletions(text: Column, most: int) -> Column:
-    """The text and what is left of it when up to ``most`` characters are taken out."""
-    found = F.array(text)
-    for _ in range(most):
-        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))))))
-    return found
+def near(values: DataFrame, clean: DataFrame, lengths: DataFrame, edits: int, cuts: int, limit: float | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(col, value, nearest, distance) of ``values`` (col, value) with a text of ``clean`` (its ``lengths``: col, n) up to ``edits`` away, and the values left out, if any: those that share a key with more than ``limit`` clean texts.
+
+    So many edits touch at most so many pieces of a clean text. Without these it is found in a near value, moved by what
+    the edits put in or take out, so the two share a key. The join is an equi-join on keys; what it finds is verified.
+    """
+    count = max(1, int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few rows make many
+    wanted = values.withColumn("more", F.explode(F.sequence(F.lit(-edits), F.lit(edits)))).withColumn("n", F.length("value") - F.col("more")).join(F.broadcast(lengths), ["col", "n"])
+    every = clean.withColumns({"n": F.length("value"), "more": F.lit(0)}).join(F.broadcast(wanted.select("col", "n").distinct()), ["col", "n"], "left_semi")
+    keys = written(without(wanted.repartition(count, "col", "value"), edits, cuts, True).distinct(), "keys")
+    met = written(without(every.repartition(count, "col", "value"), edits, cuts, False).join(keys.select("col", "key").distinct(), ["col", "key"], "left_semi"), "met")
+    many = None
+    if limit is not None:
+        common = met.groupBy("col", "key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+        if not common.isEmpty():
+            many = written(keys.join(common, ["col", "key"], "left_semi").select("col", "value").distinct(), "texts")
+            keys = keys.join(many, ["col", "value"], "left_anti")
+    pairs = keys.join(met.withColumnRenamed("value", "nearest").repartition(count, "col", "key"), ["col", "key"])
+    found = pairs.withColumn("distance", F.levenshtein("value", "nearest", edits)).where("distance >= 0")
+    best = found.groupBy("col", "value").agg(F.min(F.struct("distance", "nearest")).alias("b"))
+    return written(best.select("col", "value", "b.nearest", "b.distance"), "near"), many
 
 
 def nearest_clean(values: DataFrame, clean: DataFrame, most: int = 2, q: int = 2) -> DataFrame:
@@ -125,33 +164,22 @@ def nearest_clean(values: DataFrame, clean: DataFrame, most: int = 2, q: int = 2
     Of several the least. A value without a clean text so near has no row; one that is clean is its own nearest;
     nulls have none; repeated rows count once.
 
-    An edit changes at most ``q`` grams, so texts within ``most`` edits share one of the first ``q * most + 1`` grams of
-    either in any common order; the rarest come first, so that common grams join nothing. Texts too short for so
-    many grams meet through what is left of them after up to ``most`` deletions, which near texts share. Candidates must also
-    agree in length, up to ``most``; what is left is verified. All joins are equi-joins on such keys.
+    Values with a clean text one edit away are settled first, then the others with two, and so on. Clean texts are cut in ``4 * q``
+    pieces (four more for one edit); values that share what is left of too many of them are looked for again with three times
+    as many, which of most texts are single characters.
     """
-    first = q * most + 1
-    short_below = first - (q - 1)  # a text of fewer characters has fewer than ``first`` grams
-    texts = {"v": values.select("col", "value").distinct(), "c": clean.select("col", "value").distinct()}
-    texts = {k: df.where("value is not null") for k, df in texts.items()}
-    wanted = written(texts["v"], "texts")
-    every = written(texts["c"], "texts")
-    pieces = {k: df.select("col", "value", F.explode(grams(F.col("value"), q)).alias("gram")) for k, df in (("v", wanted), ("c", every))}
-    counts = pieces["c"].groupBy("col", "gram").agg(F.count("*").alias("n"))
-
-    def prefixes(side: str) -> DataFrame:
-        """The first grams of each long text; grams that no clean text has come first of all."""
-        long = pieces[side].where(F.length("value") >= short_below).join(counts, ["col", "gram"], "left")
-        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))
-        heads = long.groupBy("col", "value").agg(F.slice(ordered, 1, first).alias("head"))
-        return heads.select("col", F.col("value").alias(f"_{side}"), F.explode("head.gram").alias("gram"))
-
-    by_gram = prefixes("v").join(prefixes("c"), ["col", "gram"]).select("col", "_v", "_c")
-    # a short text on either side: the other has at most ``most`` characters more
-    few = lambda df, name: df.where(F.length("value") < short_below + most).select("col", F.col("value").alias(name), F.explode(deletions(F.col("value"), most)).alias("left"))
-    is_short = (F.length("_v") < short_below) | (F.length("_c") < short_below)
-    by_rest = few(wanted, "_v").join(few(every, "_c"), ["col", "left"]).where(is_short).select("col", "_v", "_c")
-    pairs = by_gram.unionByName(by_rest).where(F.abs(F.length("_v") - F.length("_c")) <= most).distinct()
-    near = pairs.withColumn("distance", F.levenshtein("_v", "_c", most)).where("distance >= 0")
-    best = near.groupBy("col", F.col("_v").alias("value")).agg(F.min(F.struct("distance", F.col("_c").alias("nearest"))).alias("b"))
-    return best.select("col", "value", "b.nearest", "b.distance")
+    rest, every = (written(df.where("value is not null").select("col", "value").distinct(), "texts") for df in (values, clean))
+    lengths = written(every.select("col", F.length("value").alias("n")).distinct(), "lengths")
+    texts, found = every.count(), []
+    for edits in range(min(most, 1), most + 1):
+        left = rest.count()
+        if found and not left:
+            break
+        cuts = 4 * (q if edits > 1 else q + 1)
+        best, many = near(rest, every, lengths, edits, cuts, SHARED[0] * texts / max(left, 1) + SHARED[1])
+        if many is not None:
+            best = best.unionByName(near(many, every, lengths, edits, 3 * cuts)[0])
+        found.append(best)
+        if edits < most:
+            rest = written(rest.join(best, ["col", "value"], "left_anti"), "texts")
+    return functools.reduce(DataFrame.unionByName, found)

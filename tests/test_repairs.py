@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from murkwater.operators import graph, pairs, repair
 
@@ -51,6 +52,47 @@ def test_common_grams_join_nothing(spark):
     assert repair.nearest_clean(values.limit(0), clean).collect() == [] == repair.nearest_clean(values, clean.limit(0)).collect()
 
 
+def test_few_texts_are_compared(spark, monkeypatch):
+    """Names that are all taken share every gram with many others; values meet those alone that may be near."""
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(a, b, most):
+        compared.add(1)
+        return d if (d := levenshtein(a, b)) <= most else -1
+
+    clean = spark.range(3000).selectExpr("'x' as col", "concat('Customer#', lpad(cast(id as string), 9, '0')) as value")
+    typos = "array(concat(substring(value, 1, 15), substring(value, 17, 9)), concat('Cusotmer', substring(value, 9, 10)), concat('Cuqst', substring(value, 6, 13)))"
+    values = clean.where("hash(value) % 50 = 0").selectExpr("col", f"explode({typos}) as value")
+    all_pairs = values.crossJoin(clean.select(F.col("value").alias("c"))).groupBy("value").agg(F.min(F.struct(F.levenshtein("value", "c").alias("d"), "c")).alias("b"))
+    wanted = {r.value: tuple(r.b) for r in all_pairs.collect()}
+    monkeypatch.setattr(F, "levenshtein", lambda a, b, most: counted(a, b, F.lit(most)))
+    assert {r.value: (r.distance, r.nearest) for r in repair.nearest_clean(values, clean).collect()} == wanted
+    assert 0 < compared.value <= 10_000
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_common_keys_are_cut_finer(spark, monkeypatch, most):
+    """Values that share a key with more texts than SHARED are looked for with more pieces, of which some texts have fewer characters; the rest is found before."""
+    rng = random.Random(most)
+    word = lambda n: "".join(rng.choice("ab\U0001f600") for _ in range(n))
+    clean = {word(rng.randint(0, 5)) + word(1) * rng.randint(0, 30) for _ in range(150)} | {"far from all of them", "b" * 70}
+    values = {word(rng.randint(0, 6)) + word(1) * rng.randint(0, 30) for _ in range(150)} | {"far from all f them", "b" * 35 + "a" + "b" * 34}
+    best = {v: min((levenshtein(v, c), c.encode(), c) for c in clean) for v in values}
+    finer, near = [], repair.near
+
+    def watched(values, *args):
+        if len(args) == 4:
+            finer.append((values.count(), args[2], args[3]))
+        return near(values, *args)
+
+    monkeypatch.setattr(repair, "SHARED", (0, 2))
+    monkeypatch.setattr(repair, "near", watched)
+    got = repair.nearest_clean(*(spark.createDataFrame([("x", t) for t in side], "col string, value string") for side in (values, clean)), most)
+    assert {r.value: (r.nearest, r.distance) for r in got.collect()} == {v: (c, d) for v, (d, _, c) in best.items() if d <= most}
+    assert most < 2 or finer and all(0 < n < len(values) for n, *_ in finer)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(300)] + [(2000, i) for i in range(2001, 2300)] + [(5, 5), (None, 1), (1, None), (4000, 4000)]
